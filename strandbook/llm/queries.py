@@ -44,6 +44,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 75)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.mixing import mix
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_chat_format": op4_chat_format,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
 }
 
