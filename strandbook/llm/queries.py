@@ -44,6 +44,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), least_words=50, similarity=0.75)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.jaccard_join import jaccard_components
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_chat_format": op4_chat_format,
+    "op5_passages": op5_passages,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
 }

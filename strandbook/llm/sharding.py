@@ -27,9 +27,9 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", id_column: str
     body = F.coalesce(F.col(text), F.lit(""))
     sized = docs.select(F.col(id_column), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     placed = prefix_sums(sized, ["text_crc32", id_column], "size")
-    total = sized.agg(F.sum("size").alias("total"))  # one row
-    cut = F.expr(f"cast(least({shards - 1}, ((2 * before + size) * {shards}) div (2 * total)) as int)")
-    cut = placed.join(F.broadcast(total)).withColumn("shard", cut)
+    total = sized.agg(F.sum("size")).first()[0] or 1
+    cut = F.expr(f"cast(least({shards - 1}, ((2 * before + size) * {shards}) div {2 * total}) as int)")
+    cut = placed.withColumn("shard", cut)
     cut = checkpointed(cut)
     firsts = cut.groupBy("shard").agg(F.min("position").alias("first"))  # a row for each shard
     return cut.join(F.broadcast(firsts), "shard").select(id_column, "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"))
