@@ -50,6 +50,12 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), least_words=50, similarity=0.75)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.vector_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.jaccard_join import jaccard_components
 
@@ -63,13 +69,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, share=1.5, epochs=2.0, weights=(3, 1, 2)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_passages": op5_passages,
+    "op6_nearest": op6_nearest,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
