@@ -25,6 +25,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False, digests=True)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.chat import format_chats, loss_text, read_back
 
@@ -69,6 +75,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, share=1.5, epochs=2.0, weights=(3, 1, 2)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.quality import classify, held_out
+
+    scored = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"), 0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.vector_dedup import near_duplicates
 
@@ -78,11 +91,13 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_html_text": op3_html_text,
     "op4_chat_format": op4_chat_format,
     "op5_passages": op5_passages,
     "op6_nearest": op6_nearest,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
     "op10_vector_dedup": op10_vector_dedup,
 }
 

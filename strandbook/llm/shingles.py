@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WIDTH = 5
@@ -71,7 +72,7 @@ def shingled(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 4_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``most_chars`` of text."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_column)), 0), dtype=np.int64)
         lo, held = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if i > lo and (held + n > most_chars or i - lo >= most_rows):
