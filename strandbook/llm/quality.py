@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandbook.llm.common import ship
 from strandbook.llm.shingles import slices
@@ -21,6 +22,8 @@ BUCKETS, DIMS, ENTRIES, REACH = 4_096, 32, 4, 2
 #: Labelled rows that the network is fitted on, at most.
 LABELLED = 20_000
 REMEMBERED = 400_000
+#: Words that are pooled at once, and how far apart words are whose vectors are multiplied.
+PIECE, LAGS = 65_536, (1, 2)
 
 
 class Buckets(dict):
@@ -97,16 +100,25 @@ def word_vectors(context: np.ndarray, seed: int) -> np.ndarray:
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray, known: Buckets) -> np.ndarray:
-    """The mean word vector of each text; zeros without words."""
+    """Each text's mean word vector, and mean products of near words' vectors, which repetition shows in.
+
+    Zeros without words. A long text is pooled piece by piece.
+    """
     t, counts = _tokens(texts, known)
-    out = np.zeros((len(texts), vectors.shape[1]))
-    ends = np.cumsum(counts)
-    for lo in range(0, len(t), 65_536):  # a long text is pooled piece by piece
-        hi = min(lo + 65_536, len(t))
-        a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi - 1, "right")
-        begin = np.maximum(ends[a:b + 1] - counts[a:b + 1], lo) - lo
-        some = (np.minimum(ends[a:b + 1], hi) - lo) > begin
-        out[np.arange(a, b + 1)[some]] += np.add.reduceat(vectors[t[lo:hi]], begin[some], axis=0, dtype=np.float64)
+    d = vectors.shape[1]
+    out = np.zeros((len(texts), (1 + len(LAGS)) * d))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for lo in range(0, len(t), PIECE):
+        own = owner[lo:lo + PIECE]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        x = vectors[t[lo:lo + PIECE + len(LAGS)]]
+        n = len(own)
+        out[own[begin], :d] += np.add.reduceat(x[:n], begin, axis=0, dtype=np.float64)
+        for k in LAGS:
+            beside = np.zeros((n, d), np.float32)
+            same = np.flatnonzero(owner[lo + k:lo + n + k] == own[:max(len(x) - k, 0)][:n])
+            beside[same] = x[same] * x[same + k]
+            out[own[begin], k * d:(k + 1) * d] += np.add.reduceat(beside, begin, axis=0, dtype=np.float64)
     return out / np.maximum(counts, 1)[:, None]
 
 
@@ -185,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 3, most: int = LABELLE
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, x array<double>")
-    rows = rows.orderBy("doc_id", "x").limit(most).toArrow()  # at most ``most`` rows of 2 * DIMS numbers
-    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, vectors.shape[1]))
+    rows = rows.orderBy("doc_id", "x").limit(most).toArrow()  # at most ``most`` rows of 6 * DIMS numbers
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, (1 + len(LAGS)) * vectors.shape[1]))
     return vectors, fit(x, rows.column("quality").to_numpy().astype(np.float64), seed)
 
 
@@ -203,7 +215,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
             scores = shared.value[1].scores(pooled(batch.column(at).to_pylist(), shared.value[0], known))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, seed: int = 3) -> DataFrame:
