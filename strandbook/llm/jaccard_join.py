@@ -216,36 +216,32 @@ def _by_map(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sig, the whole set) of the documents with these ids."""
+def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds ``common``, the exact size of the intersection, from both whole texts.
+
+    Texts travel, not sets: they compress to less than half of the hashes' size.
+    """
+    names = ["a", "b", "n_a", "n_b", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in slices(batches, 1):
-            sets = _sets(batch.column(1).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([_signature(s) for s in sets], np.uint64))), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
-
-    ids = ids.select("doc_id").distinct()
+        for whole in batches:
+            for batch in slices(slices([whole], 4), 5):
+                x, y = (_sets(batch.column(c).to_pylist(), known) for c in ("text_a", "text_b"))
+                # A repeated doc_id may bring another text along, which has another signature.
+                own = [_signature(s) == a and _signature(t) == b for s, t, a, b in zip(
+                    x, y, batch.column("a").to_numpy().view(np.uint64).tolist(), batch.column("b").to_numpy().view(np.uint64).tolist(), strict=True)]
+                common = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(common, pa.int64())], names).filter(pa.array(own, pa.bool_()))
+
+    reps = lambda s: classes.select(F.col("sig").alias(s), F.col("doc_id").alias(f"doc_{s}"))
+    named = checkpointed(pairs.join(reps("a"), "a").join(reps("b"), "b"))
+    ids = named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if small_enough(ids, IDS_TO_BROADCAST) else ids
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "sig long, shingles binary")
-
-
-def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds ``common``, the exact size of the intersection."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(common, pa.int64())], ["a", "b", "n_a", "n_b", "common"])
-
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    # A repeated doc_id may bring other texts along; the join on sig leaves them out.
-    sets = checkpointed(_sets_of(docs, classes.join(involved, "sig", "left_semi")).join(involved, "sig", "left_semi").dropDuplicates(["sig"]))
-    side = lambda s: sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"set_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_a long, n_b long, common long")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    side = lambda s: texts.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
+    joined = named.join(side("a"), "doc_a").join(side("b"), "doc_b").select(*names[:4], "text_a", "text_b")
+    return joined.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
 
 
 def _skipped(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
