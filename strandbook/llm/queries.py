@@ -101,4 +101,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vector_dedup": op10_vector_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op1 needs a checksum, op2 a tokenizer, op3 a parser, op5 and op9 arithmetic that DuckDB lacks, and
+#: op6 sums in an order of its own; these are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, (lag(role) OVER w IS DISTINCT FROM role)::INT AS begins,
+    length(regexp_replace(replace(text, '\', '\\'), '([\[<])(/?(?:INST|AND|s)[\]>])', '\1\\\2', 'g')) AS chars,
+    length(regexp_replace(replace(role, '\', '\\'), '([\[<])(/?(?:INST|AND|s)[\]>])', '\1\\\2', 'g')) AS role_chars
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(begins * (6 + role_chars + 7 + 4) + (1 - begins) * 5 + chars) AS BIGINT) AS formatted_chars,
+  CAST(sum(begins) AS BIGINT) AS n_blocks
+FROM marked GROUP BY conv_id""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 75 * (p.n + q.n - common)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op8_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CAST('0x' || substr(md5('mix|' || doc_id), 1, 15) AS BIGINT) AS place FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight,
+    row_number() OVER (ORDER BY encode(source) NULLS LAST) AS n FROM d GROUP BY source),
+filled AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY 2.0 * source_size / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, 2.0 * source_size / weight AS fill FROM src),
+water AS (SELECT arg_min(level, (fill, n)) FILTER (level <= fill) AS water FROM filled),
+target AS (SELECT source, source_size, least(2.0 * source_size, coalesce(weight * water, 2.0 * source_size))::DOUBLE AS target FROM filled, water),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM target),
+laid AS (
+  SELECT d.*, p.source_size, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.whole * p.source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY d.source, place) AS ahead,
+    sum(size) OVER (PARTITION BY d.source, place) AS tied
+  FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, round(target, 4) AS target,
+  CAST(whole * size + CASE WHEN rest <= ahead THEN 0 WHEN rest >= ahead + tied THEN size ELSE floor(size * (rest - ahead) / tied) END AS BIGINT) AS taken FROM laid""",
+    "op10_vector_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, (SELECT min(y) FROM reach WHERE x = vec_id) AS component_id,
+  (SELECT min(y) FROM reach WHERE x = vec_id) = vec_id AS kept FROM embeddings""",
+}
