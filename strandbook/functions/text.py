@@ -91,8 +91,8 @@ def project_name(cwd: Column) -> Column:
 
 
 def has_evidence(text: Column) -> Column:
-    """Whether a text names a place in a file, quotes code, or a test with a number."""
-    return text.rlike(r"\w+\.\w+:\d+") | text.rlike(r"`[^`]+`") | text.rlike(r"[Tt]est\w*\D*\d+")
+    """Whether a text names a line of a file, quotes code, or a test with a number soon after."""
+    return text.rlike(r"\w+\.\w+:\d+") | text.rlike(r"`[^`\n]+`") | text.rlike(r"Test[^\d\n]{0,20}\d+")
 
 
 def thousands(n: Column) -> Column:
