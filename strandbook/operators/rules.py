@@ -9,6 +9,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandbook import schema as S
 from strandbook.operators.metrics import tool_error_counts, with_blamed_tool
@@ -26,7 +27,7 @@ class SessionFrames:
     rounds: DataFrame | None = None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_text(x: pd.Series) -> pd.Series:
     """One digit behind the point, rounded on the binary value, which format_string does not do."""
     return x.map(lambda v: None if pd.isna(v) else f"{v * 100:.1f} %")

@@ -65,7 +65,7 @@ class Watch(StatefulProcessor):
                 self.clock.update((size, last, calls))
                 continue
             self.clock.update((int(row.size), at, 0))
-            for signature, value in (tuple(x) for x in row.warnings):
+            for signature, value in ((x["signature"], x["value"]) for x in row.warnings):
                 if self.told.containsKey((signature,)) and self.told.getValue((signature,))[0] == value:
                     continue
                 self.told.updateValue((signature,), (value,))
