@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandbook.llm.common import checkpointed, connected_components, ship, shuffle_width, small_enough
-from strandbook.llm.shingles import WordHashes, binary_rows, shingled, signed, slices, word_hashes
+from strandbook.llm.shingles import WordHashes, shingled, signed, slices, word_hashes
 
-#: Bits of a set's parity map; two maps' difference bounds the sets' difference from below.
-MAP_BITS = 1024
+#: Bits of a set's parity map, at least; two maps' difference bounds the sets' difference from below.
+LEAST_BITS = 1024
 #: Frequent shingles that are put last in the order; any order gives right results.
-ORDERED = 100_000
+ORDERED = 400_000
+#: Shingles that a task counts at once to find those that are frequent.
+COUNTED_AT_ONCE = 2_000_000
 #: Index lists up to this length are joined block by block at once; longer ones go by leaders first.
 SHORT_LIST = 8
 #: Ids that are broadcast at most; beyond, the join shuffles.
@@ -38,26 +40,49 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
 
 
+def _parity_map(s: np.ndarray) -> bytes:
+    """One bit for each hash bucket: whether an odd number of the set falls there. Larger sets have larger maps."""
+    bits = max(LEAST_BITS, 1 << (2 * len(s)).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Buckets in which two maps differ: no more than the sets' elements that only one of them has."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) != len(v):  # the larger one is folded, which keeps the parities
+        if len(u) < len(v):
+            u, v = v, u
+        u = u[:len(u) // 2] ^ u[len(u) // 2:]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row (kind 0) for each document: n, signature, parity map; and rows (kind 1) of frequent shingles with counts."""
+    """A row (kind 0) for each document: n, signature, parity map; and rows (kind 1) of shingles that several documents have, with counts."""
+
+    names = ["kind", "doc_id", "n", "sig", "map"]
+
+    def shared(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, times = np.unique(np.concatenate(held), return_counts=True)
+        every, times = every[times > 1], times[times > 1]
+        if len(every):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.ones(len(every), np.int8)), pa.nulls(len(every), pa.int64()), pa.array(times), pa.array(signed(every)), pa.nulls(len(every), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, held = WordHashes(), []
         for batch in slices(batches, 1):
             sets = _sets(batch.column(1).to_pylist(), known)
             sig = np.array([_signature(s) for s in sets], np.uint64)
-            maps = [np.packbits(np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes() for s in sets]
-            every, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = times >= max(4, len(sets) // 1000)
-            every, times = every[often], times[often]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(len(sets), np.int8)), batch.column(0).cast(pa.int64()),
-                pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), pa.array(signed(sig)), pa.array(maps, pa.binary())], NAMES)
-            if len(every):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.ones(len(every), np.int8)), pa.nulls(len(every), pa.int64()), pa.array(times), pa.array(signed(every)), pa.nulls(len(every), pa.binary())], NAMES)
+                pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), pa.array(signed(sig)), pa.array([_parity_map(s) for s in sets], pa.binary())], names)
+            held += sets
+            if sum(map(len, held)) > COUNTED_AT_ONCE:
+                yield from shared(held)
+                held = []
+        if held:
+            yield from shared(held)
 
-    NAMES = ["kind", "doc_id", "n", "sig", "map"]
     return docs.select("doc_id", "text").mapInArrow(run, "kind tinyint, doc_id long, n long, sig long, map binary")
 
 
@@ -170,14 +195,61 @@ def _lists(entries: DataFrame, percent: int, width: int) -> DataFrame:
     return entries.repartition(width, "shingle").mapInArrow(run, LISTED_SCHEMA)
 
 
-def _across(entries: DataFrame, percent: int, width: int) -> DataFrame:
-    """Candidate pairs of long lists whose sets no link has joined yet (column ``component``)."""
+def _near(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i, j) of rows the parity maps allow."""
+    apart = np.zeros(len(i), np.int64)
+    size = np.fromiter(map(len, maps), np.int64, len(maps))
+    for length in np.unique(size[i]):
+        same = np.flatnonzero((size[i] == length) & (size[j] == length))
+        rows, at = np.unique(np.r_[i[same], j[same]], return_inverse=True)
+        words = np.frombuffer(b"".join(maps[r] for r in rows), np.uint64).reshape(len(rows), -1)
+        for lo in range(0, len(same), 20_000):
+            k = np.arange(lo, min(lo + 20_000, len(same)))
+            apart[same[k]] = np.bitwise_count(words[at[k]] ^ words[at[len(same) + k]]).sum(1, dtype=np.int64)
+    for k in np.flatnonzero(size[i] != size[j]):
+        apart[k] = _differing(maps[i[k]], maps[j[k]])
+    both = n[i].astype(np.int64) + n[j]
+    return (both - apart) // 2 >= needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
+
+
+def _across(entries: DataFrame, percent: int, width: int, tries: int) -> DataFrame:
+    """Candidate pairs (a, b, n_a, n_b) of long lists whose sets no link has joined yet (column ``component``).
+
+    With ``tries`` each entry meets only the next one of another component, in an
+    order that each number deals anew; a few such rounds join most of what
+    belongs together. With 0 all such pairs are made. Pairs that their sizes,
+    places or parity maps rule out are left out at once.
+    """
+    names = ["a", "b", "n_a", "n_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = _whole(batches, "shingle", "n", "sig")
+        cols = _whole(batches, "shingle", *(["deal"] if tries else []), "n", "sig")
         if cols is None:
             return
-        shingle, sig, n, place, part = (cols[c] for c in ("shingle", "sig", "n", "place", "component"))
+        shingle, sig, n, place, part, maps = (cols[c] for c in ("shingle", "sig", "n", "place", "component", "map"))
+        seen: set[tuple[int, int]] = set()  # a pair of several lists is looked at once
+
+        def told(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            swap = sig[i] > sig[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            _, once = np.unique(np.stack([sig[i], sig[j]], 1), axis=0, return_index=True)
+            fresh = [k for k in once.tolist() if (sig[i[k]], sig[j[k]]) not in seen]
+            if len(seen) < 2_000_000:
+                seen.update((sig[i[k]], sig[j[k]]) for k in fresh)
+            i, j = i[fresh], j[fresh]
+            if len(i):
+                ok = _near(maps, n, i, j, percent)
+                i, j = i[ok], j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(sig[j]), pa.array(n[i].astype(np.int64)), pa.array(n[j].astype(np.int64))], names)
+
+        if tries:
+            border = np.r_[np.flatnonzero((shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])) + 1, len(shingle)]
+            i = np.arange(len(shingle))
+            j = border[np.searchsorted(border, i, side="right")]
+            i, j = i[j < len(shingle)], j[j < len(shingle)]
+            ok = (shingle[i] == shingle[j]) & _passes(n, place, i, j, percent)
+            yield from told(i[ok], j[ok])
+            return
         starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
         for lo, hi in zip(starts, np.r_[starts[1:], len(shingle)], strict=True):
             if (part[lo:hi] == part[lo]).all():
@@ -190,13 +262,14 @@ def _across(entries: DataFrame, percent: int, width: int) -> DataFrame:
                 if len(j):
                     pairs.append((np.full(len(j), i), j))
                     held += len(j)
-                if held > 500_000:
-                    yield _pair_batch(pairs, sig)
+                if pairs and (held > 200_000 or i == hi - 2):
+                    yield from told(np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs]))
                     held, pairs = 0, []
             if pairs:
-                yield _pair_batch(pairs, sig)
+                yield from told(np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs]))
 
-    return entries.repartition(width, "shingle").mapInArrow(run, LISTED_SCHEMA).select("a", "b").distinct()
+    entries = entries.withColumn("deal", F.xxhash64("sig", F.lit(tries)))
+    return entries.repartition(width, "shingle").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def _by_map(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +281,7 @@ def _by_map(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            apart = np.bitwise_count(binary_rows(batch.column("map_a")) ^ binary_rows(batch.column("map_b"))).sum(1, dtype=np.int64)
+            apart = np.fromiter(map(_differing, batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist()), np.int64, batch.num_rows)
             ok = (na + nb - apart) // 2 >= needed(na, nb, percent)
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok))
 
@@ -281,30 +354,46 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = checkpointed(_summaries(docs))
     rows = told.filter("kind = 0").drop("kind")
-    frequent = told.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "sig").limit(ORDERED).collect()  # bounded by ORDERED
-    frequent = np.array([r.sig for r in reversed(frequent)], np.int64).view(np.uint64)
+    frequent = told.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "sig").limit(ORDERED).toArrow()  # bounded by ORDERED
+    frequent = frequent.column("sig").to_numpy()[::-1].copy().view(np.uint64)
     usable = rows.filter("n > 0 and doc_id is not null")
     classes = checkpointed(usable.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.first("map").alias("map")))
     entries = _prefixes(docs.filter("doc_id is not null"), frequent, percent)
     expected = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100.0) + 1"))).first()[0] or 0
-    width = shuffle_width(docs, int(expected), PREFIX_ROWS_PER_TASK)
-    listed = checkpointed(_lists(entries, percent, width))
-    pairs = checkpointed(_by_map(listed.filter("b is not null").select("a", "b").distinct(), classes, percent))
-    counted = checkpointed(_counted(pairs, docs, classes))
+    listed = checkpointed(_lists(entries, percent, shuffle_width(docs, int(expected), PREFIX_ROWS_PER_TASK)))
+    candidates = checkpointed(_by_map(listed.filter("b is not null").select("a", "b").distinct(), classes, percent))
     linked = f"common * {100 + percent} >= {percent} * (n_a + n_b)"
-    edges = counted.filter(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    components = checkpointed(connected_components(edges))
+    edge = lambda d: d.filter(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    star = lambda c: c.filter("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    side = lambda c, s: c.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}"))
+
+    def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+        """Pairs that no links join yet."""
+        placed = pairs.join(side(components, "a"), "a", "left").join(side(components, "b"), "b", "left")
+        return placed.filter("coalesce(part_a, a) != coalesce(part_b, b)").drop("part_a", "part_b")
+
+    # Every set with its first candidate; then the other candidates that are still apart; then long lists,
+    # in which neighbours come first and all others last.
+    first = candidates.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
+    counted = checkpointed(_counted(first, docs, classes))
+    components = checkpointed(connected_components(edge(counted)))
+    others = candidates.join(first.select("a", "b"), ["a", "b"], "left_anti")
     long = listed.filter("b is null").select(F.col("a").alias("sig"), "shingle", "n", "place")
-    if not long.isEmpty():
-        known = components.select(F.col("node").alias("sig"), "component")
-        placed = long.join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        open_ = _across(placed, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        open_ = open_.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        rest = checkpointed(_skipped(_by_map(open_, classes, percent), counted, percent))
+    for tries in (None, 1, 2, 3, 0):
+        if tries is None:
+            open_ = apart(others, components)
+        elif long.isEmpty():
+            break
+        else:
+            placed = long.join(components.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+            placed = placed.join(classes.select("sig", "map"), "sig")
+            across = _across(placed, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tries)
+            open_ = across.join(counted.select("a", "b"), ["a", "b"], "left_anti")
+        rest = checkpointed(_skipped(open_, counted, percent))
         if not rest.isEmpty():
-            more = _counted(rest, docs, classes).filter(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            star = components.filter("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-            components = checkpointed(connected_components(star.unionByName(more)))
+            more = checkpointed(_counted(rest, docs, classes))
+            components = checkpointed(connected_components(star(components).unionByName(edge(more))))
+            counted = counted.unionByName(more)
     parts = classes.select("sig", "doc_id").join(components.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     parts = parts.join(least, "component").select("sig", "component_id")

@@ -13,7 +13,7 @@ WIDTH = 5
 #: Distinct odd multipliers, one for each place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Words that a Python worker remembers the hashes of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):
@@ -69,7 +69,7 @@ def shingled(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(out), own
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 4_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 2_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``most_chars`` of text."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_column)), 0), dtype=np.int64)
@@ -86,8 +86,3 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
-
-def binary_rows(array: pa.Array) -> np.ndarray:
-    """A column of equally long binaries as a matrix of bytes."""
-    values = array.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
