@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word, wherever words are counted or compared: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,7 +112,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, as ``--py-files`` would, once for each application."""
+    """Sends this package to the executors, as ``--py-files`` would, once for each application.
+
+    Where the session leaves the size of Arrow batches at Spark's 64 MB, it is set
+    to 8 MB, as texts are long and a worker holds a batch besides what it makes of it.
+    """
+    if spark.conf.get(ARROW_BYTES, "64m").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(ARROW_BYTES, "8m")
     context = spark.sparkContext
     if getattr(context, "_strandbook_shipped", False):
         return

@@ -201,6 +201,8 @@ def _near(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, percen
     size = np.fromiter(map(len, maps), np.int64, len(maps))
     for length in np.unique(size[i]):
         same = np.flatnonzero((size[i] == length) & (size[j] == length))
+        if not len(same):
+            continue
         rows, at = np.unique(np.r_[i[same], j[same]], return_inverse=True)
         words = np.frombuffer(b"".join(maps[r] for r in rows), np.uint64).reshape(len(rows), -1)
         for lo in range(0, len(same), 20_000):
