@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ IDS_TO_BROADCAST = 1_000_000
 WINDOW_ROWS_PER_TASK = 1_000_000
 #: Words that two matching runs may lie apart within one passage.
 GAP = 12
+#: Pairs of equal shingles of two texts that are held at once.
+SEEDS_AT_ONCE = 1_000_000
 
 
 def compact_windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,52 +137,129 @@ def _leads(windows: DataFrame, width: int) -> DataFrame:
     return windows.repartition(width, "signature").mapInArrow(run, "a long, b long").distinct()
 
 
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal shingles (start in x, start in y, length), on all diagonals.
+
+    Equal places are walked in blocks, and only those that begin or end a run are held.
+    """
+    order_y = np.argsort(y, kind="stable")
+    sy = y[order_y]
+    lo = np.searchsorted(sy, x, "left")
+    many = np.searchsorted(sy, x, "right") - lo
+    at = np.flatnonzero(many)
+    lo, many = lo[at], many[at]
+    upto = np.cumsum(many)
+    begins, ends = [], []
+    k = 0
+    while k < len(at):
+        before = upto[k] - many[k]
+        m = max(int(np.searchsorted(upto, before + SEEDS_AT_ONCE, "right")), k + 1)
+        own = many[k:m]
+        i = np.repeat(at[k:m], own)
+        j = order_y[np.repeat(lo[k:m] - (upto[k:m] - own - before), own) + np.arange(len(i))]
+        first, last = (i == 0) | (j == 0), (i == len(x) - 1) | (j == len(y) - 1)
+        first |= x[i - 1] != y[j - 1]
+        last |= x[np.minimum(i + 1, len(x) - 1)] != y[np.minimum(j + 1, len(y) - 1)]
+        begins.append(np.stack([i[first], j[first]]))
+        ends.append(np.stack([i[last], j[last]]))
+        k = m
+    if not begins:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    i, j = np.concatenate(begins, 1)
+    e, f = np.concatenate(ends, 1)
+    # Runs of one diagonal don't overlap, so its k-th begin belongs to its k-th end.
+    a, b = np.lexsort([i, i - j]), np.lexsort([e, e - f])
+    i, j, n = i[a], j[a], e[b] - i[a] + 1
+    order = np.lexsort([j, i])
+    return i[order], j[order], n[order]
+
+
+def _chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs with small gaps in both texts, each linked to the longest chain that it goes on; all chains that nothing goes on."""
+    reach = GAP + 2 * WIDTH + 1
+    ends: dict[tuple[int, int], list[int]] = defaultdict(list)
+    score, back, inner = [], [], [False] * len(runs)
+    for k, (i, j, n) in enumerate(runs):
+        best, link = (0, 0), -1
+        u, v = (i - GAP - WIDTH) // reach, (j - GAP - WIDTH) // reach
+        for cell in ((u, v), (u, v + 1), (u + 1, v), (u + 1, v + 1)):
+            for r in ends.get(cell, ()):
+                p, q, m = runs[r]
+                if p < i and q < j and -WIDTH <= i - p - m <= GAP + WIDTH and -WIDTH <= j - q - m <= GAP + WIDTH:
+                    rank = (score[r], -abs((i - j) - (p - q)))
+                    if link < 0 or rank > best:
+                        best, link = rank, r
+        score.append(n + best[0])
+        back.append(link)
+        if link >= 0:
+            inner[link] = True
+        ends[(i + n) // reach, (j + n) // reach].append(k)
+    for k in range(len(runs)):
+        if not inner[k]:
+            chain, r = [], k
+            while r >= 0:
+                chain.append(runs[r])
+                r = back[r]
+            yield chain[::-1]
+
+
 def shared_passages(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Near-equal passages of two texts' shingles: (start, end, start, end) in words.
 
-    Equal shingles are seeds; seeds in a row make runs, and runs with small gaps
-    make passages. A passage counts if both sides have ``least`` words and the
-    Jaccard similarity of their shingle sets suffices; otherwise each of its runs
-    may count alone.
+    Equal shingles are seeds, each place of one text with each of the other;
+    seeds in a row make runs, and runs with small gaps make passages. A run of
+    ``least`` words counts alone. A passage counts if both sides have that many
+    and the Jaccard similarity of their shingle sets suffices; else it loses its
+    shorter outer runs until it does. Passages that lie on both sides inside
+    others are left out.
     """
-    order_x, order_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
-    sx, sy = x[order_x], y[order_y]
-    lo, hi = np.searchsorted(sy, sx, "left"), np.searchsorted(sy, sx, "right")
-    rank = np.arange(len(sx)) - np.searchsorted(sx, sx, "left")
-    many = hi - lo
-    # The i-th of equal shingles meets the i-th, and the last one those that are left over.
-    ok = many > 0
-    i, j = order_x[ok], order_y[(lo + np.minimum(rank, many - 1))[ok]]
+    i, j, n = _runs(x, y)
     if not len(i):
         return []
-    diagonal = i - j
-    order = np.lexsort([i, diagonal])
-    i, j, diagonal = i[order], j[order], diagonal[order]
-    new = np.r_[True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)]
-    begin = np.flatnonzero(new)
-    size = np.diff(np.r_[begin, len(i)])
-    runs = sorted(zip(i[begin].tolist(), j[begin].tolist(), size.tolist(), strict=True))
-    chains: list[list[tuple[int, int, int]]] = []
-    for run in runs:
-        for chain in reversed(chains[-8:]):
-            p, q, n = chain[-1]
-            if -WIDTH <= run[0] - (p + n) <= GAP + WIDTH and -WIDTH <= run[1] - (q + n) <= GAP + WIDTH and run[1] > q:
-                chain.append(run)
-                break
-        else:
-            chains.append([run])
+    runs = list(zip(i.tolist(), j.tolist(), n.tolist(), strict=True))
+    # Pairs of words next to each other that are covered; overlapping passages are merged later on.
+    in_x, in_y = np.zeros(len(x) + WIDTH, bool), np.zeros(len(y) + WIDTH, bool)
     out = []
-    for chain in chains:
-        (a, c, _), (p, q, n) = chain[0], chain[-1]
-        b, d = p + n, q + n
-        if min(b - a, d - c) + WIDTH - 1 >= least:
+
+    def covered(s: int, e: int, t: int, f: int) -> bool:
+        return bool(in_x[s:e - 1].all() and in_y[t:f - 1].all())
+
+    def add(*span: int) -> None:
+        s, e, t, f = span
+        in_x[s:e - 1] = in_y[t:f - 1] = True
+        out.append(span)
+
+    chains = []
+    for chain in _chains(runs):
+        (a, c, _), b, d = chain[0], max(p + n for p, _, n in chain), max(q + n for _, q, n in chain)
+        if len(chain) > 1 and min(b - a, d - c) + WIDTH - 1 >= least:
+            chains.append((a - b, chain))
+    # The longest ones first, so that most of the others are covered before they are looked at.
+    for _, chain in sorted(chains):
+        lo, hi = 0, len(chain)
+        while hi - lo > 1:
+            a, c, _ = chain[lo]
+            b, d = max(p + n for p, _, n in chain[lo:hi]), max(q + n for _, q, n in chain[lo:hi])
+            span = (a, b + WIDTH - 1, c, d + WIDTH - 1)
+            if min(b - a, d - c) + WIDTH - 1 < least or covered(*span):
+                break
             u, v = np.unique(x[a:b]), np.unique(y[c:d])
             common = len(np.intersect1d(u, v, assume_unique=True))
             if common >= similarity * (len(u) + len(v) - common):
-                out.append((a, b + WIDTH - 1, c, d + WIDTH - 1))
-                continue
-        out += [(a, a + n + WIDTH - 1, c, c + n + WIDTH - 1) for a, c, n in chain if n + WIDTH - 1 >= least]
-    return out
+                add(*span)
+                break
+            if chain[lo][2] < chain[hi - 1][2]:
+                lo += 1
+            else:
+                hi -= 1
+    for a, c, n in sorted(runs, key=lambda z: (-z[2], z)):
+        if n + WIDTH - 1 < least:
+            break
+        span = (a, a + n + WIDTH - 1, c, c + n + WIDTH - 1)
+        if not covered(*span):
+            add(*span)
+    return sorted(out)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:

@@ -11,7 +11,7 @@ from brute import WORD, jaccard, repeated_words, words
 from conftest import SF
 from pyspark.sql import functions as F
 
-from strandbook.llm import bpe, chat, html_text, jaccard_join, mixing, passages, queries, sharding
+from strandbook.llm import bpe, chat, html_text, jaccard_join, mixing, passages, queries, sharding, shingles
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,6 +85,22 @@ def test_passages_find_every_exact_repeat(docs):
         assert len(got[d]) >= 50 and any(e != d and len(set(words(texts[d])) & set(words(t))) > 20 or t == texts[d] for e, t in rows)
 
 
+def test_shared_passages_of_places_that_repeat():
+    """The later text has the passage twice, after a piece of itself, or around a frequent line; the earlier one has it once."""
+    known = shingles.WordHashes()
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    covered = lambda x, y: {k for _, _, s, e in passages.shared_passages(*(shingles.shingled(*shingles.word_hashes([" ".join(t)], known))[0] for t in (x, y)), 50, 0.75) for k in range(s, e)}
+    p, line = some(60), some(24)
+    first = some(30) + p + some(30)
+    assert covered(first, p + some(40) + p) == {*range(60), *range(100, 160)}
+    assert covered(first, p[:30] + some(40) + p) >= {*range(70, 130)}
+    around = p[:20] + line + p[20:]
+    assert covered(some(9) + around, line + some(40) + line + some(40) + around) >= {*range(128, 212)}
+    pieces = [some(9) + p[k:k + 6] for k in range(0, 54, 6)]  # more open chains than eight
+    assert covered(sum(pieces, []) + p, p + sum(pieces[::-1], [])) >= {*range(60)}
+
+
 def test_passages_removed_once(docs):
     rows, df = docs
     left = [(r.doc_id, r.text) for r in passages.without_repeats(df).collect()]
