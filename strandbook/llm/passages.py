@@ -22,12 +22,13 @@ GAP = 12
 SEEDS_AT_ONCE = 1_000_000
 
 
-def compact_windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, ties: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All compact windows (left, centre, right) of at least ``least`` places of each segment [lo, hi).
 
     The Cartesian trees of all segments are walked level by level: a segment's
     minimum is its centre, every subsequence that holds the centre shares that
-    min-hash, and the parts beside it are the next level's segments.
+    min-hash, and the parts beside it are the next level's segments. ``ties``
+    gets all places of the segments' minima, of which only one is a centre.
     """
     out = []
     while len(lo):
@@ -41,6 +42,8 @@ def compact_windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: i
         owner = np.repeat(np.arange(len(lo)), hi - lo)
         at = np.repeat(lo, hi - lo) + np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         equal = np.flatnonzero(values[at] == low[owner])
+        if ties is not None:
+            ties.append(at[equal])
         begin = np.flatnonzero(np.r_[True, owner[equal[1:]] != owner[equal[:-1]]])
         hit = at[equal[begin + np.diff(np.r_[begin, len(equal)]) // 2]]  # the middle one of equal minima keeps the tree low
         out.append((lo, hit, hi - 1))
@@ -64,12 +67,13 @@ def _running_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
-    """A row (signature, doc_id, left, right) for each compact window.
+    """A row (signature, doc_id, left, right) for each place of a compact window's minimum.
 
     ``signature`` is the window's min-hashed shingle. ``left`` and ``right``
     sum up the shingles before and after it (0: too few): a passage of the least
     length reaches at least half its length to one side, and there two near
-    halves' min-hashes agree.
+    halves' min-hashes agree. Of equal minima each is a row, as which of them is
+    the centre depends on the text around the passage.
     """
     half = least // 2
     near, far = half // 2, half - half // 2
@@ -94,7 +98,9 @@ def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
 
             for k in range(hashes):
                 h = mixed(values, 11 + k)
-                _, c, _ = compact_windows(h, start, end, least)
+                ties: list[np.ndarray] = []
+                compact_windows(h, start, end, least, ties)
+                c = np.unique(np.concatenate(ties)) if ties else np.zeros(0, np.int64)
                 s, e = start[owner[c]], end[owner[c]]
                 left = side(c - near, c - near - far, c - near - far >= s)
                 right = side(np.minimum(c + 1, len(h) - 1), np.minimum(c + 1 + near, len(h) - 1), c + near + far < e)

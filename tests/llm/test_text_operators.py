@@ -101,6 +101,20 @@ def test_shared_passages_of_places_that_repeat():
     assert covered(sum(pieces, []) + p, p + sum(pieces[::-1], [])) >= {*range(60)}
 
 
+def test_windows_of_a_passage_that_repeats_its_words(spark):
+    """A refrain that also stands outside the passage in one of the texts moves the centre there, not the keys."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(100):
+        refrain = some(7)
+        p = (refrain * 8)[:50]
+        rows += [(2 * k, " ".join(some(30) + p + some(30))), (2 * k + 1, " ".join(some(20) + refrain * rng.randint(1, 6) + some(rng.randint(1, 9)) + p + some(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(r.a, r.b) for r in passages._leads(passages._windows(df, 46, 1), 4).collect()}
+    assert pairs >= {(2 * k, 2 * k + 1) for k in range(100)}
+
+
 def test_passages_removed_once(docs):
     rows, df = docs
     left = [(r.doc_id, r.text) for r in passages.without_repeats(df).collect()]
