@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever words are counted or compared: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges that a task joins at once; rows up to which a table of ids, and one of pairs, is broadcast.
+EDGES_PER_TASK, BROADCAST_ROWS, BROADCAST_PAIRS = 500_000, 1_000_000, 300_000
+#: Texts that are held against one text in one block.
+BLOCK = 1_000
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -21,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs, tests) a temporary one is taken.
+    Only a local session without one (tests) gets a temporary folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandbook-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandbook-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -35,6 +46,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, in no more partitions than its rows need, and its number of rows."""
+    held = checkpointed(df)
+    n = held.count()
+    return held.coalesce(max(1, -(-n // rows_per_task))), n
+
+
+def either_way(small: DataFrame) -> DataFrame:
+    """Broadcast if it has been counted to be small enough, else shuffled."""
+    return F.broadcast(small) if small_enough(small, BROADCAST_ROWS) else small
+
+
+def meetings(pairs: DataFrame, n: int, texts: DataFrame, width: int) -> DataFrame:
+    """Brings the texts of ``n`` pairs (hub, member, and more columns) together: each hub's in front of its members'.
+
+    ``texts`` has key and text, one row a key. Each member's text travels once a
+    pair, the hub's once for each block of about BLOCK members, so that no hub's
+    members must lie in one task. Rows (hub, block, member, text, more) are sorted
+    by hub and block; the hub's own row comes first and has a null member.
+    """
+    more = [c for c in pairs.columns if c not in ("hub", "member")]
+    crowded = pairs.groupBy("hub").count().filter(F.col("count") > BLOCK).select("hub", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    crowded = checkpointed(crowded).coalesce(1)
+    dealt = pairs.join(either_way(crowded), "hub", "left").withColumn("block", F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    dealt, _ = sized(dealt, 100_000)
+    hubs = dealt.select("hub", "block").distinct()
+    wanted = checkpointed(dealt.select(F.col("hub").alias("key")).unionByName(dealt.select(F.col("member").alias("key"))).distinct())
+    texts = texts.join(either_way(wanted), "key", "left_semi").select("key", "text")
+    if n <= BROADCAST_PAIRS:  # then pairs go to the texts
+        hubs, dealt = F.broadcast(hubs), F.broadcast(dealt)
+    there = texts.join(dealt.withColumnRenamed("member", "key"), "key").select("hub", "block", F.col("key").alias("member"), "text", *more)
+    first = texts.join(hubs.withColumnRenamed("hub", "key"), "key").select(F.col("key").alias("hub"), "block", F.lit(None).cast("long").alias("member"), "text", *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more))
+    least = max(1, min(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 200))
+    return there.unionByName(first).repartition(max(width, least), "hub", "block").sortWithinPartitions("hub", "block", F.col("member").asc_nulls_first())
+
+
 def shuffle_width(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Tasks for a shuffle of about ``rows`` rows: the session's number, or more where tasks would get too many."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
@@ -79,13 +126,39 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, width: int | None =
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges a[i] - b[i], and the smallest node that each one reaches over them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while not (root[a] == root[b]).all():
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while not (root[root] == root).all():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges, as one edge (node, smallest node that it reaches) for each node."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        nodes, roots = local_roots(t.column("src").to_numpy(), t.column("dst").to_numpy())
+        apart = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["src", "dst"])
+
+
+def connected_components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """``node``, ``component`` (smallest node that links reach) for every node of ``edges`` (src, dst longs).
 
-    Alternates large-star and small-star steps. Each step hangs a node's
-    neighbours under the smallest one it knows, so chains shrink by halves and a
-    node's edges never multiply; the edge set is checkpointed after each round
-    until it no longer changes.
+    Each task first joins its own share of the edges, at most about ``per_task``
+    of them, and keeps one for each node. If that leaves several tasks' worth,
+    large-star and small-star steps follow, which hang a node's neighbours under
+    the smallest one it knows, so that chains shrink by halves and edges never
+    multiply; and so on until the edges no longer change.
     """
     def both(e: DataFrame) -> DataFrame:
         return e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -97,13 +170,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def print_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    now = checkpointed(edges.filter("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    seen = print_of(now)
-    while seen[0]:
+    now, n = sized(edges.filter("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), per_task)
+    seen = None
+    while n:
+        last = n <= per_task
+        now, n = sized(now.mapInArrow(_forest, "src long, dst long"), per_task)
+        if last:
+            break
         step = with_least(both(now)).filter("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
         small = with_least(step)
         small = small.select("src", F.col("least").alias("dst")).unionByName(small.filter("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst")))
-        now = checkpointed(small.filter("src != dst").distinct())
+        now, n = sized(small.filter("src != dst").distinct(), per_task)
         was, seen = seen, print_of(now)
         if was == seen:
             break

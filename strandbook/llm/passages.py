@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import WORD, checkpointed, ship, shuffle_width, small_enough
-from strandbook.llm.shingles import WIDTH, WordHashes, mixed, shingled, signed, slices, word_hashes
+from strandbook.llm.common import WORD, checkpointed, either_way, meetings, ship, shuffle_width, sized
+from strandbook.llm.shingles import WIDTH, mixed, shingled, signed, slices, word_hashes
 
-IDS_TO_BROADCAST = 1_000_000
 WINDOW_ROWS_PER_TASK = 1_000_000
-#: Words that two matching runs may lie apart within one passage.
-GAP = 12
-#: Pairs of equal shingles of two texts that are held at once.
-SEEDS_AT_ONCE = 1_000_000
+#: Windows that a task groups at once before they are shuffled.
+GROUPED_AT_ONCE = 500_000
+#: Shingles in a row that seed a near passage, seeds in a row that make a run, and words that two runs may lie apart.
+SEED, SEEDS, GAP = 8, 4, 24
+FACTOR, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 
 
 def compact_windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, ties: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,23 +65,106 @@ def _running_min(x: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.hash(text)
+
+
+WINDOW = ["signature", "before", "after", "doc_id", "text_key", "place"]
+LINK = ["a", "a_key", "b", "b_key", "in_b", "lo", "hi"]
+ROW = [*WINDOW, *LINK[2:]]
+ROW_SCHEMA = "signature long, before int, after int, doc_id long, text_key int, place int, b long, b_key int, in_b boolean, lo int, hi int"
+
+
+def _linked(signature: np.ndarray, side: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray, reach: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Links of the windows that share a signature and a side with an earlier text: LINK columns, and the rows that they cover.
+
+    The first text of such a group is linked to each of the others. A link has
+    the stretches of places in both texts; places within ``reach`` of each other make one.
+    """
+    rows = np.flatnonzero(side)
+    order = rows[np.argsort(signature[rows], kind="stable")]
+    s = signature[order]  # most signatures are one text's alone
+    same = np.zeros(len(s), bool)
+    same[1:] = s[1:] == s[:-1]
+    same[:-1] |= same[1:].copy()
+    order = order[same]
+    order = order[np.lexsort([place[order], key[order], doc[order], side[order], signature[order]])]
+    if not len(order):
+        return [], order
+    s, w, d, k, p = signature[order], side[order], doc[order], key[order], place[order]
+    group = np.r_[True, (s[1:] != s[:-1]) | (w[1:] != w[:-1])]
+    text = group | np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]
+    stretch = text | np.r_[True, np.diff(p) > reach]
+    begin = np.flatnonzero(stretch)
+    lo, hi = p[begin], p[np.r_[begin[1:], len(p)] - 1]
+    lead = np.maximum.accumulate(np.where(group, np.arange(len(p)), 0))  # the row of the group's first text
+    leads = (d == d[lead]) & (k == k[lead])
+    of_group = np.cumsum(group) - 1
+    later = begin[~leads[begin]]
+    if not len(later):
+        return [], order[:0]
+    own = [d[lead[later]], k[lead[later]], d[later], k[later], np.ones(len(later), bool), lo[~leads[begin]], hi[~leads[begin]]]
+    # The leading text's stretches, once for each other text of the group.
+    first = begin[leads[begin]]
+    others = np.flatnonzero(text & ~leads)
+    at = np.searchsorted(of_group[first], of_group[others], "left")
+    many = np.searchsorted(of_group[first], of_group[others], "right") - at
+    x = np.repeat(others, many)
+    y = np.repeat(at - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(len(x))
+    theirs = [d[lead[x]], k[lead[x]], d[x], k[x], np.zeros(len(x), bool), lo[leads[begin]][y], hi[leads[begin]][y]]
+    return [np.concatenate(z) for z in zip(own, theirs, strict=True)], order[~leads]
+
+
+def _link_batch(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links as rows of ROW, each once."""
+    found = [x for x in found if x]
+    if found:
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+        a, a_key, b, b_key, in_b, lo, hi = (c[new] for c in columns)
+        no = pa.nulls(len(a), pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(len(a), pa.int64()), no, no, pa.array(a), pa.array(a_key.astype(np.int32)), no, pa.array(b), pa.array(b_key.astype(np.int32)), pa.array(in_b),
+            pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ROW)
+
+
 def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
-    """A row (signature, doc_id, left, right) for each place of a compact window's minimum.
+    """Rows of ROW: windows (WINDOW columns), one for each place of a compact window's minimum, and links of windows that a task holds itself.
 
-    ``signature`` is the window's min-hashed shingle. ``left`` and ``right``
-    sum up the shingles before and after it (0: too few): a passage of the least
+    ``signature`` is the window's min-hashed shingle. ``before`` and ``after``
+    sum up the shingles on either side of it (0: too few): a passage of the least
     length reaches at least half its length to one side, and there two near
     halves' min-hashes agree. Of equal minima each is a row, as which of them is
-    the centre depends on the text around the passage.
+    the centre depends on the text around the passage. Windows of a task that
+    share a signature and a side are linked to the first text among them, and
+    only that one's windows go on to the shuffle, so that no passage is shuffled
+    by all documents that have it.
     """
     half = least // 2
     near, far = half // 2, half - half // 2
 
+    def grouped(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        signature, before, after, doc, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        found = []
+        for side in (before, after):
+            links, covered = _linked(signature, side, doc, key, place, least)
+            found.append(links)
+            side[covered] = 0
+        yield from _link_batch(found)
+        left = (before != 0) | (after != 0)
+        if left.any():
+            n = int(left.sum())
+            no = pa.nulls(n, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[left]) for x in (signature, before, after, doc, key, place)), pa.nulls(n, pa.int64()), no, pa.nulls(n, pa.bool_()), no, no], ROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, 1):
-            values, own = shingled(*word_hashes(batch.column(1).to_pylist(), known))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        held, many = [], 0
+        for batch in slices(batches, 2):
+            values, own = shingled(*word_hashes(batch.column(2)))
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             end = np.cumsum(own)
             start = end - own
             if not len(values):
@@ -92,8 +174,8 @@ def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
             a, b = _running_min(lone, near), _running_min(lone, far)
 
             def side(begin_near: np.ndarray, begin_far: np.ndarray, ok: np.ndarray) -> np.ndarray:
-                x = np.zeros(len(ok), np.int64)
-                x[ok] = signed(mixed(a[begin_near[ok]], 1) ^ mixed(b[begin_far[ok]], 2)) | 1
+                x = np.zeros(len(ok), np.int32)
+                x[ok] = (mixed(a[begin_near[ok]], 1) ^ mixed(b[begin_far[ok]], 2)).astype(np.uint32).view(np.int32) | 1
                 return x
 
             for k in range(hashes):
@@ -102,105 +184,89 @@ def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
                 compact_windows(h, start, end, least, ties)
                 c = np.unique(np.concatenate(ties)) if ties else np.zeros(0, np.int64)
                 s, e = start[owner[c]], end[owner[c]]
-                left = side(c - near, c - near - far, c - near - far >= s)
-                right = side(np.minimum(c + 1, len(h) - 1), np.minimum(c + 1 + near, len(h) - 1), c + near + far < e)
-                some = (left != 0) | (right != 0)
-                c, left, right = c[some], left[some], right[some]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mixed(values[c], 1000 + k))), pa.array(ids[owner[c]]), pa.array(left), pa.array(right)], ["signature", "doc_id", "left", "right"])
+                before = side(c - near, c - near - far, c - near - far >= s)
+                after = side(np.minimum(c + 1, len(h) - 1), np.minimum(c + 1 + near, len(h) - 1), c + near + far < e)
+                some = (before != 0) | (after != 0)
+                c, before, after = c[some], before[some], after[some]
+                held.append([signed(mixed(values[c], 1000 + k)), before, after, ids[owner[c]], keys[owner[c]], (c - start[owner[c]]).astype(np.int32)])
+                many += len(c)
+            if many > GROUPED_AT_ONCE:
+                yield from grouped(held)
+                held, many = [], 0
+        if many:
+            yield from grouped(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, left long, right long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, ROW_SCHEMA)
 
 
-def _leads(windows: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b), a < b: documents whose windows share a signature and a side, linked to the first such document."""
+def _links(rows: DataFrame, least: int, width: int) -> DataFrame:
+    """(hub, member, a, a_key, b, b_key, stretches): pairs of texts a before b whose windows share a signature and a side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        signature, doc, left, right = (t.column(c).to_numpy() for c in ("signature", "doc_id", "left", "right"))
-        # Most signatures are one document's alone.
-        order = np.argsort(signature, kind="stable")
-        s = signature[order]
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        same[:-1] |= same[1:].copy()
-        keep = order[same]
-        found = []
-        for side in (left, right):
-            rows = keep[side[keep] != 0]
-            rows = rows[np.lexsort([doc[rows], side[rows], signature[rows]])]
-            if not len(rows):
-                continue
-            new = np.r_[True, (signature[rows[1:]] != signature[rows[:-1]]) | (side[rows[1:]] != side[rows[:-1]])]
-            first = doc[rows][np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-            apart = first != doc[rows]
-            found.append(np.stack([first[apart], doc[rows][apart]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return windows.repartition(width, "signature").mapInArrow(run, "a long, b long").distinct()
-
-
-def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of equal shingles (start in x, start in y, length), on all diagonals.
-
-    Equal places are walked in blocks, and only those that begin or end a run are held.
-    """
-    order_y = np.argsort(y, kind="stable")
-    sy = y[order_y]
-    lo = np.searchsorted(sy, x, "left")
-    many = np.searchsorted(sy, x, "right") - lo
-    at = np.flatnonzero(many)
-    lo, many = lo[at], many[at]
-    upto = np.cumsum(many)
-    begins, ends = [], []
-    k = 0
-    while k < len(at):
-        before = upto[k] - many[k]
-        m = max(int(np.searchsorted(upto, before + SEEDS_AT_ONCE, "right")), k + 1)
-        own = many[k:m]
-        i = np.repeat(at[k:m], own)
-        j = order_y[np.repeat(lo[k:m] - (upto[k:m] - own - before), own) + np.arange(len(i))]
-        first, last = (i == 0) | (j == 0), (i == len(x) - 1) | (j == len(y) - 1)
-        first |= x[i - 1] != y[j - 1]
-        last |= x[np.minimum(i + 1, len(x) - 1)] != y[np.minimum(j + 1, len(y) - 1)]
-        begins.append(np.stack([i[first], j[first]]))
-        ends.append(np.stack([i[last], j[last]]))
-        k = m
-    if not begins:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    i, j = np.concatenate(begins, 1)
-    e, f = np.concatenate(ends, 1)
-    # Runs of one diagonal don't overlap, so its k-th begin belongs to its k-th end.
-    a, b = np.lexsort([i, i - j]), np.lexsort([e, e - f])
-    i, j, n = i[a], j[a], e[b] - i[a] + 1
-    order = np.lexsort([j, i])
-    return i[order], j[order], n[order]
+        held = [b.select(WINDOW) for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            signature, before, after, doc, key, place = (t.column(c).to_numpy() for c in WINDOW)
+            yield from _link_batch([_linked(signature, side, doc, key, place, least)[0] for side in (before, after)])
+
+    far = rows.filter("signature is not null").select(*WINDOW).repartition(width, "signature").mapInArrow(run, ROW_SCHEMA)
+    links = far.unionByName(rows.filter("signature is null")).select(F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), *LINK[2:])
+    return links.groupBy("a", "a_key", "b", "b_key").agg(F.collect_set(F.struct("in_b", "lo", "hi")).alias("stretches"))
+
+
+def grams(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` values in a row, one for each place where they begin."""
+    n = len(values)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, FACTOR, np.uint64)])
+    down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - width, INVERSE, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(values * up, dtype=np.uint64)]
+    return mixed((sums[width:] - sums[:n - width + 1]) * down)
+
+
+class Passage:
+    """A text's shingles, and its hashes of as many as the least passage has and of as many as seed a near one."""
+
+    def __init__(self, shingles: np.ndarray, least: int):
+        self.shingles = shingles
+        self.whole, self.seeds = grams(shingles, least), grams(shingles, min(SEED, least))
+        self.sorted_whole = np.unique(self.whole)
+        order = np.argsort(self.seeds, kind="stable")
+        seeds = self.seeds[order]
+        begin = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]]) if len(seeds) else np.zeros(0, np.int64)
+        self.known, self.first = seeds[begin], order[begin]
+        self.last = order[np.r_[begin[1:], len(seeds)] - 1] if len(seeds) else order
+
+    def has(self, grams_: np.ndarray) -> np.ndarray:
+        if not len(self.sorted_whole):
+            return np.zeros(len(grams_), bool)
+        return self.sorted_whole[np.minimum(np.searchsorted(self.sorted_whole, grams_), len(self.sorted_whole) - 1)] == grams_
+
+
+def spread(places: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of ``n`` places lie in [p, p + width) for one of ``places``."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, places, 1)
+    np.add.at(steps, np.minimum(places + width, n), -1)
+    return np.cumsum(steps[:-1]) > 0
 
 
 def _chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
-    """Runs with small gaps in both texts, each linked to the longest chain that it goes on; all chains that nothing goes on."""
-    reach = GAP + 2 * WIDTH + 1
-    ends: dict[tuple[int, int], list[int]] = defaultdict(list)
+    """Runs (start, start, shingles) with small gaps in both texts, each linked to the longest chain that it goes on; those that nothing goes on."""
     score, back, inner = [], [], [False] * len(runs)
     for k, (i, j, n) in enumerate(runs):
-        best, link = (0, 0), -1
-        u, v = (i - GAP - WIDTH) // reach, (j - GAP - WIDTH) // reach
-        for cell in ((u, v), (u, v + 1), (u + 1, v), (u + 1, v + 1)):
-            for r in ends.get(cell, ()):
-                p, q, m = runs[r]
-                if p < i and q < j and -WIDTH <= i - p - m <= GAP + WIDTH and -WIDTH <= j - q - m <= GAP + WIDTH:
-                    rank = (score[r], -abs((i - j) - (p - q)))
-                    if link < 0 or rank > best:
-                        best, link = rank, r
-        score.append(n + best[0])
+        best, link = 0, -1
+        for r in range(k - 1, -1, -1):
+            p, q, m = runs[r]
+            if j - q - m > GAP:
+                break
+            if p < i and -SEED <= i - p - m <= GAP and score[r] > best:
+                best, link = score[r], r
+        score.append(n + best)
         back.append(link)
         if link >= 0:
             inner[link] = True
-        ends[(i + n) // reach, (j + n) // reach].append(k)
     for k in range(len(runs)):
         if not inner[k]:
             chain, r = [], k
@@ -210,141 +276,183 @@ def _chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, i
             yield chain[::-1]
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """Near-equal passages of two texts' shingles: (start, end, start, end) in words.
+def near_passages(x: Passage, y: Passage, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """Near-equal stretches of two texts' shingles (start, end, start, end), made of several runs.
 
-    Equal shingles are seeds, each place of one text with each of the other;
-    seeds in a row make runs, and runs with small gaps make passages. A run of
-    ``least`` words counts alone. A passage counts if both sides have that many
-    and the Jaccard similarity of their shingle sets suffices; else it loses its
-    shorter outer runs until it does. Passages that lie on both sides inside
-    others are left out.
+    Each seed of y is taken at the first, then at the last of its places in x.
+    Seeds in a row make runs, and runs with small gaps make chains. A chain counts
+    if both sides have ``least`` shingles and their sets' Jaccard similarity
+    suffices; else it loses its shorter outer runs until it does.
     """
-    i, j, n = _runs(x, y)
-    if not len(i):
+    if not len(x.known) or not len(y.seeds):
         return []
-    runs = list(zip(i.tolist(), j.tolist(), n.tolist(), strict=True))
-    # Pairs of words next to each other that are covered; overlapping passages are merged later on.
-    in_x, in_y = np.zeros(len(x) + WIDTH, bool), np.zeros(len(y) + WIDTH, bool)
+    at = np.minimum(np.searchsorted(x.known, y.seeds), len(x.known) - 1)
+    j = np.flatnonzero(x.known[at] == y.seeds)
     out = []
-
-    def covered(s: int, e: int, t: int, f: int) -> bool:
-        return bool(in_x[s:e - 1].all() and in_y[t:f - 1].all())
-
-    def add(*span: int) -> None:
-        s, e, t, f = span
-        in_x[s:e - 1] = in_y[t:f - 1] = True
-        out.append(span)
-
-    chains = []
-    for chain in _chains(runs):
-        (a, c, _), b, d = chain[0], max(p + n for p, _, n in chain), max(q + n for _, q, n in chain)
-        if len(chain) > 1 and min(b - a, d - c) + WIDTH - 1 >= least:
-            chains.append((a - b, chain))
-    # The longest ones first, so that most of the others are covered before they are looked at.
-    for _, chain in sorted(chains):
-        lo, hi = 0, len(chain)
-        while hi - lo > 1:
-            a, c, _ = chain[lo]
-            b, d = max(p + n for p, _, n in chain[lo:hi]), max(q + n for _, q, n in chain[lo:hi])
-            span = (a, b + WIDTH - 1, c, d + WIDTH - 1)
-            if min(b - a, d - c) + WIDTH - 1 < least or covered(*span):
-                break
-            u, v = np.unique(x[a:b]), np.unique(y[c:d])
-            common = len(np.intersect1d(u, v, assume_unique=True))
-            if common >= similarity * (len(u) + len(v) - common):
-                add(*span)
-                break
-            if chain[lo][2] < chain[hi - 1][2]:
-                lo += 1
-            else:
-                hi -= 1
-    for a, c, n in sorted(runs, key=lambda z: (-z[2], z)):
-        if n + WIDTH - 1 < least:
+    for places in (x.first, x.last):
+        i = places[at[j]]
+        if not len(j) or places is x.last and (i == x.first[at[j]]).all():
             break
-        span = (a, a + n + WIDTH - 1, c, c + n + WIDTH - 1)
-        if not covered(*span):
-            add(*span)
-    return sorted(out)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
-    """(a, a_start, a_end, b, b_start, b_end) of every passage that a pair really shares."""
-    names = ["a", "a_start", "a_end", "b", "b_start", "b_end"]
+        begin = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)])
+        many = np.diff(np.r_[begin, len(j)])
+        long = many >= SEEDS
+        begin, many = begin[long], many[long] + min(SEED, least) - 1
+        if len(begin) < 2:
+            continue
+        for chain in _chains(list(zip(i[begin].tolist(), j[begin].tolist(), many.tolist(), strict=True))):
+            lo, hi = 0, len(chain)
+            while hi - lo > 1:
+                a, c, _ = chain[lo]
+                b, d = max(p + n for p, _, n in chain[lo:hi]), max(q + n for _, q, n in chain[lo:hi])
+                if min(b - a, d - c) < least:
+                    break
+                u, v = np.unique(x.shingles[a:b]), np.unique(y.shingles[c:d])
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if common >= similarity * (len(u) + len(v) - common):
+                    out.append((a, b, c, d))
+                    break
+                if chain[lo][2] < chain[hi - 1][2]:
+                    lo += 1
+                else:
+                    hi -= 1
+    return out
+
+
+def shared_words(x: Passage, y: Passage, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of each text lie in a passage that both share: exactly and ``least`` shingles long at least, or nearly."""
+    n, m = len(x.shingles) + WIDTH - 1, len(y.shingles) + WIDTH - 1
+    in_x = spread(np.flatnonzero(y.has(x.whole)), n, least + WIDTH - 1)
+    in_y = spread(np.flatnonzero(x.has(y.whole)), m, least + WIDTH - 1)
+    if not (in_x.all() and in_y.all()):
+        for a, b, c, d in near_passages(x, y, least, similarity):
+            in_x[a:b + WIDTH - 1] = True
+            in_y[c:d + WIDTH - 1] = True
+    return in_x, in_y
+
+
+def spans_of(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of true begin and end."""
+    edge = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+FOUND = ["doc_id", "text_key", "first_doc_id", "repeated", "start_word", "end_word", "gram"]
+
+
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Rows of FOUND: the passages that pairs really share, and the hashes of least passages (gram) near their windows that only one of both has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                x, nx = shingled(*word_hashes(batch.column("text_a").to_pylist(), known))
-                y, ny = shingled(*word_hashes(batch.column("text_b").to_pylist(), known))
-                ex, ey = np.cumsum(nx), np.cumsum(ny)
-                out = []
-                for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                    for s, e, t, f in shared_passages(x[ex[k] - nx[k]:ex[k]], y[ey[k] - ny[k]:ey[k]], least, similarity):
-                        out.append((a, s, e, b, t, f))
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
-
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    ids = F.broadcast(ids) if small_enough(ids, IDS_TO_BROADCAST) else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        hub, lead, own, covered, told = None, None, None, None, None
+
+        def rows(doc: int, key: int, first: int, repeated: bool, words: np.ndarray) -> list[tuple]:
+            return [(doc, key, first, repeated, s, e, None) for s, e in zip(*(z.tolist() for z in spans_of(words)), strict=True)]
+
+        def lone(doc: int, key: int, hashes: np.ndarray, places: np.ndarray) -> list[tuple]:
+            return [(doc, key, None, None, None, None, g) for g in signed(np.unique(hashes[places])).tolist()]
+
+        def ended() -> list[tuple]:
+            if lead is None:
+                return []
+            return rows(*own, own[0], False, covered) + lone(*own, lead.whole, np.flatnonzero(told[:len(lead.whole)]))
+
+        for batch in slices(batches, 3):
+            values, counts = shingled(*word_hashes(batch.column(3)))
+            end = np.cumsum(counts)
+            columns = [batch.column(c).to_pylist() for c in ("hub", "block", "member", "a", "a_key", "b", "b_key", "stretches")]
+            out: list[tuple] = []
+            for k, (key, block, member, a, a_key, b, b_key, stretches) in enumerate(zip(*columns, strict=True)):
+                text = Passage(values[end[k] - counts[k]:end[k]], least)
+                if member is None:
+                    if (key, block) != hub:
+                        out += ended()
+                        hub, lead, own = (key, block), text, None
+                        covered, told = np.zeros(len(text.shingles) + WIDTH - 1, bool), np.zeros(len(text.shingles), bool)
+                    continue
+                if (key, block) != hub:
+                    continue
+                own = (a, a_key)
+                in_x, in_y = shared_words(lead, text, least, similarity)
+                covered |= in_x
+                out += rows(b, b_key, a, True, in_y)
+                near_x, near_y = np.zeros(len(lead.whole), bool), np.zeros(len(text.whole), bool)
+                for x in stretches or ():
+                    (near_y if x["in_b"] else near_x)[max(x["lo"] - least + 1, 0):x["hi"] + 1] = True
+                told[:len(near_x)] |= near_x & ~text.has(lead.whole)
+                out += lone(b, b_key, text.whole, np.flatnonzero(near_y & ~lead.has(text.whole)))
+            arrays = zip(*out, strict=True) if out else [[]] * len(FOUND)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(arrays, kinds, strict=True)], FOUND)
+        if lead is not None and (out := ended()):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], FOUND)
+
+    met = meetings(pairs, n, texts, -(-n // 20_000))
+    return met.mapInArrow(run, "doc_id long, text_key int, first_doc_id long, repeated boolean, start_word long, end_word long, gram long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.75, hashes: int = 4) -> DataFrame:
     """Passages of at least ``least_words`` words that repeat in another document.
 
-    One row for each passage: ``doc_id``, ``start_word``, ``end_word`` (exclusive),
-    ``n_words``, ``first_doc_id`` (smallest document that it was held against)
-    and ``repeated``: false on the earlier side of a match, true where an earlier
+    One row for each passage: ``doc_id``, ``text_key`` (tells texts of one id
+    apart), ``start_word``, ``end_word`` (exclusive), ``n_words``,
+    ``first_doc_id`` (smallest document that it was held against) and
+    ``repeated``: false on the earlier side of a match, true where an earlier
     document (smaller doc_id) has the passage. Overlapping passages of a document
     are merged, those that are repeated apart from those that are not.
 
     Equal texts are one class: its smallest doc_id stands for it, and the others
-    repeat it as a whole if long enough. For the rest, subsequences of
-    5-word shingles are grouped by ``hashes`` min-hashes into compact windows.
-    Windows with an equal signature and equal min-hashes on one side of it are
-    linked to the first document among them, so a passage in n documents makes
-    n - 1 pairs. Each pair's whole texts are then compared; similarity is the
-    Jaccard similarity of the passages' shingle sets, at least ``similarity``. An
-    exactly repeated passage always shares a window, whatever the seeds, and a
-    single shared signature is enough to be compared, as links go to one document
-    only. Among variants of one text that document may share less of a passage
-    than another one does; the words that only the other one shares then stay.
-
-    Null doc_ids take no part; null and empty texts have no passages. Rows of one
-    doc_id with different texts are compared by each of them. Empty tables give
-    no rows; other columns are not read.
+    repeat it as a whole if long enough. For the rest, subsequences of 5-word
+    shingles are grouped by ``hashes`` min-hashes into compact windows. Windows
+    with an equal signature and equal min-hashes on one side of it are linked to
+    the first text among them, so a passage in n documents makes n - 1 pairs.
+    Each pair's whole texts are then compared: exact passages by the hashes of all
+    their least stretches, near ones by runs of shingles whose sets are similar
+    enough. An exactly repeated passage always shares a window, whatever the
+    seeds. Where a linked pair does not share all that lies around a window, the
+    stretches that only one of both has are grouped by their own hashes, and
+    those with an equal one are compared too; so every word of an exact repeat of
+    any earlier document is found. Near repeats are found where a single window
+    agrees with the first text's.
+
+    Null doc_ids take no part; null and empty texts have no passages. Texts of one
+    doc_id are held against each other as any others are; repeated rows count
+    once. Empty tables give no rows; other columns are not read.
     """
     ship(docs.sparkSession)
+    least = least_words - WIDTH + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     key = ["text_hash", "text_check", "text_bytes"]
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.crc32(F.col("text").cast("binary")).alias("text_check"), F.octet_length("text").alias("text_bytes"))
+    hashed = docs.withColumns({"text_hash": F.xxhash64("text"), "text_check": F.crc32(F.col("text").cast("binary")), "text_bytes": F.octet_length("text")})
     classes = hashed.groupBy(*key).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")).filter("copies > 1")
-    copies = checkpointed(hashed.join(classes, key).filter("doc_id != first_doc_id").select("doc_id", "first_doc_id").distinct())
-    few = small_enough(copies, IDS_TO_BROADCAST)
-    ids = copies.select("doc_id").distinct()
-    alone = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-    width = shuffle_width(docs, docs.count() * 24 * hashes, WINDOW_ROWS_PER_TASK)
-    pairs = checkpointed(_leads(_windows(alone, least_words - WIDTH + 1, hashes), width))
-    found = checkpointed(_verified(pairs, alone, least_words, similarity))
-    later = found.select(F.col("b").alias("doc_id"), F.col("b_start").alias("start_word"), F.col("b_end").alias("end_word"), F.col("a").alias("first_doc_id"), F.lit(True).alias("repeated"))
-    earlier = found.select(F.col("a").alias("doc_id"), F.col("a_start").alias("start_word"), F.col("a_end").alias("end_word"), F.col("a").alias("first_doc_id"), F.lit(False).alias("repeated")).distinct()
+    classes = either_way(checkpointed(classes))
     n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    repeats = docs.join(F.broadcast(copies) if few else copies, "doc_id").select("doc_id", "first_doc_id", n_words.alias("n")).filter(F.col("n") >= least_words)
-    whole = repeats.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "first_doc_id", F.lit(True).alias("repeated"))
-    origin = repeats.groupBy("first_doc_id").agg(F.max("n").alias("n"))
-    origin = origin.select(F.col("first_doc_id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "first_doc_id", F.lit(False).alias("repeated"))
-    spans = later.unionByName(earlier).unionByName(whole).unionByName(origin)
-    inside = Window.partitionBy("doc_id", "repeated").orderBy("start_word", "end_word", "first_doc_id")
+    known = ["doc_id", text_key().alias("text_key")]
+    copies = checkpointed(hashed.join(classes, key).filter("doc_id != first_doc_id").select(*known, "first_doc_id", n_words.alias("n")).distinct())
+    alone = docs.withColumn("text_key", text_key())
+    alone = alone.join(either_way(copies.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_anti")
+    texts = alone.select(F.xxhash64("doc_id", "text_key").alias("key"), "text")
+    width = shuffle_width(docs, docs.count() * 24 * hashes, WINDOW_ROWS_PER_TASK)
+    ends = {"hub": F.xxhash64("a", "a_key"), "member": F.xxhash64("b", "b_key")}
+    pairs, n = sized(_links(_windows(alone, least, hashes), least, width).withColumns(ends), 20_000)
+    found = checkpointed(_verified(pairs, n, texts, least, similarity))
+    lone = found.filter("gram is not null").select("gram", "doc_id", "text_key").distinct()
+    first = lone.groupBy("gram").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    again = lone.join(first, "gram").select(F.col("first.doc_id").alias("a"), F.col("first.text_key").alias("a_key"), F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"))
+    again = again.filter("a != b or a_key != b_key").distinct().withColumns(ends | {"stretches": F.lit(None).cast(pairs.schema["stretches"].dataType)})
+    more, n = sized(again.join(pairs.select("hub", "member"), ["hub", "member"], "left_anti").select(*pairs.columns), 20_000)
+    if n:
+        found = found.unionByName(checkpointed(_verified(more, n, texts, least, similarity)))
+    spans = found.filter("gram is null").drop("gram")
+    repeats = copies.filter(F.col("n") >= least_words)
+    whole = repeats.select("doc_id", "text_key", "first_doc_id", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"))
+    origin = repeats.groupBy("first_doc_id", "text_key").agg(F.max("n").alias("end_word"))
+    origin = origin.select(F.col("first_doc_id").alias("doc_id"), "text_key", "first_doc_id", F.lit(False).alias("repeated"), F.lit(0).cast("long").alias("start_word"), "end_word")
+    spans = spans.unionByName(whole).unionByName(origin)
+    inside = Window.partitionBy("doc_id", "text_key", "repeated").orderBy("start_word", "end_word", "first_doc_id")
     reach = F.max("end_word").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("start_word") < reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc_id", "repeated", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", "repeated")
+    merged = spans.groupBy("doc_id", "text_key", "repeated", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    return merged.select("doc_id", "text_key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", "repeated")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -363,23 +471,30 @@ def without_repeats(docs: DataFrame, least_words: int = 50, similarity: float =
     """``docs`` without repeated passages: each stays in the earliest document that has it.
 
     ``text`` loses the passages' words, ``n_chars`` (where present) counts what
-    is left, and documents of which no word is left go. All columns stay.
+    is left, and documents of which no word is left go. Each text of a repeated
+    doc_id loses its own passages only; rows without doc_id or text stay as they
+    are, and rows that repeat an id and a text stay both. All columns stay.
     """
     spans = repeated_passages(docs, least_words, similarity, hashes).filter("repeated")
-    cuts = checkpointed(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts")))
+    key, cuts_, text_ = "_id_of_cuts", "_cuts", "_key_of_cuts"
+    cuts = spans.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts_))
+    cuts = checkpointed(cuts)
     names, schema = docs.columns, docs.schema
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
+            cut = batch.column(cuts_).to_pylist()
             texts = [
                 t if not c or t is None else without_spans(t, [(x["start_word"], x["end_word"]) for x in c])
-                for t, c in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True)
+                for t, c in zip(batch.column("text").to_pylist(), cut, strict=True)
             ]
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
-            keep = [not c or bool(t.split()) for t, c in zip(texts, batch.column("cuts").to_pylist(), strict=True)]
+                counts = [len(t) if c and t is not None else n for t, c, n in zip(texts, cut, batch.column("n_chars").to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(counts, batch.column("n_chars").type)
+            keep = [not c or bool(t.split()) for t, c in zip(texts, cut, strict=True)]
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep, pa.bool_()))
 
-    few = small_enough(cuts, 100_000)
-    return docs.join(F.broadcast(cuts) if few else cuts, "doc_id", "left").select(*names, "cuts").mapInArrow(run, schema)
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), text_: text_key()})
+    return keyed.join(either_way(cuts), [key, text_], "left").select(*names, cuts_).mapInArrow(run, schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,70 +12,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandbook.llm.common import ship
-from strandbook.llm.shingles import slices
+from strandbook.llm.shingles import KINDS, NUMBERS, runs, slices, text_bytes
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Word vectors: hash buckets of words, dimensions, non-zero entries of an index vector, words to either side.
 BUCKETS, DIMS, ENTRIES, REACH = 4_096, 32, 4, 2
 #: Labelled rows that the network is fitted on, at most.
 LABELLED = 20_000
-REMEMBERED = 200_000
-#: Words that are pooled at once, and how far apart words are whose vectors are multiplied.
-PIECE, LAGS = 65_536, (1, 2)
-
-
-class Buckets(dict):
-    """A word's bucket; forgets all when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return value
+#: Words that are summed up or pooled at once.
+PIECE = 65_536
+#: Numbers that a pooled text has beside its mean vectors.
+SHAPE = 3
 
 
 def index_vectors(seed: int) -> np.ndarray:
     """A sparse ternary index vector for each bucket."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIMS))
+    out = np.zeros((BUCKETS, DIMS), np.int8)
     place = rng.random((BUCKETS, DIMS)).argsort(1)[:, :ENTRIES]
-    out[np.arange(BUCKETS)[:, None], place] = rng.choice([-1.0, 1.0], (BUCKETS, ENTRIES))
+    out[np.arange(BUCKETS)[:, None], place] = rng.choice([-1, 1], (BUCKETS, ENTRIES))
     return out
 
 
-def _tokens(texts: list[str | None], known: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    lists = [TOKEN.findall(t) if t else [] for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((known[w] for words in lists for w in words), np.int64, int(counts.sum())), counts
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all tokens (runs of letters and digits, runs of signs) of all texts, and each text's number of tokens."""
+    hashes, counts = runs(*text_bytes(texts), KINDS, NUMBERS)
+    return (hashes % np.uint64(BUCKETS)).astype(np.uint16), counts
+
+
+def add_contexts(rows: np.ndarray, t: np.ndarray, counts: np.ndarray, index: np.ndarray) -> None:
+    """Adds to each token's row the index vectors of the tokens within REACH of it in the same text, a bounded piece at a time."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for lo in range(0, len(t), PIECE):
+        first = max(lo - REACH, 0)
+        hi = min(lo + PIECE, len(t))
+        own, vectors = owner[first:hi + REACH], index[t[first:hi + REACH]]
+        near = np.zeros_like(vectors)
+        for k in range(1, REACH + 1):
+            same = (own[k:] == own[:-k]).astype(np.int8)[:, None]
+            near[:-k] += vectors[k:] * same
+            near[k:] += vectors[:-k] * same
+        near, part = near[lo - first:hi - first], t[lo:hi]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        rows[part[begin]] += np.add.reduceat(near[order], begin, axis=0, dtype=np.int32)
 
 
 def context_vectors(docs: DataFrame, seed: int) -> np.ndarray:
     """For each bucket, the sum of its neighbours' index vectors over all texts: BUCKETS x DIMS whole numbers.
 
-    Each task counts which buckets stand within REACH words of which, and turns
-    its counts into BUCKETS rows; only their sums, of fixed size, reach the driver.
+    Each task sums up its own texts; only the sums, of fixed size, reach the driver.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, near = Buckets(), None
+        rows, index = np.zeros((BUCKETS, DIMS), np.int64), index_vectors(seed)
         for batch in slices(batches, 0):
-            t, counts = _tokens(batch.column(0).to_pylist(), known)
-            if near is None:
-                near = np.zeros(BUCKETS * BUCKETS, np.int32)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            for k in range(1, REACH + 1):
-                same = owner[k:] == owner[:-k]
-                np.add.at(near, t[:-k][same] * BUCKETS + t[k:][same], 1)
-        if near is None:
-            return
-        near, index = near.reshape(BUCKETS, BUCKETS), index_vectors(seed)
-        rows = np.zeros((BUCKETS, DIMS))
-        for lo in range(0, BUCKETS, 512):
-            part = near[lo:lo + 512].astype(np.float64)
-            rows[lo:lo + 512] += part @ index
-            rows += part.T @ index[lo:lo + 512]
+            add_contexts(rows, *tokens(batch.column(0)), index)
         used = np.flatnonzero(rows.any(1))
-        whole = np.rint(rows[used]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(np.ascontiguousarray(whole[:, c])) for c in range(DIMS))], ["bucket", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[used, c])) for c in range(DIMS))], ["bucket", *names])
 
     names = [f"c{c}" for c in range(DIMS)]
     parts = docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
@@ -99,27 +90,23 @@ def word_vectors(context: np.ndarray, seed: int) -> np.ndarray:
     return np.column_stack([unit(u), index_vectors(seed) / np.sqrt(ENTRIES)]).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray, known: Buckets) -> np.ndarray:
-    """Each text's mean word vector, and mean products of near words' vectors, which repetition shows in.
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Each text's mean word vector, and SHAPE numbers: how long each half of the sum is for so many words, and how many they are.
 
-    Zeros without words. A long text is pooled piece by piece.
+    Words that repeat make the sum longer than different ones do. A text without
+    words has a mean of zeros. A long text is pooled piece by piece.
     """
-    t, counts = _tokens(texts, known)
-    d = vectors.shape[1]
-    out = np.zeros((len(texts), (1 + len(LAGS)) * d))
+    t, counts = tokens(texts)
+    mean = np.zeros((len(counts), vectors.shape[1]))
     owner = np.repeat(np.arange(len(counts)), counts)
     for lo in range(0, len(t), PIECE):
         own = owner[lo:lo + PIECE]
         begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        x = vectors[t[lo:lo + PIECE + len(LAGS)]]
-        n = len(own)
-        out[own[begin], :d] += np.add.reduceat(x[:n], begin, axis=0, dtype=np.float64)
-        for k in LAGS:
-            beside = np.zeros((n, d), np.float32)
-            same = np.flatnonzero(owner[lo + k:lo + n + k] == own[:max(len(x) - k, 0)][:n])
-            beside[same] = x[same] * x[same + k]
-            out[own[begin], k * d:(k + 1) * d] += np.add.reduceat(beside, begin, axis=0, dtype=np.float64)
-    return out / np.maximum(counts, 1)[:, None]
+        mean[own[begin]] += np.add.reduceat(vectors[t[lo:lo + PIECE]], begin, axis=0, dtype=np.float32)
+    n = np.maximum(counts, 1)
+    mean /= n[:, None]
+    lengths = [np.log((half * half).sum(1) * n + 0.01) for half in (mean[:, :DIMS], mean[:, DIMS:])]
+    return np.column_stack([mean, *lengths, np.log(n)])
 
 
 @dataclass
@@ -190,15 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 3, most: int = LABELLE
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets()
         for batch in slices(batches, 1):
-            x = pooled(batch.column(1).to_pylist(), shared.value, known)
+            x = pooled(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, x array<double>")
-    rows = rows.orderBy("doc_id", "x").limit(most).toArrow()  # at most ``most`` rows of 6 * DIMS numbers
-    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, (1 + len(LAGS)) * vectors.shape[1]))
+    rows = rows.orderBy("doc_id", "x").limit(most).toArrow()  # at most ``most`` rows of 2 * DIMS + SHAPE numbers
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, vectors.shape[1] + SHAPE))
     return vectors, fit(x, rows.column("quality").to_numpy().astype(np.float64), seed)
 
 
@@ -210,9 +196,8 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets()
         for batch in slices(batches, at):
-            scores = shared.value[1].scores(pooled(batch.column(at).to_pylist(), shared.value[0], known))
+            scores = shared.value[1].scores(pooled(batch.column(at), shared.value[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, for whole Arrow batches at once."""
+"""Words and word shingles as 64-bit hashes, for whole Arrow batches at once."""
 
 from __future__ import annotations
 
@@ -7,23 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 WIDTH = 5
 #: Distinct odd multipliers, one for each place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-#: Words that a Python worker remembers the hashes of.
-REMEMBERED = 200_000
-
-
-class WordHashes(dict):
-    """A word's hash; forgets all when full, so that memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+WHITE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+#: Of each byte: 0 white space, 1 part of a word (letters, digits, _ and all of other scripts), 2 a sign.
+KINDS = np.array([0 if c in WHITE else 1 if c >= 128 or chr(c).isalnum() or c == 95 else 2 for c in range(256)], np.uint8)
+PLAIN = (KINDS > 0).astype(np.uint8)
+#: Of each byte: a number that stands for it in a run's hash; none for white space.
+NUMBERS = np.random.default_rng(17).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+NUMBERS[WHITE] = 0
+FOLDED = NUMBERS.copy()
+FOLDED[65:91] = FOLDED[97:123]  # A-Z as a-z
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Runs that are hashed at once.
+RUNS_AT_ONCE = 200_000
+POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(4095, FACTOR)])
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -34,17 +34,42 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z only): bytes.split() and .lower() know ASCII alone, as the rule asks."""
-    return text.encode().lower().split() if text else []
-
-
-def word_hashes(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and each text's number of words."""
-    split = [words_of(t) for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    hashes = np.fromiter((known[w] for words in split for w in words), np.uint64, int(counts.sum()))
-    return hashes, counts
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts behind one another, and the n + 1 places where they begin and end. Null texts are empty."""
+    texts = pc.fill_null(texts, "")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    edges = np.frombuffer(texts.buffers()[1], width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0]:edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    return data, edges - edges[0]
+
+
+def runs(data: np.ndarray, edges: np.ndarray, kinds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of one kind of bytes but white space, in order, and each text's number of them."""
+    k = kinds[data]
+    begins = np.ones(len(k), bool)
+    begins[1:] = k[1:] != k[:-1]
+    begins[edges[:-1][edges[:-1] < len(k)]] = True
+    begins &= k != 0
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64)
+    edge = np.append(starts, len(k))
+    hashes = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), RUNS_AT_ONCE):
+        hi = min(lo + RUNS_AT_ONCE, len(starts))
+        own, length = starts[lo:hi], np.diff(edge[lo:hi + 1])
+        powers, longest = POWERS, int(length.max())
+        if longest > len(powers):
+            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(longest - 1, FACTOR)])
+        values = powers[np.arange(own[0], edge[hi]) - np.repeat(own, length)]
+        values *= numbers[data[own[0]:edge[hi]]]  # white space behind a run adds nothing
+        hashes[lo:hi] = mixed(np.add.reduceat(values, own - own[0]))
+    return hashes, np.diff(np.searchsorted(starts, edges))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (what white space parts, A-Z in lower case) of all texts, and each text's number of words."""
+    return runs(*text_bytes(texts), PLAIN, FOLDED)
 
 
 def shingled(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +94,13 @@ def shingled(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(out), own
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 2_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``most_chars`` of text."""
+def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_bytes: int = 2_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds about ``most_bytes`` of text."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_column)), 0), dtype=np.int64)
         lo, held = 0, 0
         for i, n in enumerate(sizes.tolist()):
-            if i > lo and (held + n > most_chars or i - lo >= most_rows):
+            if i > lo and (held + n > most_bytes or i - lo >= most_rows):
                 yield batch.slice(lo, i - lo)
                 lo, held = i, 0
             held += n
@@ -85,4 +110,3 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-

@@ -32,10 +32,11 @@ def test_components(spark):
     rng = random.Random(2)
     for n, m in ((60, 40), (300, 280), (50, 49)):
         links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if n != 50 else [(i, i + 1) for i in range(49)]
-        got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
         expected = components(range(n), links)
         touched = {x for a, b in links if a != b for x in (a, b)}
-        assert got == {x: expected[x] for x in touched}
+        for per_task in (500_000, 15):
+            got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(links, "src long, dst long"), per_task).collect()}
+            assert got == {x: expected[x] for x in touched}
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
