@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,194 +14,275 @@ from strandbook.llm.common import ship
 from strandbook.llm.shingles import slices
 
 # Element names of HTML and the usual names of page furniture.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Their content is no markup, and no text of the page either.
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("nav aside footer form button select option dialog menu svg math canvas audio video object head label input".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo promoted promotion reaction reactions related replies reply respond rail recommend recommended share sharing shoutbox sidebar skip social sponsor sponsored subscribe teaser toc toolbar tooltip widget".split())
-ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: Opening one of these ends an open one of the same group.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: No part of an article: as blocks, and within a line, which goes on behind them.
+DROPPED = frozenset("nav aside footer dialog menu noscript template".split())
+DROPPED_INLINE = frozenset("button select option label svg canvas audio video object".split())
+VOID = frozenset("area base col embed img input link meta param source track wbr".split())
+FURNITURE = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommend recommended recommendations related replies reply respond share sharing shoutbox sidebar skip social sponsor sponsored subscribe toc toolbar tooltip".split())
+#: Names that furniture has and others too: they count where the text consists of links.
+DOUBTFUL = frozenset("disclaimer header meta overlay rail reaction reactions teaser widget".split())
+LAYOUT = frozenset("no with without has is js".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Opening one of these ends an open one of the same group, up to a bound.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
+#: Elements that lie deeper stand for the one that they would lie in.
+DEEPEST = 512
+#: Levels up to which a block passes points on.
+LEVELS = 8
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|[\s/=]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+RAW_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "links", "anchors")
-
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.points, self.chars, self.links, self.anchors = tag, parent, dropped, 0.0, 0, 0, 0
-
-
-def furniture(tag: str, attributes: str) -> bool:
-    """Whether an element's own name, class, id, role or style marks it as no part of the article."""
-    if tag in DROPPED:
-        return True
-    if not attributes.strip() or tag in ("html", "body"):
-        return False
-    found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
-    if found.get("role") in ROLES:
-        return True
-    for name in (found.get("class", "") + " " + found.get("id", "")).split():
-        parts = re.split(r"[-_:]+", name)
-        if (parts[0] in FURNITURE or parts[-1] in FURNITURE) and (tag != "main" and (tag != "article" or parts[0].startswith("comment"))):
-            return True
-    return False
+    __slots__ = ("tag", "parent", "dropped", "furniture", "doubtful", "points", "chars", "links", "anchors", "titled")
 
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, furniture: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.dropped, self.furniture, self.doubtful = tag, parent, dropped, furniture, doubtful
+        self.points, self.chars, self.links, self.anchors, self.titled = 0.0, 0, 0, 0, tag == "h1"
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by newlines.
 
-    Every block passes points, for being long and for its commas, to the
-    container it stands in, half of them to the next one out, a third beyond that
-    and so on; a container's points are discounted by the share of its text that
-    is links. The best one is widened to the article or main element around it,
-    and its siblings with a fifth of its points are kept too.
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """Every tag as (begin, end, name, whether it closes, attributes), and all else that is no text as (begin, end, "", ...); in one pass.
+
+    A quote that nothing closes is part of an unquoted value. A tag that the page ends in has no end.
     """
-    if not page:
-        return ""
-    root = Node("html", None, False)
-    stack, blocks = [root], []
-    text: list[str] = []
-    links = anchors = depth = 0
+    at, n = 0, len(page)
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            yield begin, at, "", False, {}
+            continue
+        if page[begin + 1:begin + 2] in ("!", "?"):
+            end = page.find(">", begin)
+            at = n if end < 0 else end + 1
+            yield begin, at, "", False, {}
+            continue
+        closes = page.startswith("</", begin)
+        name = NAME.match(page, begin + 1 + closes)
+        if not name:  # a sign like any other
+            at = begin + 1
+            continue
+        at, found = name.end(), {}
+        while at < n and page[at] != ">":
+            part = ATTRIBUTE.match(page, at)
+            if part[1]:
+                found.setdefault(part[1].lower(), part[2] or part[3] or part[4] or "")
+            at = part.end()
+        at = min(at + 1, n)
+        tag = name[0].lower()
+        if tag in RAW and not closes:
+            end = RAW_ENDS[tag].search(page, at)
+            at = end.end() if end else n
+            yield begin, at, "", False, {}
+        else:
+            yield begin, at, tag, closes, found
+
+
+def marks(tag: str, found: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes hide it, name it as page furniture, or may do so."""
+    if not found or tag in ("html", "body"):
+        return False, False, False
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
+    furniture, doubtful = found.get("role", "").lower() in ROLES, False
+    if tag not in ("main", "article"):
+        for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+            parts = re.split(r"[-_:]+", name)
+            if name in FURNITURE:
+                furniture = True
+            elif tag in CONTAINERS and len(parts) > 1 and parts[0] not in LAYOUT:
+                furniture |= parts[0] in FURNITURE or parts[-1] in FURNITURE
+            doubtful |= tag in CONTAINERS and (parts[0] in DOUBTFUL or parts[-1] in DOUBTFUL)
+    elif tag == "article":
+        furniture |= any(re.split(r"[-_:]+", name)[0] in ("comment", "comments", "reply") for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    return hidden, furniture, doubtful
+
+
+def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
+    """The page's block elements in order, and its blocks of text: element, text, characters in links, links."""
+    nodes = [Node("html", None)]
+    stack, blocks, text = [nodes[0]], [], []
+    opened: Counter[str] = Counter()
+    links = anchors = at = 0
+    linked = False
 
     def flush() -> None:
         nonlocal links, anchors
         if text:
             block = " ".join(references.unescape("".join(text)).split())
             text.clear()
-            if block and not stack[-1].dropped:
-                blocks.append((stack[-1], block, min(links, len(block)), anchors))
-            links = anchors = 0
+            holder = next(x for x in reversed(stack) if x.tag in BLOCKS)
+            if block and not holder.dropped:
+                blocks.append((holder, block, min(links, len(block)), anchors))
+        links = anchors = 0
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+        if node.tag in BLOCKS:
+            nodes.append(node)
 
-    def close(upto: int) -> None:
-        flush()
+    def cut(upto: int) -> None:
+        for x in stack[upto:]:
+            opened[x.tag] -= 1
         del stack[upto:]
 
-    at, n = 0, len(page)
-    while at < n:
-        mark = MARK.search(page, at)
-        piece = page[at:mark.start() if mark else n]
-        if piece:
+    def say(piece: str) -> None:
+        nonlocal links
+        if piece and (stack[-1].tag in BLOCKS or not stack[-1].dropped):
             text.append(piece)
-            if depth:
+            if linked:
                 links += len(piece.strip())
-        if not mark:
-            break
-        at = mark.end()
-        if not mark[2]:
+
+    for begin, end, tag, closes, found in tags(page):
+        say(page[at:begin])
+        at = end
+        if not tag:
             continue
-        tag, attributes = mark[2].lower(), mark[3]
-        if mark[1]:
+        if closes:
             if tag == "a":
-                depth = 0
-            elif tag in BLOCKS or tag in DROPPED:
-                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if place:
-                    close(place)
-                    depth = 0
-                elif tag in BLOCKS:
-                    flush()
-            elif len(stack) > 1 and stack[-1].tag == tag:
-                close(len(stack) - 1)
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+                linked = False
+            if tag in BLOCKS:
+                flush()
+                linked = False
+            if opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag == "br" or tag == "wbr" or tag == "hr":
+        if tag in ("br", "hr"):
             if tag == "hr":
                 flush()
-            elif tag == "br":
+            else:
                 text.append(" ")
             continue
-        out = furniture(tag, attributes)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
-            continue
-        if tag == "body" or tag == "html":
-            flush()
+        if tag in VOID or tag in ("html", "body", "head"):
             continue
-        if tag in BLOCKS:
+        hidden, furniture, doubtful = marks(tag, found)
+        if tag in BLOCKS or tag in DROPPED:
             flush()
-            depth = 0
-            while len(stack) > 1 and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (stack[-1].tag == "p" or tag in CONTAINERS or tag == "p"):
-                stack.pop()
-            if tag in ENDS:
+            linked = False
+            top = len(stack)
+            while top > 1 and (stack[top - 1].tag not in BLOCKS or stack[top - 1].tag == "p" or stack[top - 1].tag in HEADINGS and (tag in CONTAINERS and tag not in HEADINGS or tag == "p")):
+                top -= 1
+            cut(top)
+            if any(opened[x] for x in ENDS.get(tag, ())):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in BOUNDS.get(tag, ("table",)):
                         break
                     if stack[i].tag in ENDS[tag]:
-                        close(i)
-            if tag == "header" and any(x.tag in ("article", "main") for x in stack):
-                out = False
-            elif tag == "header":
-                out = True
-            stack.append(Node(tag, stack[-1], out or stack[-1].dropped))
-        elif out or stack[-1].dropped and tag in DROPPED:
-            flush()
-            stack.append(Node(tag, stack[-1], True))
+                        cut(i)
+                        break
+            if len(stack) < DEEPEST:
+                page_header = tag == "header" and not (opened["article"] or opened["main"])
+                dropped = stack[-1].dropped or hidden or tag in DROPPED or page_header
+                push(Node(tag, stack[-1], dropped, furniture or tag == "form", doubtful))
+        elif (hidden or furniture or tag in DROPPED_INLINE) and len(stack) < DEEPEST and end and page[end - 2:end] != "/>":
+            push(Node(tag, stack[-1], True))
         elif tag == "a":
-            depth = 1
+            linked = True
             anchors += 1
+    say(page[at:])
     flush()
-    return chosen(blocks)
+    return nodes, blocks
 
 
-def chosen(blocks: list[tuple[Node, str, int, int]]) -> str:
-    nodes: dict[Node, None] = {}
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by newlines.
+
+    Every block passes points, for being long and for its commas, to the
+    container it stands in, half of them to the next one out, a third beyond that
+    and so on; a container's points are discounted by the share of its text that
+    is links, and by names of page furniture. The best one is widened to the
+    article or main element around it. Its siblings with a fifth of its points
+    are kept too, and what lies between, and headings right before. Furniture is
+    left out, unless it holds the best container or a title.
+    """
+    nodes, blocks = blocks_of(page) if page else ([], [])
+    if not blocks:
+        return ""
     for node, block, linked, anchors in blocks:
         points = (1.0 if len(block) >= 25 else 0.0) + block.count(",") + min(len(block) / 100, 3.0)
-        holder, level = (node if node.tag in CONTAINERS else node.parent), 0
-        up = node
-        while up is not None:
-            up.chars += len(block)
-            up.links += linked
-            up.anchors += anchors
-            nodes[up] = None
-            up = up.parent
-        while holder is not None:
+        node.chars += len(block)
+        node.links += linked
+        node.anchors += anchors
+        holder = node if node.tag in CONTAINERS else node.parent
+        for level in range(LEVELS):
+            if holder is None:
+                break
             holder.points += points / (1, 2)[level] if level < 2 else points / (level * 3)
-            holder, level = holder.parent, level + 1
-    if not blocks:
-        return ""
+            holder = holder.parent
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.chars += x.chars
+            x.parent.links += x.links
+            x.parent.anchors += x.anchors
+            x.parent.titled |= x.titled and not x.dropped
 
     def score(x: Node) -> float:
-        return x.points * (1 - x.links / max(x.chars, 1)) + (25 if x.tag in ("article", "main") and x.chars else 0)
-
-    def menu(x: Node) -> bool:
-        return x.tag in ("ul", "ol", "dl", "div", "table", "section") and x.anchors >= 3 and x.links >= 0.8 * x.chars
+        named = 25 if x.tag in ("article", "main") and x.chars else 0
+        return (x.points * (1 - x.links / max(x.chars, 1)) + named) * (0.2 if x.furniture else 1)
 
-    best = max((x for x in nodes if x.tag in CONTAINERS), key=score)
+    tainted: dict[Node, bool] = {}
+    for x in nodes:  # parents come first
+        tainted[x] = x.furniture or x.parent is not None and tainted[x.parent]
+    holders = [x for x in nodes if x.tag in CONTAINERS and x.chars and not x.dropped]
+    best = max(holders, key=lambda x: score(x) * (0.2 if tainted[x] and not x.furniture else 1))
     around = best
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
-    best = around or best
+    best = around if around is not None and not around.dropped else best
+    above, x = set(), best
+    while x is not None:
+        above.add(x)
+        x = x.parent
+
+    def out(x: Node) -> bool:
+        if x in above:
+            return False
+        if x.furniture:
+            return not x.titled
+        if x.doubtful and x.chars and x.links >= 0.5 * x.chars:
+            return True
+        return x.tag in ("ul", "ol", "dl", "div", "table", "section") and x.anchors >= 3 and x.links >= 0.8 * x.chars
+
+    left: dict[Node, bool] = {}
+    unit: dict[Node, Node | None] = {}  # what stands beside the best container, or is it
+    for x in nodes:
+        left[x] = out(x) or x.parent is not None and left[x.parent]
+        unit[x] = x if x is best or x.parent is not None and x.parent is best.parent else unit[x.parent] if x.parent is not None else None
+    rows = [(unit[node], node, block, linked) for node, block, linked, _ in blocks if not left[node] and unit[node] is not None]
     least = max(10.0, 0.2 * score(best))
-    kept = {best} | {x for x in nodes if x.parent is best.parent and best.parent is not None and x.tag in CONTAINERS and score(x) >= least}
-    out = []
-    for node, block, linked, _ in blocks:
-        up, inside, bad = node, False, False
-        while up is not None and not inside:
-            inside = up in kept
-            bad |= not inside and menu(up)
-            up = up.parent
-        beside = not inside and node.parent is best.parent and best.parent is not None and node.tag in ("p", "h1") and len(block) >= 80 and linked < 0.25 * len(block)
-        if inside and not bad or beside:
-            out.append(block)
-    return "\n".join(out)
+
+    def stays(u: Node, node: Node, block: str, linked: int) -> bool:
+        if u is best:
+            return True
+        return score(u) >= least if u.tag in CONTAINERS else len(block) >= 80 and linked < 0.25 * len(block)
+
+    sure = [k for k, row in enumerate(rows) if stays(*row)]
+    if not sure:
+        return ""
+    lo, hi = sure[0], sure[-1]
+    while lo and rows[lo - 1][0].tag in HEADINGS:
+        lo -= 1
+    kept = set(sure)
+    kept |= {k for k in range(lo, hi + 1) if rows[k][0].tag not in CONTAINERS or rows[k][0].tag in HEADINGS}
+    return "\n".join(rows[k][2] for k in sorted(kept))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` (the main text, empty if there is none) and ``n_chars`` (its code points) for its ``html``.
 
     Null pages count as empty; all other columns pass through, and ones named
-    text or n_chars are replaced. Repeated rows stay; an empty table gives no rows.
+    text or n_chars are replaced. Broken, cut off and very long pages are read in
+    one pass, whatever their marks. Repeated rows stay; an empty table gives no rows.
     """
     ship(pages.sparkSession)
     rest = pages.select(*(c for c in pages.columns if c not in (html, "text", "n_chars")), html)

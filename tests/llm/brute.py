@@ -52,3 +52,40 @@ def repeated_words(docs, least=50):
             if first.setdefault(tuple(w[k:k + least]), d) != d:
                 out[d].update(range(k, k + least))
     return out
+
+
+def articles(page):
+    """The blocks of a page's article element, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    blocks, held = [], []
+
+    def flush():
+        if words_ := " ".join("".join(held).split()):
+            blocks.append(words_)
+        held.clear()
+
+    class Reader(HTMLParser):
+        inside = skipped = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skipped += tag in ("script", "style", "title")
+            if tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "article", "blockquote", "table", "tr", "td", "pre"):
+                flush()
+            held.append(" " if tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "article", "blockquote", "table", "tr", "td", "pre"):
+                flush()
+            self.inside -= tag == "article"
+            self.skipped -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            if self.inside and not self.skipped:
+                held.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n".join(blocks)

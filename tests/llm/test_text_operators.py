@@ -360,7 +360,7 @@ def test_page_without_article():
     page = f"<body><div class=menu><a href=1>One</a><a href=2>Two</a><a href=3>Three</a></div><div><div class='text'>{body}</div></div><div class=footer>Imprint</div>"
     assert html_text.main_text(page).count("\n") == 4 and "Imprint" not in html_text.main_text(page)
     assert html_text.main_text("just words") == "just words"
-    assert [html_text.main_text(x) for x in (None, "", "<", "<p", "<p>", "<!--", "<script>x", "</div></div>", "<nav>menu</nav>")] == [""] * 2 + ["<", "<p"] + [""] * 5
+    assert [html_text.main_text(x) for x in (None, "", "<", "<p", "<p>", "<!--", "<script>x", "</div></div>", "<nav>menu</nav>")] == [""] * 2 + ["<"] + [""] * 6
 
 
 def test_pages(spark):
@@ -368,3 +368,33 @@ def test_pages(spark):
     out = html_text.extract(df).orderBy("page_id").collect()
     assert out[0].n_chars == len(out[0].text) > 100 and [(r.text, r.n_chars) for r in out[1:]] == [("", 0)] * 2
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pages_against_a_plain_reader(spark):
+    from brute import articles
+
+    got = queries.op3_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    assert len(got) > 0 and all(r.text == articles(r.html) and r.n_chars == len(r.text) for r in got)
+
+
+def test_blocks_and_names():
+    text = html_text.main_text
+    assert text('<p>Hello, one <span class="ad">x</span> world and <svg/> more</p>') == "Hello, one world and more"
+    assert text('<p>E = <math><mi>m</mi></math> c</p><p class="share-price">Price 3</p><p class="byline">By me</p>') == "E = m c\nPrice 3\nBy me"
+    long = "A sentence, with commas, that goes on for long enough to be one of an article's, as it is."
+    page = f"""<html><head><meta charset=utf-8><title>t</title><body class="no-sidebar"><div class="site-header"><a href=/>Home</a></div>
+      <div class="with-sidebar"><div class="article-header"><h1>Title</h1></div><div class="elementor-widget"><p>{long}</p></div><h2>Sub</h2><ul><li>one</ul><p>{long}</div>
+      <div class="sidebar"><p>{long}</p></div><div id="comments"><p>{long}</p><p>{long}</p><p>{long}</p></div><form><p>Name <input></p></form>"""
+    assert text(page) == f"Title\n{long}\nSub\none\n{long}"
+    assert text(f"<div class='ad'><p>{long}</p></div><h1>T</h1><div><p>{long}<div class=promo>buy</div></div><footer>{long}") == f"T\n{long}"
+    assert text("<p>a < b &amp;&lt; c</p><!-- no --><p>d<br>e <b>f</p>") == "a < b &< c\nd e f"
+    assert text("<p title='x>hello</p>") == "hello" and text("<p>cut <a href=") == "cut" and text(None) == text("") == ""
+
+
+@pytest.mark.parametrize("piece", ['a="b" ', "<div>", "<li>x<ul>", "<span class=ad>", "</p>", "<", "<p a='\"", "<td>x", "<!--"])
+def test_hostile_pages_take_one_pass(piece):
+    import time
+
+    began = time.time()
+    html_text.main_text("<p>hello</p><div " + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
