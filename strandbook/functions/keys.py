@@ -5,56 +5,107 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that say nothing about which model it is.
-NOISE = ("preview", "latest", "instruct", "chat", "it", "exp", "experimental", "beta", "free", "thinking", "reasoning")
-ALIAS_SUFFIX = r"(-(latest|preview|beta|exp|experimental|default))+$"
-CLOUD_SUFFIX = r"[-:]cloud$"
-DATE_SUFFIX = r"[-@](20\d{6}|20\d{2}-\d{2}-\d{2}|\d{4})$"
+# What the parts of a model's name mean.
+#: Ways to order one model.
+VARIANTS = ("flex", "batch", "free")
+#: Words that say nothing about which model it is, when indices are looked up.
+NOISE = ("instruct", "chat", "it", "preview", "latest", "exp", "v1", "v2", "v3", "free", "hf", "gguf")
+#: Endings of routers and efforts, which are no model of their own.
+ALIAS_WORDS = ("latest", "high", "medium", "low", "priority", "free", "nitro", "exacto", "online")
+#: Families that some write with and others without a hyphen before the version.
+PARTED_FAMILIES = ("gemma", "gemini")
+RESELLERS = ("parasail",)
+#: Tiers are families of their own within a line; modifiers are not.
+TIERS = ("mini", "nano", "micro", "lite", "flash", "pro", "max", "ultra", "super", "plus", "turbo", "small", "medium", "large", "sol", "terra", "luna", "opus", "sonnet", "haiku", "fable", "mythos")
+MODIFIERS = ("exp", "preview", "beta", "chat", "instruct", "it", "thinking", "reasoning", "non", "fast")
+#: Letters that stand before or behind a version.
+MARKERS = ("v", "r")
+
+END = r"(?=-|$)"
+MONTH, DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12][0-9]|3[01])"
+
+
+def display_form(model: Column) -> Column:
+    """Without the provider before the last slash (a path at hf.co stays whole), the region behind @, and how it is ordered."""
+    m = F.trim(model)
+    m = F.when(F.lower(m).startswith("hf.co/"), m).otherwise(F.substring_index(m, "/", -1))
+    return F.regexp_replace(F.substring_index(m, "@", 1), f"(?i):({'|'.join(VARIANTS)})$", "")
 
 
 def short_name(model: Column) -> Column:
-    """Without the provider before the last slash and the tag behind a colon."""
-    return F.substring_index(F.substring_index(model, "/", -1), ":", 1)
+    """The display form in lower case; size tags stay, as they are models of their own."""
+    return F.lower(display_form(model))
 
 
-def display_form(model: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(model, r"^(hf\.co|registry\.ollama\.ai)/", ""), r":latest$", "")
+def is_cloud(model: Column) -> Column:
+    """Whether a local runner's name says that the model runs elsewhere. Only the raw name tells."""
+    return F.lower(model).rlike("[:-]cloud$")
 
 
 def normal_key(model: Column) -> Column:
-    """Lower case, with every run of other characters than letters and digits one hyphen."""
-    return F.regexp_replace(F.regexp_replace(F.lower(short_name(model)), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+    """The short name with every run of other characters than letters and digits as one hyphen."""
+    return F.trim(F.regexp_replace(short_name(model), r"[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def _parts(key: Column) -> Column:
+    return F.filter(F.split(key, "-"), lambda t: t != "")
 
 
 def sorted_key(model: Column) -> Column:
-    """The parts of the normal key in order, so that their sequence does not matter."""
-    return F.array_join(F.array_sort(F.split(normal_key(model), "-")), "-")
+    """The parts of the normal key in order, so that their sequence does not matter, without a snapshot's date at the end."""
+    return F.array_join(F.array_sort(_parts(F.regexp_replace(normal_key(model), r"(^|-)20[0-9]{6}$", ""))), "-")
 
 
 def noiseless_key(model: Column) -> Column:
     """The sorted key without noise words; null if nothing else is left."""
-    parts = F.filter(F.array_sort(F.split(normal_key(model), "-")), lambda x: ~x.isin(*NOISE) & (x != ""))
+    parts = F.filter(_parts(sorted_key(model)), lambda t: ~t.isin(*NOISE))
     return F.when(F.size(parts) > 0, F.array_join(parts, "-"))
 
 
 def canonical_id(model: Column) -> Column:
-    """Five normalisations in a fixed order: alias endings, cloud, date, version points, instruct."""
-    m = F.lower(F.substring_index(model, "/", -1))
-    m = F.regexp_replace(m, CLOUD_SUFFIX, "")
-    m = F.substring_index(m, ":", 1)
-    m = F.regexp_replace(m, ALIAS_SUFFIX, "")
-    m = F.regexp_replace(m, DATE_SUFFIX, "")
-    m = F.regexp_replace(m, r"(?<=\d)-(?=\d{1,2}(-|$))", ".")
-    return F.regexp_replace(m, r"-(it|instruct)$", "")
+    """The normal key without alias endings, cloud, a snapshot's date, and instruct; some families' versions are parted.
 
+    A short date such as 2512 is a version and stays.
+    """
+    k = F.concat(F.lit("-"), normal_key(model))
+    k = F.regexp_replace(k, f"(-({'|'.join(ALIAS_WORDS)}))+$", "")
+    k = F.regexp_replace(k, "-cloud$", "")
+    k = F.regexp_replace(k, "-20[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$", "")
+    k = F.regexp_replace(k, f"-({'|'.join(PARTED_FAMILIES)})([0-9]+){END}", "-$1-$2")
+    return F.trim(F.regexp_replace(k, f"-(it|instruct){END}", ""), F.lit("-"))
 
-def version_tuple(model: Column) -> Column:
-    """The version's parts as numbers, the minor one as a decimal fraction; arrays compare like tuples."""
-    found = F.regexp_extract(canonical_id(model), r"(\d+(?:\.\d+)?)", 1)
-    return F.when(found != "", F.array(F.floor(found.cast("double")), found.cast("double") - F.floor(found.cast("double"))))
+
+def _named(model: Column) -> Column:
+    """The parts of the normal key, without a reseller in front."""
+    return _parts(F.regexp_replace(normal_key(model), f"^({'|'.join(RESELLERS)})-", ""))
+
+
+def _unsized(model: Column) -> Column:
+    """The named parts without dates, builds and sizes (20b, a3b, and both parts of 2.4t)."""
+    k = F.concat(F.lit("-"), F.array_join(_named(model), "-"))
+    k = F.regexp_replace(k, f"-20[0-9][0-9]-{MONTH}-{DAY}{END}", "")
+    k = F.regexp_replace(k, f"-[0-9]+(?=-[0-9]+t{END})", "")
+    return _parts(F.regexp_replace(k, f"-(a?[0-9]+[bkmt]|[0-9]{{4}}){END}", ""))
+
+
+def family(model: Column) -> Column:
+    """Maker's line and tier: the name without versions, sizes and modifiers; the whole name if nothing else is left."""
+    bare = F.transform(_unsized(model), lambda t: F.regexp_replace(F.regexp_replace(t, "^([a-z]*)[0-9]+$", "$1"), f"^({'|'.join(MARKERS)})$", F.when(t.rlike("[0-9]"), "").otherwise(t)))
+    kept = F.filter(bare, lambda t: (t != "") & ~t.isin(*MODIFIERS))
+    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(_named(model)), "-")
 
 
 def product_line(model: Column) -> Column:
-    """The canonical id without versions, sizes and points."""
-    bare = F.regexp_replace(canonical_id(model), r"(?<![a-z])\d+(\.\d+)?(b|m|k)?(?![a-z])", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"-+", "-"), r"^-|-$", "")
+    """The family without tiers; of a version with a marker behind it (5v) the marker stays."""
+    parts = F.filter(_parts(family(model)), lambda t: ~t.isin(*TIERS))
+    parts = F.transform(parts, lambda t: F.regexp_replace(t, f"^[0-9]+({'|'.join(MARKERS)})$", "$1"))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "-")).otherwise(family(model))
+
+
+def version_tuple(model: Column) -> Column:
+    """The version's parts as numbers, all but the first as decimal fractions (4.20 is 4.2); arrays compare like tuples.
+
+    Without a version the array is empty, which is older than any other.
+    """
+    digits = F.filter(F.transform(_unsized(model), lambda t: F.regexp_extract(t, "^[a-z]*([0-9]+)$", 1)), lambda t: t != "")
+    return F.transform(digits, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.lit("0."), t)).cast("double"))

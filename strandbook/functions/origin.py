@@ -27,28 +27,48 @@ def resolve_projects(sessions: DataFrame, aliases: DataFrame) -> DataFrame:
     }).drop("_own", "_any")
 
 
-def display_source(source: Column, backend: Column, models: Column, local: Column, routed: Column) -> Column:
-    """The source as shown: product and codex sessions, then the backend's class, then what the models tell.
+# Names that stand for no model, and the backend classes that name a source.
+PLACEHOLDERS = ("<synthetic>", "<redigiert>")
+BACKENDS = {"anthropic": "claude", "claude": "claude", "ollama": "ollama", "openrouter": "openrouter", "requesty": "requesty"}
 
-    ``local`` and ``routed`` are arrays of known model names.
+
+def real_models(models: Column) -> Column:
+    """The names that stand for models."""
+    return F.filter(F.coalesce(models, F.array().cast("array<string>")), lambda m: m.isNotNull() & (m != "") & ~m.isin(*PLACEHOLDERS))
+
+
+def base_name(model: Column) -> Column:
+    """Without the tag: sessions write it or leave it out."""
+    return F.substring_index(model, ":", 1)
+
+
+def display_source(source: Column, backend: Column, models: Column, local: Column, routed: Column, own: Column) -> Column:
+    """The source as shown: product and codex sessions, then a known backend class, then what the models tell.
+
+    ``local``, ``routed`` and ``own`` are arrays of registered model names: of the
+    local runner, of the router, of the maker itself. Any other raw source than
+    claude is unknown, and so are models that are registered nowhere.
     """
-    base = lambda m: F.substring_index(m, ":", 1)
-    none = F.size(F.coalesce(models, F.array().cast("array<string>"))) == 0
-    return (
-        F.when(source.isin("product", "codex"), source)
-        .when(backend.isNotNull() & (backend != ""), backend)
-        .when(none, "claude")
-        .when(F.exists(models, lambda m: F.array_contains(local, base(m))), "ollama")
-        .when(F.exists(models, lambda m: F.array_contains(routed, m)), "requesty")
-        .when(F.exists(models, lambda m: m.contains("/")), "openrouter")
-        .when(F.forall(models, lambda m: m.startswith("claude")), "claude")
+    names = real_models(models)
+    local = F.transform(local, base_name)
+    by_backend = F.lit(None).cast("string")
+    for name, shown in BACKENDS.items():
+        by_backend = F.when(backend == name, shown).otherwise(by_backend)
+    by_models = (
+        F.when(F.size(names) == 0, "claude")
+        .when(F.exists(names, lambda m: F.array_contains(local, base_name(m))), "ollama")
+        .when(F.exists(names, lambda m: F.array_contains(routed, m)), "requesty")
+        .when(F.exists(names, lambda m: m.contains("/")), "openrouter")
+        .when(F.forall(names, lambda m: F.array_contains(own, m)), "claude")
         .otherwise("unknown")
     )
+    return F.when(source.isin("product", "codex"), source).when(~source.eqNullSafe("claude"), "unknown").otherwise(F.coalesce(by_backend, by_models))
 
 
-def unknown_models(models: Column, registry: Column) -> Column:
-    """Models that the registry knows neither by name nor by base name, and that no provider path explains."""
-    return F.filter(models, lambda m: ~F.array_contains(registry, m) & ~F.array_contains(registry, F.substring_index(m, ":", 1)) & ~m.contains("/"))
+def unknown_models(source: Column, models: Column, registry: Column) -> Column:
+    """Models of a claude session that the registry knows neither by name nor by base name, and that no provider path explains; each once, in order."""
+    names = F.filter(real_models(models), lambda m: ~F.array_contains(registry, m) & ~F.array_contains(registry, base_name(m)) & ~m.contains("/"))
+    return F.when(source == "claude", F.array_sort(F.array_distinct(names))).otherwise(F.array().cast("array<string>"))
 
 
 def backend_class(url: Column) -> Column:

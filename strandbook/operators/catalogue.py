@@ -68,18 +68,18 @@ def generations(entries: DataFrame, thresholds: DataFrame, exceptions: DataFrame
 
     ``thresholds``: line, least (array of numbers); ``exceptions``: canonical; ``legacy``: canonical, successor.
     """
-    e = entries.withColumns({"line": keys.product_line(F.col("shown")), "version": keys.version_tuple(F.col("shown"))})
+    e = entries.withColumns({"family": keys.family(F.col("shown")), "line": keys.product_line(F.col("shown")), "version": keys.version_tuple(F.col("shown"))})
     e = e.join(legacy.select("canonical", F.col("successor"), F.lit(True).alias("_old")), "canonical", "left").join(exceptions.select("canonical", F.lit(True).alias("_kept")), "canonical", "left").join(thresholds, "line", "left")
-    state = F.when(F.col("_old"), "legacy").when(F.col("_kept"), "current").when(F.col("least").isNotNull() & F.col("version").isNotNull(), F.when(F.col("version") >= F.col("least"), "current").otherwise("legacy"))
+    state = F.when(F.col("_old"), "legacy").when(F.col("_kept"), "current").when(F.col("least").isNotNull(), F.when(F.col("version") >= F.col("least"), "current").otherwise("legacy"))
     return e.withColumn("generation", state).drop("_old", "_kept", "least")
 
 
-def newest_of_line(entries: DataFrame) -> DataFrame:
-    """Adds ``newest``: of the line's highest versions (all tied ones win) the first by name; older ones point there."""
-    rank = F.rank().over(Window.partitionBy("line").orderBy(F.desc_nulls_last("version")))
-    ranked = entries.withColumn("_r", rank)
-    top = ranked.filter("_r = 1").groupBy("line").agg(F.min("canonical").alias("newest"))
-    return ranked.join(top, "line", "left").withColumn("newest", F.when(F.col("_r") == 1, F.col("canonical")).otherwise(F.col("newest"))).drop("_r")
+def newest_of_family(entries: DataFrame) -> DataFrame:
+    """Adds ``newest``: null for every entry with its family's highest version; others point to the first of those by name."""
+    top = entries.groupBy("family").agg(F.max("version").alias("_top"))
+    ranked = entries.join(top, "family", "left").withColumn("_newest", F.col("version").eqNullSafe(F.col("_top")))
+    first = ranked.filter("_newest").groupBy("family").agg(F.min("canonical").alias("_first"))
+    return ranked.join(first, "family", "left").withColumn("newest", F.when(~F.col("_newest"), F.col("_first"))).drop("_newest", "_top", "_first")
 
 
 def half_steps(x: Column) -> Column:
@@ -87,15 +87,37 @@ def half_steps(x: Column) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(5.0), F.floor(x * 2 + 0.5) / 2))
 
 
-def stars(entries: DataFrame, score: str = "aa_index") -> DataFrame:
-    """Adds ``stars``: up to 3 below the floor of 45, from there to the best score up to 5; without vision at most 4."""
-    best = entries.agg(F.max(score).alias("_best"))  # one row
-    s = F.col(score)
+def score(*indices: Column) -> Column:
+    """The mean of the indices that are known; null without any."""
+    known = F.filter(F.array(*indices), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(known))
+
+
+def stars(entries: DataFrame, by: str = "score") -> DataFrame:
+    """Adds ``stars``: up to 3 below the floor of 45, from there to the best score up to 5; without vision at most 4.
+
+    The best score is that of current entries: those whose generation says so, else those with no newer one.
+    """
+    legacy = F.coalesce(F.col("generation") == "legacy", F.col("newest").isNotNull())
+    best = entries.agg(F.max(F.when(~legacy, F.col(by))).alias("_best"))  # one row
+    s = F.col(by)
     raw = F.when(s < FLOOR, 0.5 + 2.5 * s / FLOOR).when(F.col("_best") > FLOOR, 3 + 2 * (s - FLOOR) / (F.col("_best") - FLOOR)).otherwise(F.lit(3.0))
     capped = F.when(F.col("vision").eqNullSafe(False), F.least(half_steps(raw), F.lit(4.0))).otherwise(half_steps(raw))
     return entries.join(F.broadcast(best)).withColumn("stars", F.when(s.isNotNull(), capped)).drop("_best")
 
 
+def performance(score: Column, input_price: Column, output_price: Column) -> Column:
+    """Score per price, where input weighs three times output; null if anything is missing or nothing costs."""
+    mix = (3 * input_price + output_price) / 4
+    return F.when(mix > 0, score / mix)
+
+
+def best_of_line(entries: DataFrame, line: str, by: str, place: str) -> DataFrame:
+    """Of each line the entry with the highest value; the first in place among equal ones."""
+    best = F.max_by(F.struct(*entries.columns), F.struct(F.col(by), -F.col(place)))
+    return entries.filter(F.col(by).isNotNull()).groupBy(line).agg(best.alias("_b")).select("_b.*")
+
+
 def shown(entries: DataFrame, text: str = "", origins_: tuple[str, ...] = (), providers: tuple[str, ...] | None = None, local: bool = False, eu: bool = False, current: bool = False) -> DataFrame:
     """The catalogue's filters. No origins mean all; a list of providers that is empty means none."""
     out = entries

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandbook.functions import keys, origin, text
 from strandbook.operators import benchmarks, lifecycle, lookup, metrics, rules, sets
+from strandbook.operators.catalogue import best_of_line, performance
+from strandbook.operators.sessions import in_days
 from strandbook.plans.event_queries import r6
 from strandbook.plans.proxy import table
 from strandbook.sources import store
@@ -153,21 +155,16 @@ def price_lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-02-01' QUALIFY place <= 30""")
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 30 of a month, as the list shows them."""
-    rows = in_days(table(spark, sf_dir, "orders"), "o_orderdate", "1997-01-01", "1997-01-31")
+    rows = in_days(table(spark, sf_dir, "orders"), date(1997, 1, 1), date(1997, 1, 31), "o_orderdate")
     top = rows.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(30)
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("project"))
     place = F.row_number().over(Window.orderBy(F.desc("start"), "o_orderkey")).cast("long")  # of at most 30 rows
     return top.join(customers, "o_custkey").select("o_orderkey", "project", F.col("o_orderdate").alias("start"), F.col("o_totalprice").alias("cost")).withColumn("place", place)
 
 
-def in_days(df: DataFrame, at: str, first: str, last: str) -> DataFrame:
-    """Rows from the first day to the last, both whole; written so that the scan can push it down."""
-    return df.filter((F.col(at) >= F.lit(first).cast("timestamp")) & (F.col(at) < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp")))
-
-
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1996-02-01' AND o_orderdate < DATE '1996-03-01'")
 def day_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_days(table(spark, sf_dir, "orders"), "o_orderdate", "1996-02-01", "1996-02-29").select("o_orderkey", "o_orderdate")
+    return in_days(table(spark, sf_dir, "orders"), date(1996, 2, 1), date(1996, 2, 29), "o_orderdate").select("o_orderkey", "o_orderdate")
 
 
 @query("""WITH a AS (SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'MACHINERY' END AS source, r_name AS project, n_nationkey % 2 = 0 AS hidden FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 <> 1),
@@ -182,16 +179,17 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.resolve_projects(sessions, aliases).select("c_custkey", "project_shown", "context", "hidden")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'codex' WHEN c_mktsegment = 'BUILDING' THEN 'openrouter' WHEN c_nationkey % 5 = 0 THEN 'claude'
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'codex' WHEN c_mktsegment = 'FURNITURE' AND c_custkey % 2 = 0 THEN 'unknown' WHEN c_mktsegment = 'BUILDING' THEN 'openrouter' WHEN c_nationkey % 5 = 0 THEN 'claude'
   WHEN c_nationkey % 5 = 1 THEN 'ollama' WHEN c_nationkey % 5 = 2 THEN 'requesty' WHEN c_nationkey % 5 = 3 THEN 'openrouter' ELSE 'unknown' END AS shown FROM customer""")
 def display_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     one = lambda *m: F.array(*map(F.lit, m))
     k = F.col("c_nationkey") % 5
-    models = F.when(k == 0, one("claude-a")).when(k == 1, one("claude-a", "qwen:8b")).when(k == 2, one("lab/fast")).when(k == 3, one("claude-a", "other/slow")).otherwise(one("claude-a", "mystery"))
-    source = F.when(F.col("c_mktsegment") == "MACHINERY", "codex").otherwise("claude")
-    backend = F.when(F.col("c_mktsegment") == "BUILDING", "openrouter").otherwise("")
-    return c.select("c_custkey", origin.display_source(source, backend, models, one("qwen"), one("lab/fast")).alias("shown"))
+    models = F.when(k == 0, one("claude-a", "<synthetic>")).when(k == 1, one("claude-a", "qwen:8b")).when(k == 2, one("lab/fast")).when(k == 3, one("claude-a", "other/slow")).otherwise(one("claude-a", "mystery"))
+    other = (F.col("c_mktsegment") == "FURNITURE") & (F.col("c_custkey") % 2 == 0)
+    source = F.when(F.col("c_mktsegment") == "MACHINERY", "codex").when(other, "elsewhere").otherwise("claude")
+    backend = F.when(F.col("c_mktsegment") == "BUILDING", "openrouter").otherwise("unheard of")
+    return c.select("c_custkey", origin.display_source(source, backend, models, one("qwen"), one("lab/fast"), one("claude-a")).alias("shown"))
 
 
 @query("SELECT c_mktsegment AS project, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
@@ -285,12 +283,6 @@ def price_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(performance(score, F.col("p_size") % 9, F.col("p_retailprice")), 6).alias("performance"))
 
 
-def performance(score, input_price, output_price):
-    """Score per price, where input weighs three times output; null if anything is missing or nothing costs."""
-    mix = (3 * input_price + output_price) / 4
-    return F.when(mix > 0, score / mix)
-
-
 @query("""SELECT c_custkey, CASE WHEN regexp_full_match(c_name, '[A-Za-z0-9_.:\\-]{1,48}') OR c_name = '' THEN c_name ELSE 'unbekannt:' || substr(sha256(c_name), 1, 8) END AS name,
   CASE WHEN regexp_full_match(c_mktsegment, '[A-Za-z0-9_.:\\-]{1,48}') OR c_mktsegment = '' THEN c_mktsegment ELSE 'unbekannt:' || substr(sha256(c_mktsegment), 1, 8) END AS segment FROM customer""".replace("\\\\", "\\"))
 def safe_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +346,6 @@ def page_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.when(F.col("url").startswith("https://"), "secure").otherwise("plain").alias("scheme"))
 
 
-@query("""SELECT p_type, p_partkey, p_retailprice, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC) AS rank FROM part QUALIFY rank = 1""")
+@query("""SELECT p_type, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) = 1""")
 def best_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.rank().over(Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"))).cast("long")
-    return table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice", rank.alias("rank")).filter("rank = 1")
+    return best_of_line(table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice"), "p_type", "p_retailprice", "p_partkey")

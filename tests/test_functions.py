@@ -40,10 +40,26 @@ def test_free_text(spark):
 
 
 def test_keys(spark):
-    assert apply(spark, keys.canonical_id, "lab/Model-4-6-20260101", "model-4.6-latest", "qwen3:cloud", "gemma-3-it") == ["model-4.6", "model-4.6", "qwen3", "gemma-3"]
-    assert apply(spark, keys.noiseless_key, "x/Big_Model-preview", "preview") == ["big-model", None]
-    v = spark.createDataFrame([("model-4.6",), ("model-4.20",), ("model-5",)], "m string").select(keys.version_tuple(F.col("m")).alias("v"), "m").orderBy("v")
-    assert [r.m for r in v.collect()] == ["model-4.20", "model-4.6", "model-5"]
+    """Names that are one model, and names that are not; families, lines and versions."""
+    same = [("gpt-oss:20b-cloud", "openai/gpt-oss-20b"), ("gemma4:31b-cloud", "google/gemma-4-31b-it"), ("glm-5.2:cloud", "z-ai/glm-5.2"), ("qwen3.5:9b", "qwen/qwen3.5-9b"), ("qwen3:14b", "qwen/qwen3-14b"),
+            ("gemini-3-flash-preview:cloud", "google/gemini-3-flash-preview"), ("claude-haiku-4-5-20251001", "anthropic/claude-haiku-4-5"), ("o1:high", "o1"), ("gpt-5:priority", "gpt-5"), ("z-ai/glm-5.2:free", "glm-5.2"),
+            ("codestral-latest", "codestral"), ("mistral-large-latest", "mistral-large"), ("claude-fable-5@eu", "claude-fable-5")]
+    left, right = (apply(spark, keys.canonical_id, *x) for x in zip(*same, strict=True))
+    assert left == right and "gemma-4-31b" in left and "qwen3-14b" in left
+    assert apply(spark, keys.canonical_id, "google/gemma-3-27b-it", "mistral-large-2512", "m:8b", "m:70b", "hf.co/Lab/m-GGUF:q4") == ["gemma-3-27b", "mistral-large-2512", "m-8b", "m-70b", "hf-co-lab-m-gguf-q4"]
+    assert apply(spark, keys.noiseless_key, "x/Big_Model-preview", "preview", "m-v1-thinking") == ["big-model", None, "m-thinking"]
+    assert apply(spark, keys.sorted_key, "claude-haiku-4-5-20251001", "claude-4-5-haiku") == ["4-5-claude-haiku"] * 2
+    assert apply(spark, keys.is_cloud, "gpt-oss:20b-cloud", "glm:cloud", "qwen:14b") == [True, True, False]
+    families = {"glm-5.3-flash": "glm-flash", "glm-5.3": "glm", "gpt-oss-20b": "gpt-oss", "gpt-oss-120b": "gpt-oss", "gemini-3-flash-preview": "gemini-flash", "gemini-3.7-flash": "gemini-flash", "deepseek-v3.2": "deepseek",
+                "deepseek-r1": "deepseek", "deepseek-v4-pro": "deepseek-pro", "mistral-large-3": "mistral-large", "mistral-small-3.2-24b-instruct": "mistral-small", "parasail-deepseek-v4-flash": "deepseek-flash",
+                "gpt-4o-2024-11-20": "gpt-4o", "qwen3.8-2.4t-a95b": "qwen", "claude-haiku-4-5": "claude-haiku"}
+    assert apply(spark, keys.family, *families) == list(families.values())
+    lines = {"gpt-5.4-mini": "gpt", "gpt-4o-mini": "gpt-4o", "gpt-4o-2024-11-20": "gpt-4o", "claude-haiku-4-5": "claude", "glm-5v-turbo": "glm-v", "command-r-plus-08-2024": "command-r", "o1": "o", "o3-pro": "o", "qwen3.7-plus": "qwen"}
+    assert apply(spark, keys.product_line, *lines) == list(lines.values())
+    versions = {"gpt-oss": [], "qwen3.8": [3.0, 0.8], "deepseek-v3.2": [3.0, 0.2], "deepseek-r1": [1.0], "gemma4": [4.0], "qwen3.8-2.4t-a95b": [3.0, 0.8], "qwen-plus-2025-07-28": [], "gpt-4o-2024-11-20": []}
+    assert [list(v) for v in apply(spark, keys.version_tuple, *versions)] == list(versions.values())
+    v = spark.createDataFrame([("grok-4.6",), ("grok-4.20",), ("grok-5",), ("grok",)], "m string").select(keys.version_tuple(F.col("m")).alias("v"), "m").orderBy("v")
+    assert [r.m for r in v.collect()] == ["grok", "grok-4.20", "grok-4.6", "grok-5"]
 
 
 def test_catalogue(spark):
@@ -57,19 +73,19 @@ def test_catalogue(spark):
     assert rows.count() == 3
     rich = catalogue.enrich_indices(rows, catalogue_feeds.parse_indices(payloads)).withColumn("manufacturer", F.lit("Lab"))
     entries = catalogue.consolidate(rich, {"openrouter": 0, "requesty": 1})
-    top = entries.filter("canonical = 'model-4.6'").first()
+    top = entries.filter("canonical = 'model-4-6'").first()
     assert (top.context_k, top.vision, top.eu, top.input_usd, top.cheapest_at, top.aa_index) == (200, True, True, 2.0, "requesty", 60.2)
     empty = lambda s: spark.createDataFrame([], s)
     thresholds = spark.createDataFrame([("model", [4.0, 0.55])], "line string, least array<double>")
-    ranked = catalogue.stars(catalogue.newest_of_line(catalogue.generations(entries, thresholds, empty("canonical string"), empty("canonical string, successor string"))))
+    ranked = catalogue.stars(catalogue.newest_of_family(catalogue.generations(entries, thresholds, empty("canonical string"), empty("canonical string, successor string"))), "aa_index")
     got = {r.canonical: (r.generation, r.newest, r.stars) for r in ranked.collect()}
-    assert got == {"model-4.6": ("current", "model-4.6", 5.0), "model-4.5": ("legacy", "model-4.6", None)}
+    assert got == {"model-4-6": ("current", None, 5.0), "model-4-5": ("legacy", "model-4-6", None)}
 
 
 def test_sources(spark):
-    df = spark.createDataFrame([("claude", "", ["claude-x"]), ("codex", "", []), ("claude", "", []), ("claude", "", ["qwen:8b"]), ("claude", "", ["a/b"]), ("claude", "", ["zzz"])], "s string, b string, m array<string>")
-    shown = df.select(origin.display_source(F.col("s"), F.col("b"), F.col("m"), F.array(F.lit("qwen")), F.array(F.lit("r"))).alias("x"))
-    assert [r.x for r in shown.collect()] == ["claude", "codex", "claude", "ollama", "openrouter", "unknown"]
+    df = spark.createDataFrame([("claude", "", ["claude-x"]), ("codex", "", []), ("claude", "", []), ("claude", "", ["qwen:8b"]), ("claude", "", ["a/b"]), ("claude", "", ["zzz"]), ("claude", "what", ["<synthetic>"]), ("else", "ollama", []), ("claude", "anthropic", ["zzz"])], "s string, b string, m array<string>")
+    shown = df.select(origin.display_source(F.col("s"), F.col("b"), F.col("m"), F.array(F.lit("qwen:14b")), F.array(F.lit("r")), F.array(F.lit("claude-x"))).alias("x"))
+    assert [r.x for r in shown.collect()] == ["claude", "codex", "claude", "ollama", "openrouter", "unknown", "claude", "unknown", "claude"]
     assert apply(spark, origin.backend_class, "https://router.requesty.ai/v1", "http://localhost:11434", None) == ["requesty", "ollama", ""]
 
 

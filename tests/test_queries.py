@@ -4,9 +4,10 @@ import pytest
 from compare import assert_same
 from conftest import SF
 
-from strandbook.plans import event_queries, table_queries
+from strandbook.plans import event_queries, session_queries, table_queries
 
-QUERIES, SQL = event_queries.QUERIES | table_queries.QUERIES, event_queries.SQL | table_queries.SQL
+QUERIES = event_queries.QUERIES | table_queries.QUERIES | session_queries.QUERIES
+SQL = event_queries.SQL | table_queries.SQL | session_queries.SQL
 
 
 def test_every_query_has_sql():
@@ -21,5 +22,5 @@ def test_query(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(__spark_entry__.queries())
