@@ -136,19 +136,19 @@ def delegation_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES_SQL = "CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || ':' || p_brand ELSE 'up/' || p_brand END"
 
 
-@query(f"""WITH u AS (SELECT p_partkey, {NAMES_SQL} AS name FROM part),
+@query(f"""WITH u AS (SELECT l_orderkey, l_linenumber, {NAMES_SQL} AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
 k AS (SELECT p_type AS key, min(p_partkey) AS position FROM part GROUP BY p_type),
 a AS (SELECT 'up/' || p_brand AS alias, p_type AS key FROM part WHERE p_size < 10 GROUP BY ALL),
 f AS (SELECT alias, arg_min(key, position) AS key FROM a JOIN k USING (key) GROUP BY alias),
 j AS (SELECT u.*, x.key AS e, CASE WHEN split_part(u.name, ':', 1) <> u.name THEN y.key END AS b, f.key AS al FROM u LEFT JOIN k x ON x.key = u.name LEFT JOIN k y ON y.key = split_part(u.name, ':', 1) LEFT JOIN f ON f.alias = u.name)
-SELECT p_partkey, name, coalesce(e, b, al) AS price_key, CASE WHEN e IS NOT NULL THEN 'exact' WHEN b IS NOT NULL THEN 'base' WHEN al IS NOT NULL THEN 'alias' END AS tier FROM j""")
+SELECT l_orderkey, l_linenumber, name, coalesce(e, b, al) AS price_key, CASE WHEN e IS NOT NULL THEN 'exact' WHEN b IS NOT NULL THEN 'base' WHEN al IS NOT NULL THEN 'alias' END AS tier FROM j""")
 def price_lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     name = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).when(F.col("p_size") % 3 == 1, F.concat_ws(":", "p_type", "p_brand")).otherwise(F.concat(F.lit("up/"), "p_brand"))
-    usage = part.select("p_partkey", name.alias("name"))
+    usage = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", name.alias("name")), "p_partkey")
     alias = F.when(F.col("p_size") < 10, F.concat(F.lit("up/"), "p_brand"))
     prices = part.groupBy(F.col("p_type").alias("key")).agg(F.min("p_partkey").alias("position"), F.collect_set(alias).alias("aliases"))
-    return lookup.price_lookup(usage, "name", prices).select("p_partkey", "name", "price_key", "tier")
+    return lookup.price_lookup(usage, "name", prices).select("l_orderkey", "l_linenumber", "name", "price_key", "tier")
 
 
 @query("""SELECT o_orderkey, c_name AS project, o_orderdate AS start, coalesce(nullif(o_totalprice, 0), NULL) AS cost, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place
@@ -283,10 +283,13 @@ def price_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(performance(score, F.col("p_size") % 9, F.col("p_retailprice")), 6).alias("performance"))
 
 
-@query("""SELECT c_custkey, CASE WHEN regexp_full_match(c_name, '[A-Za-z0-9_.:\\-]{1,48}') OR c_name = '' THEN c_name ELSE 'unbekannt:' || substr(sha256(c_name), 1, 8) END AS name,
-  CASE WHEN regexp_full_match(c_mktsegment, '[A-Za-z0-9_.:\\-]{1,48}') OR c_mktsegment = '' THEN c_mktsegment ELSE 'unbekannt:' || substr(sha256(c_mktsegment), 1, 8) END AS segment FROM customer""".replace("\\\\", "\\"))
+@query(r"""WITH n AS (SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 's' || c_custkey, c_mktsegment FROM customer UNION ALL SELECT 'd' || doc_id, source FROM documents)
+SELECT id, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_.:\-]{1,48}') OR name = '' THEN name WHEN name IS NOT NULL THEN 'unbekannt:' || substr(sha256(name), 1, 8) END AS name FROM n""")
 def safe_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", text.safe_identifier(F.col("c_name")).alias("name"), text.safe_identifier(F.col("c_mktsegment")).alias("segment"))
+    c, d = table(spark, sf_dir, "customer"), table(spark, sf_dir, "documents")
+    one = lambda df, mark, id_, name: df.select(F.concat(F.lit(mark), id_).alias("id"), F.col(name).alias("name"))
+    names = one(c, "c", "c_custkey", "c_name").unionByName(one(c, "s", "c_custkey", "c_mktsegment")).unionByName(one(d, "d", "doc_id", "source"))
+    return names.select("id", text.safe_identifier(F.col("name")).alias("name"))
 
 
 def violation_sql(c: str, length: bool = True) -> str:
