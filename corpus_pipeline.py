@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs. All but the last return the columns of
-``documents``.
+``documents``; other columns are not read. Null and empty texts pass through as
+they are (their score is the classifier's, they have no copies and no passages),
+rows without doc_id stay and are no copies of others, an id with several texts is
+judged text by text, of rows that repeat both id and text one stays, and empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose calibrated score says that label 1 is at least as likely."""
+    """Keeps the documents that the classifier doesn't reject, by the operator's own threshold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return classify(docs.select(*COLUMNS), labels, threshold=0.5).filter("predicted = 1").select(*COLUMNS)
+    return classify(docs.select(*COLUMNS), labels, threshold=0.7).filter("predicted = 1").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
