@@ -67,15 +67,18 @@ def meetings(pairs: DataFrame, n: int, texts: DataFrame, width: int) -> DataFram
     by hub and block; the hub's own row comes first and has a null member.
     """
     more = [c for c in pairs.columns if c not in ("hub", "member")]
-    crowded = pairs.groupBy("hub").count().filter(F.col("count") > BLOCK).select("hub", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    crowded = checkpointed(crowded).coalesce(1)
-    dealt = pairs.join(either_way(crowded), "hub", "left").withColumn("block", F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    dealt, _ = sized(dealt, 100_000)
+    dealt = pairs.withColumn("block", F.lit(0))
+    if n > BLOCK:  # else no hub can have more members than a block
+        crowded = pairs.groupBy("hub").count().filter(F.col("count") > BLOCK).select("hub", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        crowded = checkpointed(crowded).coalesce(1)
+        dealt = pairs.join(either_way(crowded), "hub", "left").withColumn("block", F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+        dealt, _ = sized(dealt, 100_000)
     hubs = dealt.select("hub", "block").distinct()
-    wanted = checkpointed(dealt.select(F.col("hub").alias("key")).unionByName(dealt.select(F.col("member").alias("key"))).distinct())
-    texts = texts.join(either_way(wanted), "key", "left_semi").select("key", "text")
     if n <= BROADCAST_PAIRS:  # then pairs go to the texts
         hubs, dealt = F.broadcast(hubs), F.broadcast(dealt)
+    else:
+        wanted = checkpointed(dealt.select(F.col("hub").alias("key")).unionByName(dealt.select(F.col("member").alias("key"))).distinct())
+        texts = texts.join(either_way(wanted), "key", "left_semi").select("key", "text")
     there = texts.join(dealt.withColumnRenamed("member", "key"), "key").select("hub", "block", F.col("key").alias("member"), "text", *more)
     first = texts.join(hubs.withColumnRenamed("hub", "key"), "key").select(F.col("key").alias("hub"), "block", F.lit(None).cast("long").alias("member"), "text", *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more))
     least = max(1, min(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 200))
@@ -173,10 +176,10 @@ def connected_components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> Da
     now, n = sized(edges.filter("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), per_task)
     seen = None
     while n:
-        last = n <= per_task
-        now, n = sized(now.mapInArrow(_forest, "src long, dst long"), per_task)
-        if last:
+        now = now.mapInArrow(_forest, "src long, dst long")
+        if n <= per_task:
             break
+        now, n = sized(now, per_task)
         step = with_least(both(now)).filter("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
         small = with_least(step)
         small = small.select("src", F.col("least").alias("dst")).unionByName(small.filter("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst")))

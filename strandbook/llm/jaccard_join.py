@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandbook.llm.common import checkpointed, connected_components, either_way, meetings, ship, shuffle_width, sized
@@ -26,8 +26,8 @@ LIST_BLOCK = 4_096
 PREFIX_ROWS_PER_TASK, OPEN_ROWS_PER_TASK = 1_000_000, 50_000
 #: Bits of a set's parity map, at least; two maps' difference bounds the sets' difference from below.
 LEAST_BITS = 1_024
-#: Rounds in which a set meets one other of its list, before all that are still apart meet.
-ROUNDS = 3
+#: Rounds in which a set meets one other in each of a few lists, before all that are still apart meet in all lists.
+ROUNDS, LISTS_A_TURN = 3, 4
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -51,6 +51,13 @@ def parity_map(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Buckets in which two maps differ: no more than the sets' elements that only one of them has."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    length = min(len(u), len(v))
+    return int(np.bitwise_count(_folded(u[None, :], length) ^ _folded(v[None, :], length)).sum())
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
     """A row (kind 0) for each document: n, sig; and rows (kind 1) of shingles that several documents of a task have, with counts."""
 
@@ -228,7 +235,7 @@ def _across(entries: DataFrame, percent: int, width: int, turn: int) -> DataFram
         for lo, hi in zip(starts, np.r_[starts[1:], len(sig)], strict=True):
             if (part[lo:hi] == part[lo]).all():
                 continue
-            raw = [np.frombuffer(m, np.uint64) for m in cols["map"][lo:hi]]
+            raw = [np.frombuffer(m, np.uint64)[1:] for m in cols["map"][lo:hi]]
             sizes = np.array([len(m) for m in raw])
             by_size = {length: (np.flatnonzero(sizes >= length), _stack(raw, sizes, length)) for length in np.unique(sizes).tolist()}
             for i in range(hi - lo - 1):
@@ -287,6 +294,25 @@ def _counted(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
     return meetings(pairs.select("hub", "member"), n, texts, -(-n // 20_000)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def _near(pairs: DataFrame, n: int, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, member) whose sizes and parity maps allow the threshold. ``maps``: key, n, map."""
+    names = ["hub", "member"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, lead, many = None, b"", 0
+        for batch in batches:
+            out = []
+            for key, member, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                size, own = int.from_bytes(packed[:8], "little"), packed[8:]
+                if member is None:
+                    hub, lead, many = key, own, size
+                elif key == hub and (size + many - differing(lead, own)) // 2 >= needed(size, many, percent):
+                    out.append((key, member))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], names)
+
+    return meetings(pairs.select(*names), n, maps.select("key", F.col("map").alias("text")), -(-n // 50_000)).mapInArrow(run, "hub long, member long").distinct()
+
+
 def _answered(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``answer`` where a highly similar set's computed answers settle it: true if linked, false if not.
 
@@ -314,8 +340,14 @@ def _opened(long: DataFrame, components: DataFrame) -> DataFrame:
     """The entries of those long lists in which links have not joined all sets, with ``component`` and the list's length."""
     placed = long.join(components.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lists = placed.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = lists.filter("low != high").select("shingle", "many")
-    return placed.join(lists, "shingle")
+    lists = checkpointed(lists.filter("low != high").select("shingle", "many"))
+    return placed.join(either_way(lists), "shingle")
+
+
+def _few_lists(entries: DataFrame, turn: int) -> DataFrame:
+    """Of each set's entries those of a few lists, chosen by a hash of the list alone, so that similar sets choose alike."""
+    least = Window.partitionBy("sig").orderBy(F.xxhash64("shingle", F.lit(turn)), "shingle")  # a set's own entries
+    return entries.withColumn("_place", F.row_number().over(least)).filter(F.col("_place") <= LISTS_A_TURN).drop("_place")
 
 
 def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -337,12 +369,12 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     def texts(sigs: DataFrame) -> DataFrame:
         """One text (key: sig) for each of ``sigs``."""
-        own = classes.join(either_way(sigs), "sig", "left_semi").select("doc_id", "text_key", F.col("sig").alias("key"))
+        own = classes.join(sigs, "sig", "left_semi").select("doc_id", "text_key", F.col("sig").alias("key"))
         own = known.join(either_way(checkpointed(own)), ["doc_id", "text_key"]).select("key", "text")
         return own.dropDuplicates(["key"]) if twice else own
 
     def counted_pairs(pairs: DataFrame, n: int) -> DataFrame:
-        ends = checkpointed(pairs.select(F.explode(F.array("hub", "member")).alias("sig")).distinct())
+        ends = pairs.select(F.explode(F.array("hub", "member")).alias("sig")).distinct()
         return checkpointed(_counted(pairs, n, texts(ends))).coalesce(max(1, n // 100_000))
 
     def edge(d: DataFrame) -> DataFrame:
@@ -350,17 +382,20 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     linked = f"common * {100 + percent} >= {percent} * (n_hub + n_member)"
     candidates, n = sized(listed.filter("member is not null").select("hub", "member").distinct(), 100_000)
+    ends = candidates.select(F.explode(F.array("hub", "member")).alias("sig")).distinct()
+    candidates, n = sized(_near(candidates, n, checkpointed(_maps(texts(ends))), percent), 100_000)
     counted = counted_pairs(candidates, n)
     components = checkpointed(connected_components(edge(counted.filter(linked)))).coalesce(max(1, n // 200_000))
     open_, left = sized(_opened(listed.filter("member is null").select(F.col("hub").alias("sig"), "shingle", "n", "place"), components), OPEN_ROWS_PER_TASK)
     if left:
-        maps = checkpointed(_maps(texts(checkpointed(open_.select("sig").distinct()))))
+        maps = checkpointed(_maps(texts(open_.select("sig").distinct()))).withColumnRenamed("key", "sig")
     for turn in (*range(1, ROUNDS + 1), 0):
         if not left:
             break
         blocks = F.ceil(F.col("many") / LIST_BLOCK).cast("int")
         own = F.pmod(F.xxhash64("sig", F.lit("block")), blocks).cast("int")
-        entries = open_.withColumns({"blocks": blocks, "side": own}).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        entries = _few_lists(open_, turn) if turn else open_
+        entries = entries.withColumns({"blocks": blocks, "side": own}).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         entries = entries.withColumns({"one": F.least("side", "met"), "other": F.greatest("side", "met")}).join(maps, "sig")
         width = shuffle_width(docs, left, OPEN_ROWS_PER_TASK) if left > OPEN_ROWS_PER_TASK else max(1, left // 5_000)
         across = _across(entries.select("shingle", "one", "other", "side", "sig", "n", "place", "component", "map"), percent, width, turn)
@@ -386,12 +421,13 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _maps(texts: DataFrame) -> DataFrame:
-    """(sig, map): the parity map of each text's set."""
+    """(key, map): the size of each text's set in eight bytes, and its parity map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parity_map(s) for s in sets_of(batch.column(1))], pa.binary())], ["sig", "map"])
+            packed = [len(s).to_bytes(8, "little") + parity_map(s) for s in sets_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["key", "map"])
 
-    return texts.mapInArrow(run, "sig long, map binary")
+    return texts.mapInArrow(run, "key long, map binary")
 
 
 def _placed(docs: DataFrame, percent: int) -> DataFrame:
