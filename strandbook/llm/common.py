@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -64,7 +65,8 @@ def meetings(pairs: DataFrame, n: int, texts: DataFrame, width: int) -> DataFram
     ``texts`` has key and text, one row a key. Each member's text travels once a
     pair, the hub's once for each block of about BLOCK members, so that no hub's
     members must lie in one task. Rows (hub, block, member, text, more) are sorted
-    by hub and block; the hub's own row comes first and has a null member.
+    by hub and block; the hub's own row comes first and has a null member. Where
+    pairs have more columns, these come in a row without text before the member's.
     """
     more = [c for c in pairs.columns if c not in ("hub", "member")]
     dealt = pairs.withColumn("block", F.lit(0))
@@ -73,16 +75,28 @@ def meetings(pairs: DataFrame, n: int, texts: DataFrame, width: int) -> DataFram
         crowded = checkpointed(crowded).coalesce(1)
         dealt = pairs.join(either_way(crowded), "hub", "left").withColumn("block", F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
         dealt, _ = sized(dealt, 100_000)
+    ids = dealt.select("hub", "block", F.col("member").alias("key"))
     hubs = dealt.select("hub", "block").distinct()
     if n <= BROADCAST_PAIRS:  # then pairs go to the texts
-        hubs, dealt = F.broadcast(hubs), F.broadcast(dealt)
+        hubs, ids = F.broadcast(hubs), F.broadcast(ids)
     else:
-        wanted = checkpointed(dealt.select(F.col("hub").alias("key")).unionByName(dealt.select(F.col("member").alias("key"))).distinct())
+        wanted = checkpointed(ids.select("key").unionByName(ids.select(F.col("hub").alias("key"))).distinct())
         texts = texts.join(either_way(wanted), "key", "left_semi").select("key", "text")
-    there = texts.join(dealt.withColumnRenamed("member", "key"), "key").select("hub", "block", F.col("key").alias("member"), "text", *more)
-    first = texts.join(hubs.withColumnRenamed("hub", "key"), "key").select(F.col("key").alias("hub"), "block", F.lit(None).cast("long").alias("member"), "text", *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more))
+    none = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more]
+    met = texts.join(ids, "key").select("hub", "block", F.col("key").alias("member"), "text", *none)
+    met = met.unionByName(texts.join(hubs.withColumnRenamed("hub", "key"), "key").select(F.col("key").alias("hub"), "block", F.lit(None).cast("long").alias("member"), "text", *none))
+    if more:
+        met = met.unionByName(dealt.select("hub", "block", "member", F.lit(None).cast(texts.schema["text"].dataType).alias("text"), *more))
     least = max(1, min(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 200))
-    return there.unionByName(first).repartition(max(width, least), "hub", "block").sortWithinPartitions("hub", "block", F.col("member").asc_nulls_first())
+    return met.repartition(max(width, least), "hub", "block").sortWithinPartitions("hub", "block", F.col("member").asc_nulls_first(), F.col("text").isNotNull())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a checkpoint for many narrow rows, which compress well there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(df: DataFrame, rows: int, rows_per_task: int) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import WORD, checkpointed, either_way, meetings, ship, shuffle_width, sized
+from strandbook.llm.common import WORD, checkpointed, either_way, meetings, ship, shuffle_width, sized, written
 from strandbook.llm.shingles import WIDTH, mixed, shingled, signed, slices, word_hashes
 
 WINDOW_ROWS_PER_TASK = 1_000_000
@@ -343,7 +343,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity
     """Rows of FOUND: the passages that pairs really share, and the hashes of least passages (gram) near their windows that only one of both has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, lead, own, covered, told = None, None, None, None, None
+        hub, lead, own, covered, told, near = None, None, None, None, None, None
 
         def rows(doc: int, key: int, first: int, repeated: bool, words: np.ndarray) -> list[tuple]:
             return [(doc, key, first, repeated, s, e, None) for s, e in zip(*(z.tolist() for z in spans_of(words)), strict=True)]
@@ -362,6 +362,9 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity
             columns = [batch.column(c).to_pylist() for c in ("hub", "block", "member", "a", "a_key", "b", "b_key", "stretches")]
             out: list[tuple] = []
             for k, (key, block, member, a, a_key, b, b_key, stretches) in enumerate(zip(*columns, strict=True)):
+                if a is not None:  # what belongs to the text that follows
+                    near = (a, a_key, b, b_key, stretches)
+                    continue
                 text = Passage(values[end[k] - counts[k]:end[k]], least)
                 if member is None:
                     if (key, block) != hub:
@@ -371,6 +374,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity
                     continue
                 if (key, block) != hub:
                     continue
+                a, a_key, b, b_key, stretches = near
                 own = (a, a_key)
                 in_x, in_y = shared_words(lead, text, least, similarity)
                 covered |= in_x
@@ -434,15 +438,16 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     width = shuffle_width(docs, docs.count() * 24 * hashes, WINDOW_ROWS_PER_TASK)
     ends = {"hub": F.xxhash64("a", "a_key"), "member": F.xxhash64("b", "b_key")}
     pairs, n = sized(_links(_windows(alone, least, hashes), least, width).withColumns(ends), 20_000)
-    found = checkpointed(_verified(pairs, n, texts, least, similarity))
-    lone = found.filter("gram is not null").select("gram", "doc_id", "text_key").distinct()
-    first = lone.groupBy("gram").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    found = written(_verified(pairs, n, texts, least, similarity))
+    lone = found.filter("gram is not null").select("gram", "doc_id", "text_key")
+    text = F.struct("doc_id", "text_key")
+    first = lone.groupBy("gram").agg(F.min(text).alias("first"), F.max(text).alias("last")).filter("first != last").drop("last")
     again = lone.join(first, "gram").select(F.col("first.doc_id").alias("a"), F.col("first.text_key").alias("a_key"), F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"))
     again = again.filter("a != b or a_key != b_key").distinct().withColumns(ends | {"stretches": F.lit(None).cast(pairs.schema["stretches"].dataType)})
     more, n = sized(again.join(pairs.select("hub", "member"), ["hub", "member"], "left_anti").select(*pairs.columns), 20_000)
     if n:
-        found = found.unionByName(checkpointed(_verified(more, n, texts, least, similarity)))
-    spans = found.filter("gram is null").drop("gram")
+        found = found.unionByName(written(_verified(more, n, texts, least, similarity)))
+    spans = found.filter("gram is null").drop("gram").distinct()
     repeats = copies.filter(F.col("n") >= least_words)
     whole = repeats.select("doc_id", "text_key", "first_doc_id", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"))
     origin = repeats.groupBy("first_doc_id", "text_key").agg(F.max("n").alias("end_word"))
