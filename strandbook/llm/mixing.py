@@ -60,14 +60,15 @@ def mix(
 
     Null texts have size 0 and null sources form a source of their own, last.
     Rows with one doc_id (repeated or null) stand at one place of the order and
-    share what is left there. Empty tables give no rows. Other columns pass through; the added names must not clash, so a
-    column of docs with such a name is replaced.
+    share what is left there. Empty tables give no rows. Other columns pass
+    through, whatever their names; a column with an added name is replaced.
     """
     added = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*kept)
     order = hashed_unit(F.lit(seed), F.col("doc_id").cast("string"))
-    work = docs.withColumns({"size": word_count(F.col("text")), "_order": order, "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
+    # The documents' own columns travel in one, so that no name of theirs can clash with those below.
+    work = docs.select(F.struct(*kept).alias("_own"), "source", word_count(F.col("text")).alias("size"), order.alias("_order"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"))
     work = work.withColumn("_bin", F.floor(F.col("_order") / ((1 << 60) // bins)).cast("int"))
     by_bin = checkpointed(work.groupBy("_key", "source", "_bin").agg(F.sum("size").alias("bin_size")))
     sizes = by_bin.groupBy("_key", "source").agg(F.sum("bin_size").alias("source_size"))
@@ -104,4 +105,4 @@ def mix(
         .otherwise(F.lit(0))
     )
     taken = (F.col("_whole") * F.col("size") + extra).cast("long")
-    return planned.withColumn("taken", taken).select(*kept, *added)
+    return planned.withColumn("taken", taken).select("_own.*", *added)

@@ -74,7 +74,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandbook.llm.mixing import mix
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, share=1.5, epochs=2.0, weights=(3, 1, 2)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    return mix(docs, share=1.5, epochs=2.0, weights=(3, 1, 2)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ laid AS (
     sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY d.source, place) AS ahead,
     sum(size) OVER (PARTITION BY d.source, place) AS tied
   FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
+SELECT doc_id, size, source_size, target,
   CAST(whole * size + CASE WHEN rest <= ahead THEN 0 WHEN rest >= ahead + tied THEN size ELSE floor(size * (rest - ahead) / tied) END AS BIGINT) AS taken FROM laid""",
     "op10_vector_dedup": r"""
 WITH RECURSIVE v AS (

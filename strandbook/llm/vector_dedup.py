@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import checkpointed, connected_components, ship
-from strandbook.llm.vectors import matrix, sample, usable
+from strandbook.llm.common import checkpointed, connected_components, either_way, ship
+from strandbook.llm.vectors import by_length, matrix, sample, with_direction
 
 #: Rows of one block of comparisons: vectors that live in a cell, and vectors that visit it.
 RESIDENTS, VISITORS = 4_096, 8_192
@@ -122,20 +122,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     one place. Crowded cells are dealt out over several blocks of bounded size,
     which send back sums and spanning links, not pairs.
 
-    Rows that usable() leaves out link with nothing: n_links 0, component_id
-    their own. Rows with null vec_id have a null component and kept false. Rows
-    that repeat a vec_id count as rows of their own. Empty tables give no rows;
-    other columns are not read.
+    Null, empty and zero vectors and those with null or non-finite components
+    link with nothing, and vectors of different lengths not with each other:
+    n_links 0, component_id their own. Rows with null vec_id have a null component
+    and kept false. Rows that repeat a vec_id are rows of their own, each by its
+    vector. Empty tables give no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = checkpointed(usable(vectors))
-    classes = checkpointed(rows.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
+    ship(vectors.sparkSession)
+    rows = checkpointed(with_direction(vectors))
+    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for own in by_length(rows.filter("usable")):
+        alone = alone.unionByName(_linked(own, cosine, recall, seed))
+    return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(rows: DataFrame, cosine: float, recall: float, seed: int) -> DataFrame:
+    """vec_id, n_links, component_id of usable rows of one length. A class of equal vectors goes by their hash, ``rep``."""
+    spark = rows.sparkSession
+    kind = rows.schema["embedding"].dataType.simpleString()
+    classes = checkpointed(rows.groupBy("h").agg(F.col("h").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
     n = classes.count()
-    everyone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if n == 0:
-        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    centres = int(min(256, max(4, round(math.sqrt(n) / 8))))
+    centres = int(min(1_024, max(4, round(math.sqrt(n) / 8))))
     index, visits = fit(sample(classes), cosine, recall, centres, seed)
     shared = spark.sparkContext.broadcast(index)
 
@@ -148,13 +155,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
                     [part.column("rep"), part.column("copies"), part.column("embedding"), pa.array(cells[:, 0]), pa.array(list(cells), pa.list_(pa.int32()))],
                     ["rep", "copies", "embedding", "home", "visits"])
 
-    placed = checkpointed(classes.select("rep", "copies", "embedding").mapInArrow(place, "rep long, copies long, embedding array<float>, home int, visits array<int>"))
-    # A row for each cell: at most 256 * 256.
+    placed = checkpointed(classes.select("rep", "copies", "embedding").mapInArrow(place, f"rep long, copies long, embedding {kind}, home int, visits array<int>"))
     residents = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("here"))
     visitors = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("coming"))
     sizes = residents.join(visitors, "cell").select(
         "cell", F.ceil(F.col("here") / RESIDENTS).cast("int").alias("rs"), F.ceil(F.col("coming") / VISITORS).cast("int").alias("ps"))
-    sizes = F.broadcast(checkpointed(sizes))
+    sizes = either_way(checkpointed(sizes))
     slot = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     here = placed.withColumn("cell", F.col("home")).join(sizes, "cell").select(
         "cell", slot("rs").alias("r"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.lit(True).alias("lives"), "rep", "copies", "embedding", "home", "visits")
@@ -191,15 +197,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     found = checkpointed(here.unionByName(there).groupBy("cell", "r", "p").applyInArrow(compare, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    known = classes.select("h", "h2", "rep", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.select("vec_id", "h", "h2").join(known, ["h", "h2"]).select("vec_id", "n_links", "component_id")
-    out = usable_or_not(vectors, linked)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def usable_or_not(vectors: DataFrame, linked: DataFrame) -> DataFrame:
-    """``linked``, and the rows of ``vectors`` whose vec_id it does not have."""
-    everyone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    rest = everyone.join(linked.select("vec_id").distinct(), "vec_id", "left_anti")
-    return linked.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    known = classes.select("h", "rep", "least", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest, "component").select("h", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    return rows.select("vec_id", "h").join(known, "h").select("vec_id", "n_links", "component_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandbook.llm.common import checkpointed, ship
-from strandbook.llm.vectors import matrix, sample, usable
+from strandbook.llm.vectors import by_length, matrix, sample, with_direction
 
 #: Distinct vectors of a region, and queries that one task takes to it, at most about.
 REGION, QUERIES = 8_192, 4_096
@@ -77,7 +78,7 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.97, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.95, seed: int = 5) -> DataFrame:
     """The ``k`` rows with the largest inner product for each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are
@@ -96,21 +97,31 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
     does not yet rule out, and it visits those next.
 
     Equal vectors are one class: it is searched once, and only its k + 1 smallest
-    ids can ever be among the k nearest. Rows that usable() leaves out are
-    neither queries nor candidates. If there are fewer candidates than k, all are
-    returned. Empty tables give no rows; other columns are not read.
+    ids can ever be among the k nearest. Null, empty and zero vectors and those
+    with null or non-finite components are neither queries nor candidates, and
+    vectors of different lengths are not each other's. Rows that repeat a vec_id
+    are candidates of their own, but not for queries of that id; a query id that
+    repeats with several vectors has the ranks of each. If there are fewer
+    candidates than k, all are returned. Empty tables give no rows; other columns
+    are not read.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = checkpointed(usable(vectors))
-    first = Window.partitionBy("h", "h2").orderBy("vec_id")
+    ship(vectors.sparkSession)
+    rows = checkpointed(with_direction(vectors).filter("usable"))
+    found = [_nearest(own, k, every, dims, confidence, seed) for own in by_length(rows)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, dims: int, confidence: float, seed: int) -> DataFrame:
+    """nearest() of usable rows of one length."""
+    spark = rows.sparkSession
+    kind = rows.schema["embedding"].dataType.simpleString()
+    first = Window.partitionBy("h").orderBy("vec_id")
     classes = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    classes = checkpointed(classes.groupBy("h", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
+    classes = checkpointed(classes.groupBy("h").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
     asked = rows.filter(F.col("vec_id") % every == 0)
-    schema = "query_id long, rank int, vec_id long, score double"
     n = classes.count()
-    if n == 0:
-        return spark.createDataFrame([], schema)
     longest = classes.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
     picked = sample(classes)
     axes = np.random.default_rng(seed).standard_normal((picked.shape[1] + 1, dims))
@@ -129,7 +140,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
                 at = region_of(project(matrix(batch.column("embedding")), False), splits, depth)
                 yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("embedding"), pa.array(at.astype(np.int32))], ["ids", "embedding", "region"])
 
-    placed = checkpointed(classes.select("ids", "embedding").mapInArrow(deal, "ids array<long>, embedding array<float>, region int"))
+    placed = checkpointed(classes.select("ids", "embedding").mapInArrow(deal, "ids array<long>, embedding " + kind + ", region int"))
 
     def bounds(batches):
         for batch in batches:
@@ -141,10 +152,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
     boxes = placed.select("region", "embedding").mapInArrow(bounds, "region int, low array<double>, high array<double>").groupBy("region").agg(*by_side).orderBy("region").collect()  # a row for each region
     names = np.array([b.region for b in boxes], np.int32)
     low, high = (np.array([[b[f"{w}{c}"] for c in range(dims)] for b in boxes]) for w in ("low", "high"))
-    queries = checkpointed(asked.groupBy("h", "h2").agg(F.first("embedding").alias("embedding")))
+    queries = checkpointed(asked.groupBy("h").agg(F.first("embedding").alias("embedding")))
     asked_n = queries.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, min(-(-asked_n // 64), max(-(-asked_n // QUERIES), parts)))
+    # A region is sent once for each chunk of queries: no more chunks than keep all tasks busy, but none too large.
+    chunks = max(1, min(-(-asked_n // 64), max(-(-asked_n // QUERIES), -(-2 * parts // len(names)))))
     chunk = F.pmod(F.col("h"), F.lit(chunks)).cast("int")
 
     def route(batches, home: bool):
@@ -159,7 +171,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
                 open_ = d <= batch.column("kth").to_numpy()[:, None] * factor
                 open_[np.arange(len(d)), nearest_box] = False
                 go = [names[o] for o in open_]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "h2", "embedding", "kth")), pa.array(go, pa.list_(pa.int32()))], ["h", "h2", "embedding", "kth", "go"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "embedding", "kth")), pa.array(go, pa.list_(pa.int32()))], ["h", "embedding", "kth", "go"])
 
     def search(block: pa.Table) -> pa.Table:
         asks = block.column("ids").is_null().to_numpy()
@@ -174,7 +186,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
             d = box_distance(project(vq, True), np.stack([px[r].min(0) for r in leaves]), np.stack([px[r].max(0) for r in leaves]))
             order = np.argsort(d, 1)
             length = np.einsum("ij,ij->i", vq, vq)
-            for i, (h, h2, kth) in enumerate(zip(q.column("h").to_pylist(), q.column("h2").to_pylist(), q.column("kth").to_pylist(), strict=True)):
+            for i, (h, kth) in enumerate(zip(q.column("h").to_pylist(), q.column("kth").to_pylist(), strict=True)):
                 rows_, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
                 while at < len(leaves):
                     stop = kth * factor
@@ -190,30 +202,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
                     if count[rows_].sum() >= k + 1:
                         kth = min(kth, length[i] + longest - 2 * scores[-1])
                     at, step = at + step, step * 2
-                out += [(h, h2, v, s, kth) for r, s in zip(rows_.tolist(), scores.tolist(), strict=True) for v in ids[r]]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["h", "h2", "vec_id", "score", "kth"])
+                out += [(h, v, s, kth) for r, s in zip(rows_.tolist(), scores.tolist(), strict=True) for v in ids[r]]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["h", "vec_id", "score", "kth"])
 
-    routed_schema = "h long, h2 int, embedding array<float>, kth double, go array<int>"
-    found_schema = "h long, h2 int, vec_id long, score double, kth double"
-    nobody = [F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("h2", "int"), ("kth", "double"))]
+    routed_schema = f"h long, embedding {kind}, kth double, go array<int>"
+    found_schema = "h long, vec_id long, score double, kth double"
+    nobody = [F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("kth", "double"))]
 
     def visit(q: DataFrame, home: bool) -> DataFrame:
-        coming = q.select("h", "h2", "embedding", "kth").mapInArrow(lambda b: route(b, home), routed_schema)
-        coming = checkpointed(coming.withColumn("region", F.explode("go")).withColumn("chunk", chunk).select("region", "chunk", "h", "h2", "embedding", "kth"))
+        coming = q.select("h", "embedding", "kth").mapInArrow(lambda b: route(b, home), routed_schema)
+        coming = checkpointed(coming.withColumn("region", F.explode("go")).withColumn("chunk", chunk).select("region", "chunk", "h", "embedding", "kth"))
         meetings = coming.select("region", "chunk").distinct()  # a region's rows go where its queries are
         lying = placed.join(meetings, "region").select("region", "chunk", *nobody, "ids", "embedding")
-        coming = coming.select("region", "chunk", "h", "h2", "kth", F.lit(None).cast("array<long>").alias("ids"), "embedding")
+        coming = coming.select("region", "chunk", "h", "kth", F.lit(None).cast("array<long>").alias("ids"), "embedding")
         return checkpointed(lying.unionByName(coming).groupBy("region", "chunk").applyInArrow(search, found_schema))
 
     began = visit(queries.withColumn("kth", F.lit(1e300)), True)
-    reached = began.groupBy("h", "h2").agg(F.min("kth").alias("kth"))
+    reached = began.groupBy("h").agg(F.min("kth").alias("kth"))
     found = began
     if len(names) > 1:
-        found = began.unionByName(visit(queries.join(reached, ["h", "h2"], "left").withColumn("kth", F.coalesce("kth", F.lit(1e300))), False))
-    best = Window.partitionBy("h", "h2").orderBy(F.desc("score"), "vec_id")
-    top = found.select("h", "h2", "vec_id", "score").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    pairs = asked.select(F.col("vec_id").alias("query_id"), "h", "h2").join(top, ["h", "h2"]).filter("query_id != vec_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = began.unionByName(visit(queries.join(reached, "h", "left").withColumn("kth", F.coalesce("kth", F.lit(1e300))), False))
+    best = Window.partitionBy("h").orderBy(F.desc("score"), "vec_id")
+    top = found.select("h", "vec_id", "score").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    pairs = asked.select(F.col("vec_id").alias("query_id"), "h").distinct().join(top, "h").filter("query_id != vec_id")
+    final = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

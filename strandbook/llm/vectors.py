@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<float>, h, h2): vectors with an id and a direction.
+def with_direction(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding array<float or double>, h) and ``usable``: whether the vector has an id and a direction.
 
     Null, empty and zero vectors and those with null or non-finite components
-    take no part, nor do those whose length is not the table's most common one
-    (the longer of two equally common ones). h and h2 are equal for equal vectors.
+    have none. h is equal for equal vectors.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id is not null")
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.filter(F.col("embedding").isNotNull()).filter(fine & F.exists("embedding", lambda x: x != 0))
-    lengths = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    v = v.filter(F.size("embedding") == (lengths.d if lengths else 0))
-    plain = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # no negative zero
-    return v.withColumn("embedding", plain).withColumns({"h": F.xxhash64("embedding"), "h2": F.hash("embedding")})
+    kind = "array<double>" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "array<float>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    zero = F.lit(0.0).cast(kind[6:-1])
+    plain = F.transform("embedding", lambda x: x + zero)  # no negative zero
+    v = v.withColumn("usable", F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return v.withColumn("embedding", plain).withColumn("h", F.xxhash64("embedding"))
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """The rows of each vector length apart, as vectors of different lengths have no product; a table has one length, as a rule."""
+    lengths = [r.d for r in rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
+    return [rows.filter(F.size("embedding") == d) for d in lengths] if len(lengths) > 1 else [rows] * len(lengths)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An array<float> column as a matrix in double precision."""
+    """A column of numbers' arrays as a matrix in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -36,5 +41,5 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def sample(classes: DataFrame, most: int = SAMPLE) -> np.ndarray:
     """A bounded, seeded sample of the distinct vectors, for fitting: at most ``most`` rows reach the driver."""
-    table = classes.select("embedding", F.xxhash64(F.lit("sample"), "h", "h2").alias("o"), "h", "h2").orderBy("o", "h", "h2").limit(most).select("embedding").toArrow()
+    table = classes.select("embedding", F.xxhash64(F.lit("sample"), "h").alias("o"), "h").orderBy("o", "h").limit(most).select("embedding").toArrow()
     return matrix(table.column(0))

@@ -7,6 +7,7 @@ import pytest
 from brute import components
 from compare import assert_same
 from conftest import SF
+from pyspark.sql import functions as F
 
 from strandbook.llm import common, quality, queries, vector_dedup, vector_search
 
@@ -92,6 +93,46 @@ def test_dedup(vectors, monkeypatch, block):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dedup_goes_by_row(spark):
+    """Ids that repeat, lengths that differ, and links to either row of an id."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.05]), (3, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0]), (6, None), (6, [0.0, 2.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("h", F.lit("clash"))
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(df, 0.9).collect())
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 1, 3, True), (4, 0, 4, True), (5, 3, 1, False), (6, 0, 6, True), (6, 1, 3, False), (-1, 0, None, False)])
+
+
+def test_dedup_query_on_planted_pairs(spark, tmp_path):
+    """The query's SQL on a table with links, as the driver's has none: cosines on both sides of the threshold."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 16))
+    rows = []
+    for i, v in enumerate(x):
+        aside = rng.standard_normal(16)
+        aside -= aside @ v / (v @ v) * v
+        cosine = (0.85, 0.899, 0.901, 0.95)[i % 4]
+        near = cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside)
+        rows += [(2 * i, [float(c) for c in v]), (2 * i + 1, [float(c) for c in near])]
+    spark.createDataFrame([*rows, (500, None), (501, [0.0] * 16)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "all"))
+    (part,) = (tmp_path / "all").glob("*.parquet")
+    part.rename(tmp_path / "embeddings.parquet")
+    ours = queries.op10_vector_dedup(spark, str(tmp_path)).toPandas().sort_values("vec_id").reset_index(drop=True)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    theirs = con.execute(queries.ORACLE_SQL["op10_vector_dedup"]).df().sort_values("vec_id").reset_index(drop=True)
+    assert (ours.n_links > 0).sum() == 60
+    for c in ("vec_id", "n_links", "component_id", "kept"):
+        assert (ours[c].astype(int) == theirs[c].astype(int)).all()
+
+
+def test_search_of_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (0, [1.0, 0.0]), (2, [1.0, 1.0, 1.0]), (4, [2.0, 1.0, 1.0]), (6, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.nearest(df, k=20, every=2).collect())
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 2.0), (2, 1, 4, 4.0), (4, 1, 2, 4.0)]
+
+
 def test_multi_sequence_is_nearest_first():
     rng = np.random.default_rng(4)
     index = vector_dedup.MultiIndex(rng.standard_normal((9, 5)), rng.standard_normal((7, 5)))
