@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandbook.operators.rules import within
+
 
 def median(value: str | Column) -> Column:
     """Interpolated and exact; null over no rows."""
@@ -28,6 +32,12 @@ SESSION_BENCHMARK = {
 }
 
 
+def peers(sessions: DataFrame, at: Column, as_of: datetime, days: int = 30, without: str | int | None = None) -> DataFrame:
+    """The sessions of the last days that one is compared with; itself is none of them."""
+    recent = sessions.filter(within(at, as_of, days))
+    return recent.filter(F.col("session_id") != without) if without is not None else recent
+
+
 def session_benchmark(sessions: DataFrame, keys: list[str] | None = None, least_rounds: int = 5) -> DataFrame:
     return medians(sessions.filter(F.col("rounds") >= least_rounds), SESSION_BENCHMARK, keys)
 

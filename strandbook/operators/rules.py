@@ -171,25 +171,36 @@ def recurring_findings(events: DataFrame, as_of: datetime) -> DataFrame:
     return finding(hit, "error:recurring", "warning", F.concat(F.lit("error:recurring:"), "signature"), F.col("sessions"), F.col("signature"))
 
 
-def others_percentile(df: DataFrame, groups: list[str], value: str, p: float, tie: str) -> DataFrame:
+def others_percentile(df: DataFrame, groups: list[str], value: str, p: float, tie: str, bins: int = 4096) -> DataFrame:
     """Adds ``others`` (rows of the group besides this one) and ``others_p``: their interpolated percentile.
 
     Of n sorted values without one, the wanted places are among three
-    neighbouring places of all n, whichever is taken out, so one sort of each
-    group serves all its rows. Rows with a null value are left out.
+    neighbouring places of all n, whichever is taken out. A count of each group's
+    values in ``bins`` of equal width tells in which bins these places lie, and
+    only the rows of those are sorted, so that no task sorts a whole group. Rows
+    with a null value are left out.
     """
-    own = Window.partitionBy(*groups)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(own.orderBy(value, tie)) - 1).withColumn("_n", F.count("*").over(own))
+    spans = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n"))
     place = F.lit(p) * (F.col("_n") - 2)
-    ranked = ranked.withColumn("_lo", F.floor(place)).withColumn("_f", place - F.floor(place))
-    at = lambda k: F.max(F.when(F.col("_i") == F.col("_lo") + k, F.col(value)))
-    three = ranked.filter("_i between _lo and _lo + 2").groupBy(*groups).agg(at(0).alias("_v0"), at(1).alias("_v1"), at(2).alias("_v2"))
-    joined = ranked.join(three, groups)
-    low = F.when(F.col("_lo") < F.col("_i"), F.col("_v0")).otherwise(F.col("_v1"))
-    high = F.when(F.col("_lo") + 1 < F.col("_i"), F.col("_v1")).otherwise(F.coalesce("_v2", "_v1"))
+    spans = spans.withColumns({"_lo": F.floor(place), "_f": place - F.floor(place)})
+    width = (F.col("_high") - F.col("_low")) / bins
+    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_low")) / width))).otherwise(F.lit(0))
+    binned = df.filter(F.col(value).isNotNull()).join(spans, groups).withColumn("_bin", bin_)
+    ahead = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows
+    counts = binned.groupBy(*groups, "_bin", "_lo").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+    wanted = counts.filter("_before <= _lo + 2 and _before + _c > _lo").select(*groups, "_bin", "_before")
+    first = wanted.groupBy(*groups).agg(F.min("_before").alias("_first"))
+    near = binned.join(wanted.select(*groups, "_bin"), [*groups, "_bin"]).join(first, groups)
+    near = near.withColumn("_i", F.col("_first") + F.row_number().over(Window.partitionBy(*groups).orderBy(value, tie)) - 1)
+    at = lambda k: F.max(F.when(F.col("_i") == F.col("_lo") + k, F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))))
+    three = near.groupBy(*groups).agg(at(0).alias("_0"), at(1).alias("_1"), at(2).alias("_2"))
+    joined = binned.join(three, groups, "left")
+    own = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
+    low = F.when(own > F.col("_0"), F.col("_0.v")).otherwise(F.col("_1.v"))
+    high = F.when(own > F.col("_1"), F.col("_1.v")).otherwise(F.coalesce("_2.v", "_1.v"))
     high = F.when(F.col("_f") == 0, low).otherwise(high)
     out = joined.withColumn("others", F.col("_n") - 1).withColumn("others_p", F.when(F.col("_n") > 1, low + F.col("_f") * (high - low)))
-    return out.drop("_i", "_n", "_lo", "_f", "_v0", "_v1", "_v2")
+    return out.drop("_low", "_high", "_n", "_lo", "_f", "_bin", "_0", "_1", "_2")
 
 
 def cost_outliers(sessions: DataFrame, groups: list[str], value: str, tie: str, at_least: int = 10) -> DataFrame:

@@ -23,13 +23,18 @@ def logical_id(*columns: str):
     return F.xxhash64(*(columns or LOGICAL_KEY))
 
 
-def new_rows(batch: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose key ``table`` does not have, once each; nulls in keys are equal."""
+def new_rows(batch: DataFrame, table: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``batch`` whose key ``table`` does not have; nulls in keys are equal.
+
+    Of several rows with one key the first stays: by ``order``, else as the batch is read.
+    """
     known = table.select(*(F.col(k).alias(f"_{k}") for k in key))
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return batch.dropDuplicates(key).join(known, same, "left_anti")
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    first = batch.withColumn("_place", place).groupBy(*key).agg(F.min_by(F.struct(*batch.columns), "_place").alias("_row")).select("_row.*")
+    return first.join(known, same, "left_anti")
 
 
 def append_sessions(batch: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
