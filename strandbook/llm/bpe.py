@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandbook.llm.common import ship
+from strandbook.llm.common import lean, ship
+from strandbook.llm.shingles import slices
 
 #: The white space that ``\s`` means in the pre-split pattern (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -22,9 +22,8 @@ RUN = 4_096
 BORDER, RUNS = regex.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])"), regex.compile(f"[{SPACE}]{{{RUN},}}")
 
 
-@functools.lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
-    """The rank file's encoding, loaded once in each Python worker."""
+    """The rank file's encoding. Each task loads it, as a worker that outlives its task would hold it for ever."""
     import tiktoken
 
     with open(path, "rb") as file:
@@ -78,20 +77,18 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, *, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):  # bounds what is held at once
-                part = batch.slice(lo, 1024)
-                ids = [encode(x or "", enc) for x in part.column(1).to_pylist()]
-                raw = [enc.decode_bytes(x) for x in ids]
-                columns = {id_column: part.column(0), "n_tokens": pa.array(map(len, ids), pa.int64())}
-                if with_ids:
-                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(raw, pa.binary())}
-                if digests:
-                    columns |= {
-                        "ids_sha256": pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
-                        "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-                    }
-                yield pa.RecordBatch.from_pydict(columns)
+        for part in slices(batches, 1, 1_000_000):
+            ids = [encode(x or "", enc) for x in part.column(1).to_pylist()]
+            raw = [enc.decode_bytes(x) for x in ids]
+            columns = {id_column: part.column(0), "n_tokens": pa.array(map(len, ids), pa.int64())}
+            if with_ids:
+                columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(raw, pa.binary())}
+            if digests:
+                columns |= {
+                    "ids_sha256": pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                }
+            yield pa.RecordBatch.from_pydict(columns)
 
     ship(docs.sparkSession)
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return docs.select(id_column, text).mapInArrow(lean(run), schema)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandbook.llm.common import ship
+from strandbook.llm.common import lean, ship
 from strandbook.llm.shingles import slices
 
 # Element names of HTML and the usual names of page furniture.
@@ -294,4 +294,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [main_text(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)

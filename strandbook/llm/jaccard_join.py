@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import checkpointed, connected_components, either_way, meetings, ship, shuffle_width, sized
+from strandbook.llm.common import checkpointed, connected_components, either_way, lean, meetings, ship, shuffle_width, sized
 from strandbook.llm.shingles import shingled, signed, slices, word_hashes
 
 #: Frequent shingles that are put last in the order; any order gives right results.
@@ -88,7 +88,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         if held:
             yield from shared(held)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "kind tinyint, doc_id long, text_key long, n long, sig long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "kind tinyint, doc_id long, text_key long, n long, sig long")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, percent:
                     pa.array(np.repeat(np.array([x for _, _, _, x in out], np.int32), sizes)),
                     pa.array(place.astype(np.int32))], ["shingle", "deal", "sig", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, deal int, sig long, n int, place int")
+    return docs.select("text").mapInArrow(lean(run), "shingle long, deal int, sig long, n int, place int")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], *sort: str) -> dict[str, np.ndarray] | None:
@@ -204,7 +204,7 @@ def _lists(entries: DataFrame, percent: int, width: int) -> DataFrame:
             rows = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in long])
             yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.nulls(len(rows), pa.int64()), pa.array(shingle[rows]), pa.array(n[rows]), pa.array(place[rows])], LISTED)
 
-    return entries.repartition(width, "shingle", "deal").mapInArrow(run, "hub long, member long, shingle long, n int, place int")
+    return entries.repartition(width, "shingle", "deal").mapInArrow(lean(run), "hub long, member long, shingle long, n int, place int")
 
 
 def _folded(maps: np.ndarray, length: int) -> np.ndarray:
@@ -262,7 +262,7 @@ def _across(entries: DataFrame, percent: int, width: int, turn: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(sig[j]), pa.array(n[i].astype(np.int64)), pa.array(n[j].astype(np.int64))], names)
 
     entries = entries.withColumn("deal", F.xxhash64("sig", F.lit(turn)))
-    return entries.repartition(width, "shingle", "one", "other").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+    return entries.repartition(width, "shingle", "one", "other").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def _stack(raw: list[np.ndarray], sizes: np.ndarray, length: int) -> np.ndarray:
@@ -291,7 +291,7 @@ def _counted(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
-    return meetings(pairs.select("hub", "member"), n, texts, -(-n // 20_000)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return meetings(pairs.select("hub", "member"), n, texts, -(-n // 20_000)).mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
 
 def _near(pairs: DataFrame, n: int, maps: DataFrame, percent: int) -> DataFrame:
@@ -310,7 +310,7 @@ def _near(pairs: DataFrame, n: int, maps: DataFrame, percent: int) -> DataFrame:
                     out.append((key, member))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], names)
 
-    return meetings(pairs.select(*names), n, maps.select("key", F.col("map").alias("text")), -(-n // 50_000)).mapInArrow(run, "hub long, member long").distinct()
+    return meetings(pairs.select(*names), n, maps.select("key", F.col("map").alias("text")), -(-n // 50_000)).mapInArrow(lean(run), "hub long, member long").distinct()
 
 
 def _answered(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
@@ -427,7 +427,7 @@ def _maps(texts: DataFrame) -> DataFrame:
             packed = [len(s).to_bytes(8, "little") + parity_map(s) for s in sets_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["key", "map"])
 
-    return texts.mapInArrow(run, "key long, map binary")
+    return texts.mapInArrow(lean(run), "key long, map binary")
 
 
 def _placed(docs: DataFrame, percent: int) -> DataFrame:

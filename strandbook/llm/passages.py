@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import WORD, checkpointed, either_way, meetings, ship, shuffle_width, sized, written
+from strandbook.llm.common import WORD, checkpointed, either_way, lean, meetings, ship, shuffle_width, sized, written
 from strandbook.llm.shingles import WIDTH, mixed, shingled, signed, slices, word_hashes
 
 WINDOW_ROWS_PER_TASK = 1_000_000
@@ -196,7 +196,7 @@ def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
         if many:
             yield from grouped(held)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, ROW_SCHEMA)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), ROW_SCHEMA)
 
 
 def _links(rows: DataFrame, least: int, width: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _links(rows: DataFrame, least: int, width: int) -> DataFrame:
             signature, before, after, doc, key, place = (t.column(c).to_numpy() for c in WINDOW)
             yield from _link_batch([_linked(signature, side, doc, key, place, least)[0] for side in (before, after)])
 
-    far = rows.filter("signature is not null").select(*WINDOW).repartition(width, "signature").mapInArrow(run, ROW_SCHEMA)
+    far = rows.filter("signature is not null").select(*WINDOW).repartition(width, "signature").mapInArrow(lean(run), ROW_SCHEMA)
     links = far.unionByName(rows.filter("signature is null")).select(F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), *LINK[2:])
     return links.groupBy("a", "a_key", "b", "b_key").agg(F.collect_set(F.struct("in_b", "lo", "hi")).alias("stretches"))
 
@@ -391,7 +391,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], FOUND)
 
     met = meetings(pairs, n, texts, -(-n // 20_000))
-    return met.mapInArrow(run, "doc_id long, text_key int, first_doc_id long, repeated boolean, start_word long, end_word long, gram long")
+    return met.mapInArrow(lean(run), "doc_id long, text_key int, first_doc_id long, repeated boolean, start_word long, end_word long, gram long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.75, hashes: int = 4) -> DataFrame:
@@ -502,4 +502,4 @@ def without_repeats(docs: DataFrame, least_words: int = 50, similarity: float =
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep, pa.bool_()))
 
     keyed = docs.withColumns({key: F.col("doc_id").cast("long"), text_: text_key()})
-    return keyed.join(either_way(cuts), [key, text_], "left").select(*names, cuts_).mapInArrow(run, schema)
+    return keyed.join(either_way(cuts), [key, text_], "left").select(*names, cuts_).mapInArrow(lean(run), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandbook.llm.common import ship
+from strandbook.llm.common import lean, ship
 from strandbook.llm.shingles import KINDS, NUMBERS, runs, slices, text_bytes
 
 #: Word vectors: hash buckets of words, dimensions, non-zero entries of an index vector, words to either side.
@@ -71,7 +71,7 @@ def context_vectors(docs: DataFrame, seed: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[used, c])) for c in range(DIMS))], ["bucket", *names])
 
     names = [f"c{c}" for c in range(DIMS)]
-    parts = docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
+    parts = docs.select("text").mapInArrow(lean(run), "bucket int, " + ", ".join(f"{n} long" for n in names))
     sums = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((BUCKETS, DIMS))
     out[sums.column("bucket").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], 1) if sums.num_rows else 0
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 3, most: int = LABELLE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, x array<double>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lean(run), f"doc_id {kind}, quality int, x array<double>")
     rows = rows.orderBy("doc_id", "x").limit(most).toArrow()  # at most ``most`` rows of 2 * DIMS + SHAPE numbers
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, vectors.shape[1] + SHAPE))
     return vectors, fit(x, rows.column("quality").to_numpy().astype(np.float64), seed)
@@ -200,7 +200,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
             scores = shared.value[1].scores(pooled(batch.column(at), shared.value[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, seed: int = 3) -> DataFrame:

@@ -192,3 +192,21 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in after} <= set(before) and max(sum(r.doc_id == d for r in after) for d in before) <= 2
     assert len(seen["tokens"][1]) == len(after)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in seen["tokens"][1])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_rows(spark, tmp_path, empty):
+    """Nulls in any column, ids and rows that repeat, long and empty texts, extra columns; and empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n))
+    a, b = some(80), some(90)
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (None, a), (3, None), (4, ""), (5, some(30_000)), (6, f"{some(60)} {b}"), *((k, some(40)) for k in range(10, 30))]
+    docs = spark.createDataFrame([] if empty else [(d, t, None, None if k % 3 else "s", None, "x") for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, score string")
+    labels = spark.createDataFrame([] if empty else [(d, 1) for d in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(out) != empty
+    if not empty:
+        assert sum(r.doc_id == 1 for r in out) <= 4 and {None, 3, 4, 5, 6} <= {r.doc_id for r in out}
