@@ -109,3 +109,20 @@ def version_tuple(model: Column) -> Column:
     """
     digits = F.filter(F.transform(_unsized(model), lambda t: F.regexp_extract(t, "^[a-z]*([0-9]+)$", 1)), lambda t: t != "")
     return F.transform(digits, lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.lit("0."), t)).cast("double"))
+
+
+HF_NAME = r"(?i)^hf\.co/([^/]+)/(.+)-GGUF:(.+)$"
+
+
+def shown_name(model: Column, bare: bool = False) -> Column:
+    """The name as shown: hf.co paths as name, quantisation and organisation (or the ``bare`` name); others without provider, region, order and cloud or latest tag."""
+    m = F.trim(model)
+    part = lambda k: F.regexp_extract(m, HF_NAME, k)
+    core = F.substring_index(F.substring_index(m, "/", -1), "@", 1)
+    core = F.regexp_replace(F.regexp_replace(core, f"(?i):({'|'.join(VARIANTS)})$", ""), "(?i)(:cloud|-cloud|:latest)$", "")
+    return F.when(m.rlike(HF_NAME), part(2) if bare else F.concat_ws(" · ", part(2), part(3), part(1))).otherwise(core)
+
+
+def name_order(model: Column) -> Column:
+    """What lists of local models are sorted by."""
+    return F.lower(shown_name(model, bare=True))

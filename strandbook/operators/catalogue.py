@@ -146,3 +146,64 @@ def price_matches(prices: DataFrame, entries: DataFrame) -> DataFrame:
     out = prices.join(exact.withColumnRenamed("canonical", "_e"), "key", "left").withColumn("canonical", keys.canonical_id(F.col("key"))).join(alias, "canonical", "left")
     state = F.when(F.col("_e").isNotNull(), "exakt").when(F.col("_c").isNotNull(), "alias").otherwise("kein_match")
     return out.withColumn("match", state).withColumn("entry", F.coalesce("_e", "_c")).drop("_e", "_c", "canonical")
+
+
+#: Sort orders by what a model is wanted for: column, whether the highest comes first.
+PRESETS = {
+    "all": ("canonical", False), "coding": ("coding_index", True), "reasoning": ("aa_index", True),
+    "agentic": ("agentic_index", True), "price_performance": ("performance", True), "speed": ("speed", True),
+}
+
+
+def preset(entries: DataFrame, name: str) -> DataFrame:
+    by, descending = PRESETS[name]
+    return ordered(entries, by, descending)
+
+
+def default_model(models: DataFrame, preferred: tuple[str, ...], keys_: list[str]) -> DataFrame:
+    """Each group's model to begin with: the first of the preferred ones that it has, else its first free one, else its first (column ``place``)."""
+    wish = F.array_position(F.array(*map(F.lit, preferred)), F.col("model_id"))
+    rank = F.struct(F.when(wish > 0, wish).otherwise(len(preferred) + 1), F.when(F.col("model_id").endswith(":free"), 0).otherwise(1), F.col("place"))
+    return models.groupBy(*keys_).agg(F.min_by("model_id", rank).alias("model_id"))
+
+
+def provider_entries(rows: DataFrame) -> DataFrame:
+    """Each provider's models once, the last row (column ``place``) of a repeated id, sorted by id."""
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in ("provider", "model_id")]), "place")
+    return rows.groupBy("provider", "model_id").agg(last.alias("_r")).select("provider", "model_id", "_r.*").orderBy("provider", "model_id")
+
+
+def european(entries: DataFrame, all_: bool = False) -> DataFrame:
+    """Entries in the EU whose data are certainly not trained on, unless all are asked for."""
+    return entries if all_ else entries.filter((F.lower("region") == "eu") & F.col("trains").eqNullSafe(False))
+
+
+def own_ratings(models: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each entry's manual ratings: of the first of its models, in place, that the registry rates in anything.
+
+    ``models``: canonical, model_id, place; ``registry``: name, coding, reasoning, total, comment.
+    """
+    rated = registry.filter(F.coalesce("coding", "reasoning", "total").isNotNull()).withColumn("_key", keys.normal_key(F.col("name")))
+    rated = rated.groupBy("_key").agg(F.max_by(F.struct("coding", "reasoning", "total", F.coalesce("comment", F.lit("")).alias("comment")), "name").alias("_r"))
+    found = models.withColumn("_key", keys.normal_key(F.col("model_id"))).join(rated, "_key")
+    return found.groupBy("canonical").agg(F.min_by("_r", F.struct("place", "model_id")).alias("_r")).select("canonical", "_r.*")
+
+
+def persona_routes(registry: DataFrame) -> DataFrame:
+    """persona, place, model, level, primary: routes from a JSON column ``routes``, a list or an object with a list in it; the level is open by default.
+
+    Anything else has no routes.
+    """
+    shape = "array<struct<modell: string, ebene: string, primaer: boolean>>"
+    flat = F.when(F.trim("routes").startswith("["), F.col("routes")).otherwise(F.get_json_object("routes", "$.wege"))
+    each = registry.select("persona", F.posexplode(F.from_json(flat, shape)).alias("place", "w")).filter("w is not null")
+    return each.select("persona", "place", F.col("w.modell").alias("model"), F.coalesce("w.ebene", F.lit("offen")).alias("level"), F.coalesce("w.primaer", F.lit(False)).alias("primary"))
+
+
+def persona_usage(prices: DataFrame, routes: DataFrame, personas: tuple[str, ...]) -> DataFrame:
+    """Adds ``used_by``: the personas, in their fixed order, with a route of the price's source to its key or short name."""
+    order = F.array_position(F.array(*map(F.lit, personas)), F.col("persona"))
+    own = routes.select("source", F.explode(F.array_distinct(F.array("model", keys.short_name(F.col("model"))))).alias("_name"), F.struct(order.alias("o"), "persona").alias("_p")).distinct()
+    named = prices.select("key", "source", F.explode(F.array_distinct(F.array("key", keys.short_name(F.col("key"))))).alias("_name"))
+    used = named.join(own, ["source", "_name"]).groupBy("key", "source").agg(F.sort_array(F.collect_set("_p")).alias("_ps"))
+    return prices.join(used, ["key", "source"], "left").withColumn("used_by", F.coalesce(F.transform("_ps", lambda p: p["persona"]), F.array().cast("array<string>"))).drop("_ps")

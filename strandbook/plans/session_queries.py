@@ -365,3 +365,39 @@ def model_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", catalogue.score(F.when(n % 9 != 0, n * 1.5), F.when(n % 7 != 0, n * 1.1)).alias("score"), F.lit(None).cast("string").alias("generation"), F.when(n % 4 == 0, "newer").alias("newest"),
         F.when(n % 3 == 0, False).when(n % 3 == 1, True).alias("vision"))
     return catalogue.stars(rows).select("p_partkey", "stars")
+
+
+@query(f"""WITH {MODELS_SQL} SELECT i, CASE WHEN head LIKE 'parasail%' THEN 'parasail-' ELSE '' END || CASE WHEN head LIKE '%gpt-oss' THEN 'gpt-oss' WHEN head LIKE '%glm' THEN 'glm' WHEN head LIKE '%haiku' THEN 'claude-haiku' ELSE 'Gemma' END || version
+  || CASE WHEN tail IN (':cloud', ':free', '@eu') THEN '' ELSE tail END AS shown FROM m""")
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models(spark, sf_dir).select("i", keys.shown_name(F.col("model")).alias("shown"))
+
+
+@query("""WITH m AS (SELECT p_brand, CAST(p_size AS VARCHAR) || CASE WHEN p_size % 4 = 0 THEN ':free' ELSE '' END AS model_id, p_partkey AS place FROM part)
+SELECT p_brand, arg_min(model_id, (CASE model_id WHEN '51' THEN 1 WHEN '50' THEN 2 WHEN '49' THEN 3 ELSE 9 END, CASE WHEN model_id LIKE '%:free' THEN 0 ELSE 1 END, place)) AS model_id FROM m WHERE place % 3 <> 0 GROUP BY p_brand""")
+def default_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 3 != 0").select("p_brand", F.concat(size.cast("string"), F.when(size % 4 == 0, ":free").otherwise("")).alias("model_id"), F.col("p_partkey").alias("place"))
+    return catalogue.default_model(rows, ("51", "50", "49"), ["p_brand"])
+
+
+@query("SELECT p_brand AS provider, p_type AS model_id, max(p_partkey) AS place, arg_max(p_retailprice, p_partkey) AS price FROM part GROUP BY ALL")
+def provider_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.col("p_type").alias("model_id"), F.col("p_partkey").alias("place"), F.col("p_retailprice").alias("price"))
+    return catalogue.provider_entries(rows)
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 3 = 0 AND p_size % 5 = 0")
+def eu_without_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(size % 3 == 0, "EU").otherwise("us").alias("region"), F.when(size % 5 == 0, False).when(size % 5 == 1, True).alias("trains"))
+    return catalogue.european(rows).select("p_partkey")
+
+
+@query("""WITH p AS (SELECT c_custkey, c_nationkey % 3 AS k FROM customer)
+SELECT 'c' || c_custkey AS persona, 0 AS place, 'm' || k AS model, 'offen' AS level, FALSE AS primary FROM p WHERE k = 0 UNION ALL
+SELECT 'c' || c_custkey, x, 'n' || x, CASE WHEN x = 1 THEN 'geschuetzt' ELSE 'offen' END, x = 1 FROM p, (SELECT unnest([0, 1]) AS x) WHERE k = 1""")
+def persona_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_nationkey") % 3
+    routes = F.when(k == 0, '[{"modell": "m0"}]').when(k == 1, '{"rolle": "x", "wege": [{"modell": "n0"}, {"modell": "n1", "ebene": "geschuetzt", "primaer": true}]}').otherwise('"none"')
+    return catalogue.persona_routes(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("persona"), routes.alias("routes")))

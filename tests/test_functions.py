@@ -62,6 +62,17 @@ def test_keys(spark):
     assert [r.m for r in v.collect()] == ["grok", "grok-4.20", "grok-4.6", "grok-5"]
 
 
+def test_names_and_routes(spark):
+    assert apply(spark, keys.shown_name, "hf.co/Lab/Big-GGUF:q4", "a/b/glm:cloud", "x@eu", "qwen:14b", "m:FREE") == ["Big · q4 · Lab", "glm", "x", "qwen:14b", "m"]
+    assert apply(spark, keys.name_order, "hf.co/Lab/Big-GGUF:q4", "Qwen:latest") == ["big", "qwen"]
+    models = spark.createDataFrame([("m", "x/a", 1), ("m", "b", 2), ("n", "c", 1)], "canonical string, model_id string, place int")
+    registry = spark.createDataFrame([("A", None, None, None, "none"), ("b", 3.0, None, 4.0, None)], "name string, coding double, reasoning double, total double, comment string")
+    assert [tuple(r) for r in catalogue.own_ratings(models, registry).collect()] == [("m", 3.0, None, 4.0, "")]
+    prices = spark.createDataFrame([("up/Q", "o"), ("z", "o")], "key string, source string")
+    routes = spark.createDataFrame([("p2", "o", "q"), ("p1", "o", "up/Q"), ("p1", "r", "z")], "persona string, source string, model string")
+    assert {r.key: r.used_by for r in catalogue.persona_usage(prices, routes, ("p1", "p2")).collect()} == {"up/Q": ["p1", "p2"], "z": []}
+
+
 def test_catalogue(spark):
     feeds = [("openrouter", json.dumps({"data": [
         {"id": "lab/model-4.6", "context_length": 200_000, "pricing": {"prompt": "0.000003", "completion": "0.000015"}, "architecture": {"input_modalities": ["text", "image"]}},
