@@ -14,8 +14,8 @@ from strandbook.llm.common import WORD, checkpointed, either_way, lean, meetings
 from strandbook.llm.shingles import WIDTH, mixed, shingled, signed, slices, word_hashes
 
 WINDOW_ROWS_PER_TASK = 1_000_000
-#: Windows that a task groups at once before they are shuffled.
-GROUPED_AT_ONCE = 500_000
+#: Windows that a task groups at once before they are shuffled, and bytes of text that it cuts into shingles at once.
+GROUPED_AT_ONCE, BYTES_AT_ONCE = 300_000, 1_000_000
 #: Shingles in a row that seed a near passage, seeds in a row that make a run, and words that two runs may lie apart.
 SEED, SEEDS, GAP = 8, 4, 24
 FACTOR, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -162,7 +162,7 @@ def _windows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, BYTES_AT_ONCE):
             values, own = shingled(*word_hashes(batch.column(2)))
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             end = np.cumsum(own)
@@ -356,7 +356,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: int, similarity
                 return []
             return rows(*own, own[0], False, covered) + lone(*own, lead.whole, np.flatnonzero(told[:len(lead.whole)]))
 
-        for batch in slices(batches, 3):
+        for batch in slices(batches, 3, BYTES_AT_ONCE):
             values, counts = shingled(*word_hashes(batch.column(3)))
             end = np.cumsum(counts)
             columns = [batch.column(c).to_pylist() for c in ("hub", "block", "member", "a", "a_key", "b", "b_key", "stretches")]
