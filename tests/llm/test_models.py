@@ -210,3 +210,38 @@ def test_pipeline_of_odd_rows(spark, tmp_path, empty):
     assert bool(out) != empty
     if not empty:
         assert sum(r.doc_id == 1 for r in out) <= 4 and {None, 3, 4, 5, 6} <= {r.doc_id for r in out}
+
+
+@pytest.mark.parametrize("piece", [65_536, 7])
+def test_context_sums_and_pooling_against_plain_loops(monkeypatch, piece):
+    import re
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "PIECE", piece)
+    rng = random.Random(4)
+    texts = [None, "", "one", " ".join(rng.choice(["alpha", "beta!!", "c_d", "é, x", "9"]) for _ in range(80)), "a" * 9_000, "beta!! one\n\nalpha"]
+    column = pa.array(texts)
+    t, counts = quality.tokens(column)
+    plain = [re.findall(r"\w+|[^\w\s]+", x or "") for x in texts]
+    assert counts.tolist() == [len(x) for x in plain]
+    bucket = {}
+    for word, b in zip((w for x in plain for w in x), t.tolist(), strict=True):
+        assert bucket.setdefault(word, b) == b
+    index = quality.index_vectors(3)
+    rows = np.zeros((quality.BUCKETS, quality.DIMS), np.int64)
+    quality.add_contexts(rows, t, counts, index)
+    expected = np.zeros_like(rows)
+    for words in plain:
+        for i, w in enumerate(words):
+            for j in range(max(i - quality.REACH, 0), min(i + quality.REACH + 1, len(words))):
+                if j != i:
+                    expected[bucket[w]] += index[bucket[words[j]]]
+    assert (rows == expected).all()
+    vectors = quality.word_vectors(rows.astype(float), 3)
+    pooled = quality.pooled(column, vectors)
+    for x, words in zip(pooled, plain, strict=True):
+        mean = np.mean([vectors[bucket[w]] for w in words], axis=0) if words else np.zeros(vectors.shape[1])
+        n = max(len(words), 1)
+        lengths = [np.log((half**2).sum() * n + 0.01) for half in (mean[:quality.DIMS], mean[quality.DIMS:])]
+        assert np.allclose(x, [*mean, *lengths, np.log(n)], atol=1e-5)

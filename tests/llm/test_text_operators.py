@@ -398,3 +398,17 @@ def test_hostile_pages_take_one_pass(piece):
     began = time.time()
     html_text.main_text("<p>hello</p><div " + piece * (1_000_000 // len(piece)))
     assert time.time() - began < 20
+
+
+def test_shards_against_plain_sums(docs):
+    """Every row's shard and slot, from one sorted list."""
+    rows, df = docs
+    sized = sorted((zlib.crc32((t or "").encode()), d, len((t or "").encode()) + 8) for d, t in rows)
+    total = sum(s for _, _, s in sized)
+    before, expected, slots = 0, {}, {}
+    for crc, d, size in sized:
+        shard = min(5, (2 * before + size) * 6 // (2 * total))
+        slots[shard] = slots.get(shard, -1) + 1
+        expected[d] = (size, crc, shard, slots[shard])
+        before += size
+    assert {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(df, 6).collect()} == expected
