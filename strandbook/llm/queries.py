@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbook.llm.common import table
+from strandbook.llm.common import shared_folder, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,31 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.warc import capture_index, write_warc
+
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), every=100, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandbook.llm.spelling import occurrences, variants
+
+    word = F.col("word")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), word))
+    at = (h % F.length(word)).cast("int")
+    noisy = F.when(h % 199 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
+    return variants(occurrences(table(spark, sf_dir, "documents")).select(noisy.alias("word")), least_chars=6, least_n=5, ratio=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -101,10 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_warc": op11_warc,
+    "op12_negatives": op12_negatives,
+    "op13_spelling": op13_spelling,
 }
 
-#: op1 needs a checksum, op2 a tokenizer, op3 a parser, op5 and op9 arithmetic that DuckDB lacks, and
-#: op6 sums in an order of its own; these are tested against brute force.
+#: op1 and op13 need a checksum, op2 a tokenizer, op3 a parser, op5 and op9 arithmetic that DuckDB lacks,
+#: and op6 sums in an order of its own; these are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": r"""
 WITH rows_ AS (
@@ -163,4 +192,24 @@ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b
 reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, (SELECT min(y) FROM reach WHERE x = vec_id) AS component_id,
   (SELECT min(y) FROM reach WHERE x = vec_id) = vec_id AS kept FROM embeddings""",
+    "op11_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY html)
+SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN CAST(first AS BIGINT) END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN firsts ON firsts.html = p.html""",
+    "op12_negatives": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INT) AS rank, m.vec_id AS negative_id, p.positive_score, m.score AS negative_score
+FROM positive p JOIN met m ON m.anchor_id = p.anchor_id AND NOT m.same AND 80 * p.positive_score <= 100 * m.score AND m.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY m.score DESC, m.vec_id)
+QUALIFY row_number() OVER w <= 5""",
 }

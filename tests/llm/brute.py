@@ -89,3 +89,46 @@ def articles(page):
     reader.feed(page or "")
     reader.close()
     return "\n".join(blocks)
+
+
+def edits(a, b):
+    """Whether exactly one inserted, deleted or replaced code point parts two words."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[k + 1:] == b[k + 1:]
+    short, long = sorted((a, b), key=len)
+    return short[k:] == long[k + 1:]
+
+
+def spellings(counts, ratio=5):
+    """{word: (form, root, n, n_near, form_n)}"""
+    near = {w: [v for v in counts if edits(w, v)] for w in counts}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), counts[w], len(near[w]), counts.get(form[w])) for w in counts}
+
+
+def hard_negatives(rows, every=100, k=5, low=80, high=100, scale=256):
+    """Rows of the result for (vec_id, vector, label)."""
+    from math import floor, isfinite
+
+    rows = {(i, tuple(floor(scale * float(x)) for x in v), l) for i, v, l in rows if l is not None and v and all(x is not None and isfinite(x) for x in v)}
+    out = []
+    for i, v, l in rows:
+        if i % every:
+            continue
+        score = lambda w: sum(x * y for x, y in zip(v, w))
+        own = sorted((-score(w), j) for j, w, m in rows if m == l and (j, w, m) != (i, v, l) and len(w) == len(v))[:k]
+        other = sorted((-score(w), j) for j, w, m in rows if m != l and len(w) == len(v))
+        for p, positive in own:
+            hits = [(s, j) for s, j in other if low * -p <= 100 * -s <= high * -p][:k]
+            out += [(i, positive, r, j, -p, -s) for r, (s, j) in enumerate(hits, 1)]
+    return sorted(out)
