@@ -12,6 +12,10 @@ from strandbook.llm.common import checkpointed, either_way
 
 #: Bigrams that a word is found by. One edit destroys at most two of a word's, so that one of any three is left in the other word.
 PREFIX = 3
+#: Places of the third bigram that are taken.
+AGAIN = 5
+#: Pieces of a word, one of which an edit falls into.
+PIECES = 4
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -33,16 +37,18 @@ def rare_bigrams(words: DataFrame) -> DataFrame:
 
     The global order is the frequency of the bigram wherever it stands, then the
     bigram: an edit moves what follows it by one place, and a bigram must keep its
-    rank when it moves. Where the third one occurs again in the word, all its places
-    are taken, so that two words' shares of the order end at the same bigram.
+    rank when it moves. Where the third one occurs again in the word, its first five
+    places are taken: an edit makes at most two new bigrams, so that the one left of
+    one word's three is among the first five of its kind in the other word.
     """
     letters = words.select("word", "n", F.length("word").alias("chars"), F.split("word", "").alias("letters"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chars") - 2), lambda i: F.concat(F.get("letters", i), F.get("letters", i + 1)))
     grams = letters.select("word", "n", "chars", F.posexplode(pairs).alias("pos", "gram"))
     often = checkpointed(grams.groupBy("gram").agg(F.count("*").alias("often")))
     ordered = grams.join(either_way(often), "gram").groupBy("word", "n", "chars").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "pos"))).alias("ordered"))
-    last = F.get("ordered", F.lit(PREFIX - 1))
-    kept = F.filter("ordered", lambda g: F.struct(g["often"], g["gram"]) <= F.struct(last["often"], last["gram"]))
+    last, first = F.get("ordered", F.lit(PREFIX - 1)), F.slice("ordered", 1, PREFIX - 1 + AGAIN)
+    rarer = F.size(F.filter(first, lambda g: F.struct(g["often"], g["gram"]) < F.struct(last["often"], last["gram"])))
+    kept = F.filter(first, lambda g, i: (F.struct(g["often"], g["gram"]) <= F.struct(last["often"], last["gram"])) & (i < rarer + AGAIN))
     return ordered.select("word", "n", "chars", F.explode(kept).alias("g")).select("word", "n", "chars", "g.gram", "g.pos")
 
 
@@ -50,26 +56,41 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words that exactly one inserted, deleted or replaced code point parts, once.
 
     Words meet where they share one of their rarest bigrams at places that one edit
-    explains: the same place, or, in the longer of two words, the next. So that the
-    list of a frequent bigram is no single group, a word lies in it by one of its
-    halves: the edit falls into one half (of the shorter word's length), and the
-    other is the same in both. What meets is verified by the edit distance.
+    explains: the same place, or, in the longer of two words, the next if the edit
+    lies before. So that the list of a frequent bigram is no single group, it is
+    split by what the edit leaves alone: it falls into one of four pieces (of the
+    shorter word's length), and what stands before and behind that piece is the same
+    in both. What meets is verified letter by letter, the piece by its edit distance.
     """
     held = checkpointed(rare_bigrams(words))
 
-    def keys(shorter: Column, places: list[Column]) -> Column:
-        """Where a word meets words of which the shorter has ``shorter`` code points: by its first half, and by its last."""
-        half = F.floor(shorter / 2).cast("int")
-        sides = [F.substring("word", F.lit(1), half), F.substring("word", F.col("chars") - (shorter - half) + 1, shorter - half)]
-        return F.array(*(F.xxhash64("gram", shorter, place, F.lit(k), side) for place in places for k, side in enumerate(sides)))
-
-    own = held.select("word", "n", F.explode(keys(F.col("chars"), [F.col("pos")])).alias("key"))
-    longer = held.select("word", "n", F.explode(keys(F.col("chars") - 1, [F.col("pos"), F.col("pos") - 1])).alias("key"))
-    other = own.withColumn("longer", F.lit(False)).unionByName(longer.withColumn("longer", F.lit(True)))
-    met = own.select("key", F.col("word").alias("a"), F.col("n").alias("a_n")).join(other.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), "longer"), "key")
-    # A pair that meets at several places is verified once: the count keeps the optimizer from verifying before.
-    pairs = met.filter(F.col("longer") | (F.col("a") < F.col("b"))).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("times"))
-    return pairs.filter(F.when(F.col("times") > 0, F.levenshtein("a", "b", 1)) == 1).drop("times")
+    def span(shorter: Column, piece: Column | int) -> tuple[Column, Column]:
+        """Where a piece begins and ends, from 0."""
+        piece = F.lit(piece) if isinstance(piece, int) else piece
+        return F.floor(shorter * piece / PIECES).cast("int"), F.floor(shorter * (piece + 1) / PIECES).cast("int")
+
+    def keys(longer: bool) -> DataFrame:
+        """A row for each list that a word is in, as the shorter (or an equally long) word of a pair or as the longer one."""
+        shorter, out = F.col("chars") - int(longer), []
+        for piece in range(PIECES):
+            begin, end = span(shorter, piece)
+            sides = F.substring("word", F.lit(1), begin), F.substring("word", end + 1 + int(longer), shorter - end)
+            row = lambda place, p=piece, own=sides: F.struct(F.xxhash64("gram", shorter, place, F.lit(p), *own).alias("key"), F.lit(p).alias("piece"))  # noqa: B023, E731
+            if longer:  # a bigram that stands before the piece has not moved, one behind it has
+                out += [F.when(F.col("pos") <= end, row(F.col("pos"))), F.when(F.col("pos") + 2 > begin, row(F.col("pos") - 1))]
+            else:
+                out.append(row(F.col("pos")))
+        return held.select("word", "n", F.explode(F.array_compact(F.array(*out))).alias("k")).select("k.key", "k.piece", "word", "n", F.lit(int(longer)).alias("more"))
+
+    short = keys(False)
+    other = short.unionByName(keys(True))
+    a, b, more = F.col("a"), F.col("b"), F.col("more")
+    met = short.select("key", F.col("piece"), F.col("word").alias("a"), F.col("n").alias("a_n")).join(other.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), "more"), "key")
+    begin, end = span(F.length(a), F.col("piece"))
+    same = (F.substring(a, F.lit(1), begin) == F.substring(b, F.lit(1), begin)) & (F.substring(a, end + 1, F.length(a)) == F.substring(b, end + 1 + more, F.length(b)))
+    edited = F.levenshtein(F.substring(a, begin + 1, end - begin), F.substring(b, begin + 1, end - begin + more)) == 1
+    fits = ((more == 1) & (F.length(b) == F.length(a) + 1)) | ((more == 0) & (F.length(b) == F.length(a)) & (a < b))
+    return met.filter(fits & same & edited).select("a", "a_n", "b", "b_n").distinct()
 
 
 def with_roots(formed: DataFrame, rounds: int) -> DataFrame:
