@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +13,37 @@ from strandbook.operators.lookup import latest_by, most_frequent, tiered_lookup,
 FLOOR = 45.0
 
 
-def origins(models: DataFrame, dim: DataFrame) -> DataFrame:
+def first_substring(texts: DataFrame, needles: DataFrame, text: str) -> DataFrame:
+    """(text, hit): of the needles (ord, needle, hit) that a text holds, the one with the smallest ord; texts without one are left out.
+
+    A text's substrings of the lengths that needles have meet them by equality, so
+    that neither list is gone through for each row of the other.
+    """
+    lengths = sorted(r[0] for r in needles.select(F.length("needle")).distinct().collect() if r[0])  # no more than the longest needle's length
+    if not lengths:
+        return texts.select(text, F.lit(None).alias("hit")).limit(0)
+    own = texts.select(text).distinct()
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    parts = own.select(text, F.explode(at).alias("at")).select(text, F.explode(F.array_distinct(F.array(*(F.substring(F.col(text), F.col("at"), F.lit(n)) for n in lengths)))).alias("needle"))
+    return parts.join(needles, "needle").groupBy(text).agg(F.min_by("hit", "ord").alias("hit"))
+
+
+def origins(models: DataFrame, dim: DataFrame, resellers: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``manufacturer`` and ``origin``: by the part before the slash, else by the first substring of the ordered list.
 
-    ``dim``: ord, slug (null for substrings), needle, manufacturer, origin.
+    ``dim``: ord, slug (null for substrings), needle, manufacturer, origin. The names
+    of resellers in front of a slash, one or several, are passed over.
     """
-    slug = F.when(F.col("model_id").contains("/"), F.lower(F.substring_index(F.regexp_replace("model_id", r"^hf\.co/", ""), "/", 1)))
+    plain = F.regexp_replace(F.lower("model_id"), r"^hf\.co/", "")
+    if resellers:
+        plain = F.regexp_replace(plain, f"^(?:(?:{'|'.join(map(re.escape, resellers))})/)+", "")
+    with_slug = models.withColumn("_plain", plain).withColumn("_slug", F.when(F.col("_plain").contains("/"), F.substring_index("_plain", "/", 1)))
     exact = dim.filter("slug is not null").select(F.col("slug").alias("_slug"), F.struct("manufacturer", "origin").alias("_exact"))
-    with_slug = models.withColumn("_slug", slug).join(exact, "_slug", "left")
-    needles = F.broadcast(dim.filter("slug is null").select("ord", "needle", "manufacturer", "origin"))  # a curated list of some dozens
-    ids = models.select("model_id").distinct()
-    hit = ids.join(needles, F.lower("model_id").contains(F.col("needle"))).groupBy("model_id").agg(F.min_by(F.struct("manufacturer", "origin"), "ord").alias("_near"))
+    needles = dim.filter("slug is null").select("ord", "needle", F.struct("manufacturer", "origin").alias("hit"))
+    near = first_substring(with_slug, needles, "_plain").withColumnRenamed("hit", "_near")
+    found = with_slug.join(exact, "_slug", "left").join(near, "_plain", "left")
     best = F.coalesce("_exact", "_near")
-    return with_slug.join(hit, "model_id", "left").withColumns({"manufacturer": F.coalesce(best["manufacturer"], F.lit("")), "origin": F.coalesce(best["origin"], F.lit("unknown"))}).drop("_slug", "_exact", "_near")
+    return found.withColumns({"manufacturer": F.coalesce(best["manufacturer"], F.lit("")), "origin": F.coalesce(best["origin"], F.lit("unknown"))}).drop("_slug", "_plain", "_exact", "_near")
 
 
 def enrich_indices(models: DataFrame, indices: DataFrame) -> DataFrame:

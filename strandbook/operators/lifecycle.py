@@ -99,13 +99,15 @@ def reconcile(first: Column, second: Column) -> Column:
     return F.when(second.isNull(), alone).otherwise(agreed)
 
 
-def pair_verdicts(first: DataFrame, second: DataFrame) -> DataFrame:
+def pair_verdicts(first: DataFrame, second: DataFrame, order: str | None = None) -> DataFrame:
     """Both reviewers' verdicts on each finding: by signature, else by rule where the signature is empty; missing is unclear.
 
-    Equal ones stand, different ones are ``dissent``.
+    Equal ones stand, different ones are ``dissent``. Of several on one finding the
+    first by ``order`` counts, without an order the least.
     """
-    by_signature = second.filter("signature != ''").groupBy("signature").agg(F.first("verdict").alias("_s"))
-    by_rule = second.filter("coalesce(signature, '') = ''").groupBy("rule").agg(F.first("verdict").alias("_r"))
+    chosen = F.min_by("verdict", order) if order else F.min("verdict")
+    by_signature = second.filter("signature != ''").groupBy("signature").agg(chosen.alias("_s"))
+    by_rule = second.filter("coalesce(signature, '') = ''").groupBy("rule").agg(chosen.alias("_r"))
     both = first.join(by_signature, "signature", "left").join(by_rule, "rule", "left")
     other = F.coalesce("_s", "_r", F.lit("unclear"))
     return both.withColumn("second", other).withColumn("result", F.when(F.col("verdict") == other, other).otherwise("dissent")).drop("_s", "_r")

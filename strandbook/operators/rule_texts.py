@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = ("Unknown rule", "There is no plain text for this rule yet.", "", "", "")
-#: rule: title, meaning, in short, unit of the value, advice.
+#: rule: title, meaning, in short, unit of the value, advice. Each meaning says the condition in operators/rules.py.
 TEXTS = {
-    "tool:error_rate": ("High error rate", "At least three tool calls failed, and a fifth or more of all calls of the session.", "Tool calls fail unusually often.", "", "Look at the error classes: often a path, a permission or a command is wrong."),
-    "rework:file": ("File reworked", "One file was read or changed five times or more, and two or more of these calls failed.", "The same file was touched again and again.", "edits", "See whether it was changed back and forth."),
-    "rework:tool": ("Tool repeated", "A call failed and the same tool was called again; the value counts these.", "A failed call was repeated.", "repeats", "Look for one mistake that keeps coming back."),
-    "subagent:failed": ("Sub-agent failed", "A sub-agent came back with an error or with nothing.", "A sub-agent had no usable result.", "", "Read its transcript and make the task clearer."),
-    "subagent:unsupported_claim": ("Claim without evidence", "A sub-agent reports success, but its own transcript is missing.", "Success was claimed and cannot be checked.", "", "Find the transcript, or check the result by hand."),
-    "subagent:overdelegation": ("Too much delegated", "More sub-agents were started than the work explains.", "Many sub-agents for little work.", "agents", "Do small steps in the session itself."),
-    "latency:slow_turn": ("Slow round", "A round took far longer than the session's others.", "One round was very slow.", "seconds", "See which tool or sub-agent was waited for."),
-    "latency:timeout": ("Slow or timed-out tool", "A tool ran for two minutes or more.", "A tool ran into its limit.", "calls", "Split the call, or run it in the background."),
-    "capture:gap": ("Gap in the record", "A part of the session could not be recorded.", "Something is missing in the record.", "", "Read the figures of this session with care."),
-    "context:compaction_risk": ("Context nearly full", "The context was compacted, or came close to its window.", "The context was nearly full.", "%", "Split the work over several sessions."),
-    "privacy:metadata_leak": ("Private detail in metadata", "A name or label held something that must not be stored.", "A private detail was found and removed.", "", "Find out where it comes from."),
-    "cost:spike": ("Cost spike", "One round or a few of them cost far more than the others.", "A few rounds cost the most.", "x", "See what these rounds read or delegated."),
-    "cost:outlier": ("Expensive session", "The session cost more than 95 of 100 others of its project.", "Among the most expensive of its project.", "", "Compare it with a usual session of the project."),
-    "error:recurring": ("Recurring error", "The same error shows in three or more sessions of a week.", "An error that keeps coming back.", "sessions", "Mend the cause once, and write the decision down."),
+    "tool:error_rate": ("One call in five fails", "Failed results make up 20 % of the tool calls or more, and there are three at least. The value is their share.", "A fifth of the calls failed.", "", "Sort the failures by class; one class that leads points at its cause."),
+    "rework:file": ("Failures around one file", "Calls of file tools name this file five times, and two failures are blamed on it. The value is calls/failures.", "A file with many calls and failures.", "calls/failures", "Open the first failing call on it and check what the file held then."),
+    "rework:tool": ("One tool keeps failing", "Four failures are blamed on this tool: the one that a result names, else the last one called. The value is their number.", "Four failures of one tool.", "failures", "Compare the arguments of the failing calls."),
+    "subagent:failed": ("Sub-agent without result", "Its last tool result failed with no text behind it, or it never wrote a text.", "A sub-agent ended in error or wrote nothing.", "", "Start it again with what it lacked, or do its part in the session."),
+    "subagent:unsupported_claim": ("Result that names nothing", "It ended well, but its last text names no line of a file, no quoted code and no count of tests.", "A good outcome that names no evidence.", "", "Ask for places and figures, and check one of them."),
+    "subagent:overdelegation": ("Delegation goes deep or wide", "Sub-agents stand three levels deep, or there are more than 25.", "Three levels or 26 sub-agents.", "", "See whether the lowest level did work of its own."),
+    "latency:slow_turn": ("Long waits", "The 95th percentile of the rounds is over a minute, or calls of a tool took over two.", "Rounds over a minute or calls over two.", "", "Start with the longest call of the longest round."),
+    "latency:timeout": ("Calls cut off at the limit", "Calls of a tool took exactly the two minutes that a call may take.", "Calls that ended at two minutes.", "calls", "Give the work to several calls."),
+    "capture:gap": ("Channel not recorded", "The source of this session does not record its tokens, or does not record its durations.", "Tokens or durations are not recorded.", "", "Leave the session out of sums over that channel."),
+    "context:compaction_risk": ("Late compaction", "The context was compacted in the last quarter of the session's events. The value is how far in.", "A compaction in the last quarter.", "", "Check whether what was decided early was still followed at the end."),
+    "privacy:metadata_leak": ("Strings were redacted", "Strings of the record looked like a path, a key, an address or local content, and were replaced. The value is their number.", "The record held strings that must not be stored.", "strings", "Look up the field in the violations and clean it at its source."),
+    "cost:spike": ("Cost spike", "A round cost five times the median and 15 % of all, the last three cost four medians each, or three rounds cost half of all.", "Cost gathers in few rounds.", "", "Open the dearest round: its context, its answers, and what it started."),
+    "cost:outlier": ("Dear among all sessions", "It cost more than the 95th percentile of all other sessions of 30 days, of which there are ten at least.", "Above 95 % of all sessions' costs.", "", "Hold its cost per round against the medians of its peers."),
+    "error:recurring": ("Recurring error", "Three sessions or more of seven days show this signature. The value is their number.", "Seen in three sessions of a week.", "sessions", "Decide on the signature once, with an anchor, so that a relapse shows."),
 }
 
 

@@ -203,11 +203,57 @@ def others_percentile(df: DataFrame, groups: list[str], value: str, p: float, ti
     return out.drop("_low", "_high", "_n", "_lo", "_f", "_bin", "_0", "_1", "_2")
 
 
+def percentiles(df: DataFrame, groups: list[str], fields: dict[str, Column], p: float, bins: int = 4096) -> DataFrame:
+    """A row for each group with the interpolated percentile of each field, all fields in one pass; null where a field has no value.
+
+    Equal values are counted first, so that no value is a group of its own. The
+    counts of ``bins`` of equal width, and then of as many inside the bins that hold
+    the wanted places, tell which values must be sorted: those of a ``bins``-th of a
+    ``bins``-th of a group's span. Groups may be null.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))] + ["_field"]
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("_field"), value.cast("double").alias("_v")) for name, value in fields.items())))
+    long = df.select(*(F.struct(g).alias(f"_g{i}") for i, g in enumerate(groups)), named.alias("_x")).select(*keys[:-1], "_x._field", "_x._v").filter("_v is not null")
+    counted = long.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))  # structs are never null, so groups that are join by equality
+    place = F.lit(p) * (F.sum("_c") - 1)
+    spans = counted.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.floor(place).alias("_lo"), (place - F.floor(place)).alias("_f")).withColumn("_ahead", F.lit(0).cast("long"))
+    ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * ``bins`` rows
+    for _ in range(2):
+        width = (F.col("_high") - F.col("_low")) / bins
+        bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / width))).otherwise(F.lit(0))
+        binned = counted.join(spans, keys).filter("_v between _low and _high").withColumn("_bin", bin_)
+        sums = binned.groupBy(*keys, "_bin", "_lo", "_f", "_ahead").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        sums = sums.withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+        spans = sums.filter("_before <= _lo + 1 and _before + _c > _lo").groupBy(*keys, "_lo", "_f").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_before").alias("_ahead"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = counted.join(spans, keys).filter("_v between _low and _high").withColumn("_end", F.col("_ahead") + F.sum("_c").over(upto))
+    at = lambda k: F.min(F.when(F.col("_end") > F.col("_lo") + k, F.col("_v")))
+    low, high, part = at(0), at(1), F.first("_f")
+    found = near.groupBy(*keys).agg(F.when(part == 0, low).otherwise(low + part * (high - low)).alias("_p"))
+    every = df.select(*(F.struct(g).alias(f"_g{i}") for i, g in enumerate(groups))).distinct() if groups else df.sparkSession.range(1).select()
+    row = found.groupBy(*keys[:-1]).agg(*(F.max(F.when(F.col("_field") == name, F.col("_p"))).alias(name) for name in fields))
+    joined = every.join(row, keys[:-1], "left") if groups else row
+    return joined.select(*(F.col(f"_g{i}")[g].alias(g) for i, g in enumerate(groups)), *fields)
+
+
 def cost_outliers(sessions: DataFrame, groups: list[str], value: str, tie: str, at_least: int = 10) -> DataFrame:
     """Sessions that cost more than the 95th percentile of at least ten others of their group."""
     return others_percentile(sessions, groups, value, 0.95, tie).filter(F.col("others") >= at_least).filter(F.col(value) > F.col("others_p"))
 
 
+@F.pandas_udf(StringType())
+def outlier_text(cost: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
+    """Two digits behind the point, rounded on the binary values."""
+    return pd.Series([f"{c:.2f} > p95 {q:.2f} ({k} sessions)" for c, q, k in zip(cost, p, n, strict=True)], dtype=str)
+
+
+def cost_outlier_findings(sessions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """Sessions (session_id, at, cost) of the last days that cost more than the 95th percentile of all others of these days, of any project; ten must be there."""
+    recent = sessions.filter(F.col("at") > F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")).filter("cost is not null").withColumn("_all", F.lit(1))
+    hit = cost_outliers(recent, ["_all"], "cost", "session_id")
+    return finding(hit, "cost:outlier", "warning", "cost:outlier", outlier_text("cost", "others_p", "others"))
+
+
 def metadata_leaks(violations: DataFrame) -> DataFrame:
     """(session_id, redactions) to findings."""
     return finding(violations.filter("redactions > 0"), "privacy:metadata_leak", "high", "privacy:metadata_leak", F.col("redactions"))

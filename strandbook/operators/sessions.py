@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from strandbook import schema as S
 from strandbook.functions.origin import UNASSIGNED, choice
-from strandbook.operators.lifecycle import latest_decisions, open_findings, relapses
-from strandbook.operators.rules import within
+from strandbook.operators.lifecycle import group_status, latest_decisions, latest_verdicts, open_findings, relapses, statuses
 
 RECURRING = "error:recurring:"
 #: Events that say most: the first and last one, and those of these kinds.
@@ -158,15 +157,18 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def sessions_of_signature(findings: DataFrame, sessions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """Each signature's sessions of the last days, each once."""
-    recent = sessions.filter(within(when(), as_of, days)).select("session_id")
+    """Each signature's sessions from the day on that lies ``days`` before the reference time, that day whole, each once."""
+    recent = sessions.filter(when() >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp")).select("session_id")
     return findings.select("signature", "session_id").join(recent, "session_id", "left_semi").distinct()
 
 
-def classification(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Each session's class: the second reviewer's where there is one, else the first's; an unknown class counts as deviating."""
+def classification(first: DataFrame, second: DataFrame, order: str | None = None) -> DataFrame:
+    """Each session's class: the second reviewer's where there is one, else the first's; an unknown class counts as deviating.
+
+    Of several second opinions on a session the last by ``order`` counts, without an order the greatest.
+    """
     known = lambda c: F.when(F.lower(c).isin("clean", "deviating", "hallucinated"), F.lower(c)).otherwise("deviating")
-    other = second.groupBy("signature", "session_id").agg(F.last("class").alias("_second"))
+    other = second.groupBy("signature", "session_id").agg((F.max_by("class", order) if order else F.max("class")).alias("_second"))
     return first.join(other, ["signature", "session_id"], "left").withColumn("class", F.when(F.col("_second").isNotNull(), known(F.col("_second"))).otherwise(known(F.col("class")))).drop("_second")
 
 
@@ -250,3 +252,24 @@ def around(lines: DataFrame, asked: DataFrame, most: int = 50) -> DataFrame:
 def reviewed_signatures(findings: DataFrame, legacy: DataFrame) -> DataFrame:
     """The signatures that a session's review may name: those of its findings and of its legacy verdicts, each once."""
     return findings.select("session_id", "signature").unionByName(legacy.select("session_id", "signature")).filter("signature != ''").distinct()
+
+
+def session_answer(findings: DataFrame, sessions: DataFrame, decisions: DataFrame, running: DataFrame, runs: DataFrame, legacy: DataFrame, sightings: DataFrame, private_projects: tuple[str, ...] = ()) -> DataFrame:
+    """What a session's page says of each finding (session_id, rule, signature): ``status``, ``verdict``, ``group_status``, ``running``, ``local``.
+
+    Its status reckons with decisions, running reviews and the newest verdict; a
+    legacy verdict (session_id, signature, rule, result) has no time, so any review
+    run beats it, names a rule where it has no signature, and is dissent where it is
+    unclear. ``verdict`` is that of review runs alone. ``group_status`` is the highest
+    of its rule's findings in the session, ``running`` the session's running reviews,
+    ``local`` whether the session must stay local.
+    """
+    named = F.coalesce(F.nullif(F.col("signature"), F.lit("")), "rule")
+    old = legacy.select("session_id", named.alias("signature"), F.when(F.coalesce("result", F.lit("unclear")) == "unclear", "dissent").otherwise(F.col("result")).alias("result"), F.lit(None).cast("timestamp").alias("started_at"))
+    every = runs.select("session_id", "signature", "result", "started_at").unionByName(old.filter("signature is not null"))
+    told = statuses(findings.select("session_id", "rule", "signature"), decisions, running, every, sightings)
+    groups = group_status(told, ["session_id", "rule"]).withColumnRenamed("status", "group_status")
+    alive = running.filter("session_id is not null").groupBy("session_id").agg(F.count("*").alias("running"))
+    own = sessions.select("session_id", protected(sessions, private_projects).alias("local"))
+    out = told.join(latest_verdicts(runs), ["session_id", "signature"], "left").join(groups, ["session_id", "rule"]).join(alive, "session_id", "left").join(own, "session_id", "left")
+    return out.select("session_id", "rule", "signature", "status", "verdict", "group_status", F.coalesce("running", F.lit(0)).alias("running"), "local")

@@ -36,3 +36,20 @@ def without_base_names(models: DataFrame, name: str) -> DataFrame:
     """Drops a bare name where a tagged variant (name:tag) stands beside it."""
     tagged = models.filter(F.col(name).contains(":")).select(F.substring_index(name, ":", 1).alias(name)).distinct()
     return models.join(tagged, name, "left_anti")
+
+
+def containing(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask_id, set_id): the sets that hold all elements of what is asked for.
+
+    ``sets``: set_id, elements; ``asked``: ask_id, elements. Each ask meets the sets
+    by the one of its elements that is in the fewest of them, so no pair is looked
+    at that shares only a frequent one. An empty ask is in no set, an element that
+    no set has finds none; nulls are no elements.
+    """
+    have = sets.select("set_id", F.array_distinct(F.array_compact("elements")).alias("have"))
+    want = asked.select("ask_id", F.array_distinct(F.array_compact("elements")).alias("want"))
+    listed = have.select("set_id", "have", F.explode("have").alias("element"))
+    often = listed.groupBy("element").agg(F.count("*").alias("often"))
+    each = want.select("ask_id", "want", F.explode("want").alias("element")).join(often, "element", "left")
+    rarest = each.groupBy("ask_id", "want").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "element")).alias("r")).select("ask_id", "want", "r.element")
+    return listed.join(rarest, "element").filter(F.size(F.array_except("want", "have")) == 0).select("ask_id", "set_id")

@@ -178,7 +178,7 @@ def latest_run_of_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SIGHTINGS}, h AS (SELECT session_id, max(ts) AS t FROM ev GROUP BY session_id)
-SELECT DISTINCT s.signature, s.session_id FROM seen s JOIN h ON h.session_id = s.session_id WHERE h.t > TIMESTAMP '2024-01-01' AND h.t <= TIMESTAMP '2024-01-31'""")
+SELECT DISTINCT s.signature, s.session_id FROM seen s JOIN h ON h.session_id = s.session_id WHERE h.t >= TIMESTAMP '2024-01-01'""")
 def sessions_of_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     heads = ev.groupBy("session_id").agg(F.max("ts").alias("end"), F.min("ts").alias("start")).withColumn("written_at", F.col("start"))

@@ -92,13 +92,6 @@ def parted(df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.size("violations") == 0).drop("violations"), marked.filter(F.size("violations") > 0)
 
 
-def append_checked(df: DataFrame, kind: str, to: str, rejects: str) -> None:
-    """Appends good rows to the Parquet table ``to`` and bad ones, with their violations, to ``rejects``."""
-    good, bad = parted(df, kind)
-    good.write.mode("append").parquet(to)
-    bad.write.mode("append").parquet(rejects)
-
-
 def built_decisions(df: DataFrame) -> DataFrame:
     """Decisions in normal form: trimmed signature and anchor, empty instead of null texts, a default for who decided."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit("")))

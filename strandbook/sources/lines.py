@@ -7,6 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandbook.sources.ranged import numbered_lines
+
+#: White space of Unicode, which lines are stripped of.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: JSON types by the names that drift markers use. Fixed values.
 MARKER_TYPES = {"STRING": "str", "BIGINT": "int", "DOUBLE": "float", "BOOLEAN": "bool", "ARRAY": "list", "VOID": "NoneType"}
 
@@ -32,20 +36,27 @@ def at(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, modified_after: datetime | None = None) -> DataFrame:
-    """(path, line_no, line, v): non-blank lines; ``v`` is null for broken ones.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, modified_after: datetime | None = None, range_bytes: int | None = None) -> DataFrame:
+    """(path, line_no, line, v): non-blank lines without white space at their ends; ``v`` is null for broken ones.
 
-    A file is one session and is read whole, so that line numbers are exact
-    however the files are split. ``modified_after`` leaves older files out.
+    A file is read whole by one task, which keeps it below 2 GB and its line numbers
+    exact; with ``range_bytes`` several tasks read it by ranges, at any size, with the
+    same result. ``modified_after`` leaves older files out.
     """
+    if range_bytes:
+        return _with_values(numbered_lines(spark, path, glob, modified_after, range_bytes))
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
     files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    return lines.filter("line != ''").withColumn("v", F.try_parse_json("line"))
+    return _with_values(files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")))
+
+
+def _with_values(lines: DataFrame) -> DataFrame:
+    stripped = lines.withColumn("line", F.btrim("line", F.lit(WHITE)))
+    return stripped.filter("line != ''").withColumn("v", F.try_parse_json("line"))
 
 
 def unknown_fields(line: Column, kind: Column, known: dict[str, list[str]], prefix: str) -> Column:

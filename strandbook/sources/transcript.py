@@ -166,10 +166,10 @@ def read_subagents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, read_lines(spark, path, "agent-*.jsonl")
 
 
-def read_transcripts(spark: SparkSession, path: str, host: str = "", **options) -> Frames:
+def read_transcripts(spark: SparkSession, path: str, host: str = "", glob: str = "*.jsonl", **options) -> Frames:
     """All transcripts below ``path``. Nothing in a file can make the others fail: broken lines and drift are counted."""
     meta, sub_lines = read_subagents(spark, path)
-    lines = read_lines(spark, path, "*.jsonl", **options).filter(~F.col("path").contains("/subagents/"))
+    lines = read_lines(spark, path, glob, **options).filter(~F.col("path").contains("/subagents/"))
     parsed, sub_parsed = _parsed(lines), _parsed(sub_lines)
     events, sub_events = _events(parsed, meta), _events(sub_parsed, None)
     state, sub_state = _state(parsed, events), _state(sub_parsed, sub_events)

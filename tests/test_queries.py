@@ -4,10 +4,11 @@ import pytest
 from compare import assert_same
 from conftest import SF
 
-from strandbook.plans import event_queries, session_queries, table_queries
+from strandbook.plans import document_queries, event_queries, reader_queries, session_queries, table_queries, watch_queries
 
-QUERIES = event_queries.QUERIES | table_queries.QUERIES | session_queries.QUERIES
-SQL = event_queries.SQL | table_queries.SQL | session_queries.SQL
+MODULES = (event_queries, table_queries, session_queries, reader_queries, watch_queries, document_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
 
 def test_every_query_has_sql():

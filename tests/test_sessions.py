@@ -5,15 +5,17 @@ import json
 from pyspark.sql import functions as F
 
 from strandbook.operators import rule_texts
-from strandbook.sources import condensed, contracts
+from strandbook.sources import commits, condensed, contracts
 
 
 def test_append_checked(spark, tmp_path):
     rows = [("a", "done", None, None, "rule", "docs/x.md"), ("b", "done", None, None, None, None), ("", "open", "x" * 501, None, None, None), (None, "what", None, None, None, None)]
     df = spark.createDataFrame(rows, "signature string, status string, remark string, reason string, anchor_kind string, anchor_path string")
-    contracts.append_checked(df, "decision", str(tmp_path / "good"), str(tmp_path / "bad"))
-    assert [r.signature for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a"]
-    bad = {r.signature: r.violations for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    for _ in range(2):  # the second time is a replay
+        commits.append_checked(df, "decision", str(tmp_path), 0)
+    assert [r.signature for r in commits.committed(spark, str(tmp_path), "decision").collect()] == ["a"]
+    bad = {r.signature: r.violations for r in commits.committed(spark, str(tmp_path), "decision_rejects").collect()}
+    assert len(bad) == commits.committed(spark, str(tmp_path), "decision_rejects").count()
     assert bad == {"b": ["done needs an anchor"], "": ["signature", "remark"], None: ["signature", "status"]}
     assert contracts.with_violations(df, "free").filter(F.size("violations") > 0).count() == 0
 
@@ -40,4 +42,4 @@ def test_raw_lines(spark):
 
 def test_rule_texts(spark):
     df = spark.createDataFrame([("rework:tool:Bash",), ("cost:spike",), ("new:rule",), (None,)], "signature string")
-    assert [r.title for r in rule_texts.with_texts(df).orderBy(F.col("signature").asc_nulls_last()).collect()] == ["Cost spike", "Unknown rule", "Tool repeated", "Unknown rule"]
+    assert [r.title for r in rule_texts.with_texts(df).orderBy(F.col("signature").asc_nulls_last()).collect()] == ["Cost spike", "Unknown rule", "One tool keeps failing", "Unknown rule"]
