@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,15 +24,19 @@ DROPPED = frozenset("nav aside footer dialog menu noscript template".split())
 DROPPED_INLINE = frozenset("button select option label svg canvas audio video object".split())
 VOID = frozenset("area base col embed img input link meta param source track wbr".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommend recommended recommendations related replies reply respond share sharing shoutbox sidebar skip social sponsor sponsored subscribe toc toolbar tooltip".split())
+#: Of these, what is an advert within a line too; other names stand for words of a sentence there.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements sponsored".split())
 #: Names that furniture has and others too: they count where the text consists of links.
 DOUBTFUL = frozenset("disclaimer header meta overlay rail reaction reactions teaser widget".split())
 LAYOUT = frozenset("no with without has is js".split())
+#: What the other parts of a compound name of furniture are; with any other part a name only weighs.
+PARTS = frozenset("after area bar before below block body bottom box btn button buttons card cards center col column container content cta feed form foot group head header holder icon icons inner item items left link links list main message modal module outer overlay page pane panel posts primary right row section signup site slot stories strip tag tags text thread title top unit wrap wrapper".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Opening one of these ends an open one of the same group, up to a bound.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
-#: Elements that lie deeper stand for the one that they would lie in.
-DEEPEST = 512
+#: A block of so many characters, with few of them in links, is prose.
+PROSE = 80
 #: Levels up to which a block passes points on.
 LEVELS = 8
 
@@ -43,11 +47,11 @@ RAW_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "furniture", "doubtful", "points", "chars", "links", "anchors", "titled")
+    __slots__ = ("tag", "parent", "dropped", "furniture", "named", "doubtful", "points", "chars", "links", "anchors", "titled", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, furniture: bool = False, doubtful: bool = False):
-        self.tag, self.parent, self.dropped, self.furniture, self.doubtful = tag, parent, dropped, furniture, doubtful
-        self.points, self.chars, self.links, self.anchors, self.titled = 0.0, 0, 0, 0, tag == "h1"
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, furniture: bool = False, named: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.dropped, self.furniture, self.named, self.doubtful = tag, parent, dropped, furniture, named, doubtful
+        self.points, self.chars, self.links, self.anchors, self.titled, self.prose = 0.0, 0, 0, 0, tag == "h1", False
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
@@ -88,30 +92,35 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
             yield begin, at, tag, closes, found
 
 
-def marks(tag: str, found: dict[str, str]) -> tuple[bool, bool, bool]:
-    """Whether an element's attributes hide it, name it as page furniture, or may do so."""
+def marks(tag: str, found: dict[str, str]) -> tuple[bool, bool, bool, bool]:
+    """Whether an element's attributes hide it, name it as page furniture, name something of furniture beside other words, or may do so."""
     if not found or tag in ("html", "body"):
-        return False, False, False
+        return False, False, False, False
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
-    furniture, doubtful = found.get("role", "").lower() in ROLES, False
+    furniture, named, doubtful = found.get("role", "").lower() in ROLES, False, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     if tag not in ("main", "article"):
-        for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-            parts = re.split(r"[-_:]+", name)
+        for name in names:
+            parts = [p for p in re.split(r"[-_:]+", name) if p]
             if name in FURNITURE:
                 furniture = True
-            elif tag in CONTAINERS and len(parts) > 1 and parts[0] not in LAYOUT:
-                furniture |= parts[0] in FURNITURE or parts[-1] in FURNITURE
-            doubtful |= tag in CONTAINERS and (parts[0] in DOUBTFUL or parts[-1] in DOUBTFUL)
+            elif tag in CONTAINERS and len(parts) > 1 and parts[0] not in LAYOUT and (parts[0] in FURNITURE or parts[-1] in FURNITURE):
+                if all(p in FURNITURE or p in PARTS or p in DOUBTFUL or p.isdecimal() for p in parts):
+                    furniture = True
+                else:
+                    named = True
+            doubtful |= tag in CONTAINERS and bool(parts) and (parts[0] in DOUBTFUL or parts[-1] in DOUBTFUL)
     elif tag == "article":
-        furniture |= any(re.split(r"[-_:]+", name)[0] in ("comment", "comments", "reply") for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split())
-    return hidden, furniture, doubtful
+        furniture |= any(re.split(r"[-_:]+", name)[0] in ("comment", "comments", "reply") for name in names)
+    return hidden, furniture, named, doubtful
 
 
 def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
     """The page's block elements in order, and its blocks of text: element, text, characters in links, links."""
     nodes = [Node("html", None)]
     stack, blocks, text = [nodes[0]], [], []
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    holders = [0]  # and those of blocks
     links = anchors = at = 0
     linked = False
 
@@ -120,20 +129,23 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
         if text:
             block = " ".join(references.unescape("".join(text)).split())
             text.clear()
-            holder = next(x for x in reversed(stack) if x.tag in BLOCKS)
+            holder = stack[holders[-1]]
             if block and not holder.dropped:
                 blocks.append((holder, block, min(links, len(block)), anchors))
         links = anchors = 0
 
     def push(node: Node) -> None:
-        stack.append(node)
-        opened[node.tag] += 1
+        opened[node.tag].append(len(stack))
         if node.tag in BLOCKS:
+            holders.append(len(stack))
             nodes.append(node)
+        stack.append(node)
 
     def cut(upto: int) -> None:
         for x in stack[upto:]:
-            opened[x.tag] -= 1
+            opened[x.tag].pop()
+            if x.tag in BLOCKS:
+                holders.pop()
         del stack[upto:]
 
     def say(piece: str) -> None:
@@ -155,7 +167,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
                 flush()
                 linked = False
             if opened[tag]:
-                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+                cut(opened[tag][-1])
             continue
         if tag in ("br", "hr"):
             if tag == "hr":
@@ -165,7 +177,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
             continue
         if tag in VOID or tag in ("html", "body", "head"):
             continue
-        hidden, furniture, doubtful = marks(tag, found)
+        hidden, furniture, named, doubtful = marks(tag, found)
         if tag in BLOCKS or tag in DROPPED:
             flush()
             linked = False
@@ -173,18 +185,15 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
             while top > 1 and (stack[top - 1].tag not in BLOCKS or stack[top - 1].tag == "p" or stack[top - 1].tag in HEADINGS and (tag in CONTAINERS and tag not in HEADINGS or tag == "p")):
                 top -= 1
             cut(top)
-            if any(opened[x] for x in ENDS.get(tag, ())):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in BOUNDS.get(tag, ("table",)):
-                        break
-                    if stack[i].tag in ENDS[tag]:
-                        cut(i)
-                        break
-            if len(stack) < DEEPEST:
-                page_header = tag == "header" and not (opened["article"] or opened["main"])
-                dropped = stack[-1].dropped or hidden or tag in DROPPED or page_header
-                push(Node(tag, stack[-1], dropped, furniture or tag == "form", doubtful))
-        elif (hidden or furniture or tag in DROPPED_INLINE) and len(stack) < DEEPEST and end and page[end - 2:end] != "/>":
+            if tag in ENDS:
+                last = lambda names: max((opened[x][-1] for x in names if opened[x]), default=0)
+                ended = last(ENDS[tag])
+                if ended > last(BOUNDS.get(tag, ("table",))):
+                    cut(ended)
+            page_header = tag == "header" and not (opened["article"] or opened["main"])
+            dropped = stack[-1].dropped or hidden or tag in DROPPED or page_header
+            push(Node(tag, stack[-1], dropped, furniture or tag == "form", named, doubtful))
+        elif (hidden or tag in DROPPED_INLINE or furniture and not ADVERTS.isdisjoint(found.get("class", "").lower().split())) and end and page[end - 2:end] != "/>":
             push(Node(tag, stack[-1], True))
         elif tag == "a":
             linked = True
@@ -203,7 +212,9 @@ def main_text(page: str | None) -> str:
     is links, and by names of page furniture. The best one is widened to the
     article or main element around it. Its siblings with a fifth of its points
     are kept too, and what lies between, and headings right before. Furniture is
-    left out, unless it holds the best container or a title.
+    left out, unless it holds the best container or a title; where a name has other
+    words than furniture's, what it names is left out only if it holds no prose or
+    consists of links. Within a line what is hidden is left out, controls and adverts.
     """
     nodes, blocks = blocks_of(page) if page else ([], [])
     if not blocks:
@@ -213,6 +224,7 @@ def main_text(page: str | None) -> str:
         node.chars += len(block)
         node.links += linked
         node.anchors += anchors
+        node.prose |= len(block) >= PROSE and linked < 0.25 * len(block)
         holder = node if node.tag in CONTAINERS else node.parent
         for level in range(LEVELS):
             if holder is None:
@@ -225,10 +237,11 @@ def main_text(page: str | None) -> str:
             x.parent.links += x.links
             x.parent.anchors += x.anchors
             x.parent.titled |= x.titled and not x.dropped
+            x.parent.prose |= x.prose
 
     def score(x: Node) -> float:
         named = 25 if x.tag in ("article", "main") and x.chars else 0
-        return (x.points * (1 - x.links / max(x.chars, 1)) + named) * (0.2 if x.furniture else 1)
+        return (x.points * (1 - x.links / max(x.chars, 1)) + named) * (0.2 if x.furniture else 0.6 if x.named else 1)
 
     tainted: dict[Node, bool] = {}
     for x in nodes:  # parents come first
@@ -249,6 +262,8 @@ def main_text(page: str | None) -> str:
             return False
         if x.furniture:
             return not x.titled
+        if x.named and x.chars:
+            return not x.titled and (not x.prose or x.links >= 0.5 * x.chars)
         if x.doubtful and x.chars and x.links >= 0.5 * x.chars:
             return True
         return x.tag in ("ul", "ol", "dl", "div", "table", "section") and x.anchors >= 3 and x.links >= 0.8 * x.chars

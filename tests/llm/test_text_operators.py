@@ -391,7 +391,36 @@ def test_blocks_and_names():
     assert text("<p title='x>hello</p>") == "hello" and text("<p>cut <a href=") == "cut" and text(None) == text("") == ""
 
 
-@pytest.mark.parametrize("piece", ['a="b" ', "<div>", "<li>x<ul>", "<span class=ad>", "</p>", "<", "<p a='\"", "<td>x", "<!--"])
+def test_names_within_lines_and_of_sections():
+    text = html_text.main_text
+    line = "We saw the {} and {} and {} there, and it was good to see all of them again."
+    marked = line.format("<span class='banner'>long banner</span>", "<b class=notice>the notice</b>", "<code class='nav'>nav()</code>")
+    assert text(f"<article><p>{marked}</p></article>") == line.format("long banner", "the notice", "nav()")
+    long = "A sentence, with commas, that goes on for long enough to be one of an article's, as it is."
+    kept = "".join(f"<{tag} class='{name}'><p>{name} {long}</p></{tag}>" for tag, name in (("section", "social-impact"), ("div", "share-price"), ("div", "comments-policy")))
+    gone = "".join(f"<div class='{name}'><p>{long}</p></div>" for name in ("comments-area", "ad-slot-2", "related-posts")) + "<div class='share-knobs'><a href=/>a</a></div>"
+    assert text(f"<article><p>{long}</p>{kept}{gone}</article>") == "\n".join([long, f"social-impact {long}", f"share-price {long}", f"comments-policy {long}"])
+
+
+def test_any_depth():
+    long = "A sentence, with commas, that goes on for long enough to be one of an article's, as it is."
+    for n in (5, 600, 5_000):
+        page = "<div>" * n + f"<nav>MENU menu</nav><footer>FOOT</footer><article><p>{long}</p><ul><li>one<li>two</ul></article>" + "</div>" * n + f"<footer>{long}</footer>"
+        assert html_text.main_text(page) == f"{long}\none\ntwo"
+
+
+def test_pages_whose_article_is_not_marked():
+    import re
+
+    import pyarrow.parquet as pq
+    from brute import articles
+
+    pages = pq.read_table(f"{SF}/pages.parquet", columns=["html"]).column(0).to_pylist()
+    plain = [(p, re.sub(r"<(/?)article\b", r"<\1div", p, flags=re.I)) for p in pages if p and "<article" in p.lower()]
+    assert len(plain) > 20 and all(html_text.main_text(q) == articles(p) for p, q in plain)
+
+
+@pytest.mark.parametrize("piece", ['<li><ul>', '<dt><div>', '<span hidden>', 'a="b" ', "<div>", "<li>x<ul>", "<span class=ad>", "</p>", "<", "<p a='\"", "<td>x", "<!--"])
 def test_hostile_pages_take_one_pass(piece):
     import time
 
