@@ -66,8 +66,12 @@ def display_source(source: Column, backend: Column, models: Column, local: Colum
 
 
 def unknown_models(source: Column, models: Column, registry: Column) -> Column:
-    """Models of a claude session that the registry knows neither by name nor by base name, and that no provider path explains; each once, in order."""
-    names = F.filter(real_models(models), lambda m: ~F.array_contains(registry, m) & ~F.array_contains(registry, base_name(m)) & ~m.contains("/"))
+    """Models of a claude session that the registry knows neither by name nor by base name, and that no provider path explains; each once, in order.
+
+    The base name of a tagged registry model is known too.
+    """
+    known = F.array_union(registry, F.transform(registry, base_name))
+    names = F.filter(real_models(models), lambda m: ~F.array_contains(known, m) & ~F.array_contains(known, base_name(m)) & ~m.contains("/"))
     return F.when(source == "claude", F.array_sort(F.array_distinct(names))).otherwise(F.array().cast("array<string>"))
 
 

@@ -14,6 +14,8 @@ LOCAL_MARK = "_lokal"
 PATH = r"[/\\]|[A-Za-z]:\\"
 SECRET = r"sk-|AKIA|ghp_|-----BEGIN"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: An address is looked for where a run of its signs begins, and not again from each of them.
+EMAIL_FROM_ITS_START = r"(?<![A-Za-z0-9._%+-])" + EMAIL
 MODEL_NAMES = r"^([A-Za-z0-9][A-Za-z0-9_.\-]*|hf\.co/[A-Za-z0-9][A-Za-z0-9_.\-]*)/[A-Za-z0-9][A-Za-z0-9_.\-]*(:[A-Za-z0-9_.\-]+)?$"
 IDENTIFIER, UNKNOWN = r"^[A-Za-z0-9_.:\-]{1,48}$", "unbekannt:"
 LOCAL_HOST = r"(?i)\b(localhost|127\.0\.0\.1|192\.168\.\d+\.\d+|10\.\d+\.\d+\.\d+)\b|\.local\b"
@@ -34,7 +36,7 @@ def violation(text: Column, length: bool = True) -> Column:
     out = F.when(F.length(text) > MOST_CHARS, "length") if length else F.when(F.lit(False), "length")
     out = out.when(text.contains(LOCAL_MARK), "local")
     out = out.when(text.rlike(PATH), "path").when(text.rlike(SECRET), "secret")
-    return out.when(text.contains("@") & text.rlike(EMAIL), "email")  # the pattern is slow where there is no address
+    return out.when(text.contains("@") & text.rlike(EMAIL_FROM_ITS_START), "email")  # the pattern is slow where there is no address
 
 
 def is_model_name(text: Column) -> Column:
@@ -89,9 +91,13 @@ def project_name(cwd: Column) -> Column:
     return F.get(F.reverse(F.filter(F.split(cwd, r"[\\/]+"), lambda x: x != "")), F.lit(0))
 
 
+# What counts as evidence in a text, a line of a file, quoted code, or a test with a number soon after.
+EVIDENCE = (r"\w+\.\w+:\d+", r"`[^`\n]+`", r"Test[^\d\n]{0,20}\d+")
+
+
 def has_evidence(text: Column) -> Column:
-    """Whether a text names a line of a file, quotes code, or a test with a number soon after."""
-    return text.rlike(r"\w+\.\w+:\d+") | text.rlike(r"`[^`\n]+`") | text.rlike(r"Test[^\d\n]{0,20}\d+")
+    """Whether a text names any evidence."""
+    return text.rlike(EVIDENCE[0]) | text.rlike(EVIDENCE[1]) | text.rlike(EVIDENCE[2])
 
 
 def thousands(n: Column) -> Column:

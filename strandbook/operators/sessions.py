@@ -38,7 +38,7 @@ def of_project(sessions: DataFrame, aliases: DataFrame, project: str) -> DataFra
     """
     raw = aliases.filter(F.col("project") == project).select(F.col("name").alias("_name"), F.col("source").alias("_source")).distinct()
     same = (F.col("project") == F.col("_name")) & (F.col("_source").isNull() | (F.col("source") == F.col("_source")))
-    found = sessions.join(F.broadcast(raw), same, "left_semi")  # the aliases of one project
+    found = sessions.join(raw, same, "left_semi")
     listed = raw.agg(F.count("*").alias("_n"))  # one row
     itself = sessions.filter(F.col("project") == project).join(F.broadcast(listed), F.col("_n") == 0, "left_semi")
     return found.unionByName(itself)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandbook.functions import origin
 from strandbook.operators import catalogue, sets
 from strandbook.plans.proxy import events, table
 from strandbook.sources import documents
@@ -89,3 +90,14 @@ def model_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = ranked.select("ord", F.lit(None).cast("string").alias("slug"), "needle", F.col("needle").alias("manufacturer"), F.lit("name").alias("origin"))
     slugs = part.select(F.lit(0).cast("long").alias("ord"), F.lower("p_brand").alias("slug"), F.lit(None).cast("string").alias("needle"), F.col("p_brand").alias("manufacturer"), F.lit("slug").alias("origin")).distinct()
     return catalogue.origins(part.select("p_partkey", name.alias("model_id")), dim.unionByName(slugs), ("azure",))
+
+
+@query("""WITH m AS (SELECT p_partkey, p_brand, p_size, unnest([p_brand || ':x', lower(p_type), 'up/' || p_brand]) AS model FROM part),
+u AS (SELECT p_partkey, model FROM m WHERE p_size % 5 <> 0 AND NOT contains(model, '/') AND split_part(model, ':', 1) NOT IN ('Brand#13', 'Brand#22', 'economy brushed tin'))
+SELECT p.p_partkey, coalesce((SELECT string_agg(model, ',' ORDER BY model) FROM u WHERE u.p_partkey = p.p_partkey), '') AS models FROM part p""")
+def unknown_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a registry of three names does not know; it has one by a tag, whose base name it knows too."""
+    registry = F.array(*map(F.lit, ("Brand#13:q4", "Brand#22", "economy brushed tin")))
+    source = F.when(F.col("p_size") % 5 == 0, "codex").otherwise("claude")
+    models = F.array(F.concat("p_brand", F.lit(":x")), F.lower("p_type"), F.concat(F.lit("up/"), "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(origin.unknown_models(source, models, registry), ",").alias("models"))
