@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def transcripts(spark: SparkSession, sf_dir: str, **options) -> Frames:
     return read_transcripts(spark, write_transcripts(spark, sf_dir), glob="*.txt", **options)
 
 
+def stored(spark: SparkSession, frames: Frames) -> Frames:
+    """The tables that were read, as Parquet: what asks them often should not read transcripts each time."""
+    path = scratch(spark, "read")
+
+    def put(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    return replace(frames, events=put("events", frames.events), subagents=put("subagents", frames.subagents), capture=put("capture", frames.capture))
+
+
 #: The lines that the files have, and the events that reading them should give.
 LINES_SQL = EVENTS_SQL + """,
 called AS (SELECT *, last_value(CASE WHEN kind = 'tool' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS called,
@@ -162,7 +175,7 @@ UNION ALL SELECT session_id, 'latency:slow_turn', 'hint', 'latency:slow_turn:too
 UNION ALL SELECT session_id, 'tool:error_rate', 'warning', 'tool:error_rate', printf('%.1f %%', errors / tools * 100) FROM counts WHERE tools > 0 AND errors / tools >= 0.2 AND errors >= 3""")
 def transcript_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of a session over what the reader gave; of these files, those on costs need prices and are not asked."""
-    f = transcripts(spark, sf_dir)
+    f = stored(spark, transcripts(spark, sf_dir))
     m = metrics.session_metrics(f.events, f.subagents, spark.createDataFrame(PRICES, PRICE_COLUMNS))
     found = rules.session_findings(rules.SessionFrames(f.events, f.subagents, m, f.capture))
     return found.select(F.col("session_id").cast("long").alias("session_id"), "rule", "severity", "signature", "value")
