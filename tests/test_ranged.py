@@ -57,3 +57,23 @@ def test_a_transcript_in_ranges_gives_the_same_events(spark, tmp_path):
     whole, cut = transcript.read_transcripts(spark, str(tmp_path)), transcript.read_transcripts(spark, str(tmp_path), range_bytes=300)
     for a, b in ((whole.events, cut.events), (whole.headers, cut.headers), (whole.quality, cut.quality)):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_the_driver_holds_spans_not_ranges(tmp_path):
+    """A row for each file and task, however short a range is (before: one for each range)."""
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"{}\n" * 1_000_000)
+    options = {"roots": json.dumps([str(tmp_path)]), "rangebytes": "100", "sharebytes": str(1 << 20)}
+    parts = ranged.RangeReader(options).partitions()
+    spans = [s for p in parts for s in p.spans]
+    assert len(parts) == 6 and len(spans) == 7 and not any(s.alone for s in spans)
+    assert sum(s.end - s.start for s in spans) == 6_000_000 and all((s.end - s.start) % 100 == 0 for s in spans)
+
+
+@pytest.mark.parametrize("share", [9_000, 70_000, 1 << 20])
+def test_spans_of_a_file_of_short_and_long_lines(spark, tmp_path, share):
+    rng = random.Random(5)
+    lines = [json.dumps({"k": k, "x": "ä" * rng.choice([0, 3, 400, 9_000])}, ensure_ascii=False) for k in range(80)]
+    (tmp_path / "f.jsonl").write_text("\n".join(lines))
+    got = sorted((r.line_no, r.line) for r in ranged.numbered_lines(spark, str(tmp_path), range_bytes=100, share_bytes=share).collect())
+    assert [n for n, _ in got] == list(range(80)) and [t.rstrip("\n") for _, t in got] == lines
