@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandbook import schema as S
 from strandbook.functions.text import has_evidence, hash_prefix, label, project_name, safe_identifier
-from strandbook.sources.lines import at, file_stem, get, marker_type, read_lines, type_of, unknown_fields
+from strandbook.sources.lines import at, file_stem, get, marker_type, read_lines, read_packed, type_of, unknown_fields
 
 # Fixed values of the format: line types, their fields, what blocked results begin with.
 LINE_TYPES = "user assistant system attachment mode permission-mode atis-latch file-history-snapshot file-history-delta ai-title last-prompt queue-operation bridge-session frame-link agent-name".split()
@@ -83,8 +83,6 @@ def _events(parsed: DataFrame, agents: DataFrame | None) -> DataFrame:
     said_id = get(message, "$.id")
     usage = get(message, "$.usage", "variant")
     has_usage = (F.col("type") == "assistant") & ~F.col("wrong") & F.coalesce(type_of(usage) == "OBJECT", F.lit(False)) & (F.coalesce(F.to_json(usage), F.lit("{}")) != "{}")
-    first = F.row_number().over(Window.partitionBy("path", "_said", "_has_usage").orderBy("line_no")) == 1
-    lines = parsed.withColumns({"_said": said_id, "_has_usage": has_usage}).withColumn("_counts", F.col("_has_usage") & (F.col("_said").isNull() | (F.col("_said") == "") | first))
     kind = lambda b: get(b, "$.type")
     results = F.transform(F.filter("blocks", lambda b: (F.col("type") == "user") & (kind(b) == "tool_result")), lambda b: _event(
         S.TOOL_RESULT, F.lit(True), failed=F.coalesce(get(b, "$.is_error", "boolean"), F.lit(False)), ref=F.coalesce(get(b, "$.tool_use_id"), F.lit("")),
@@ -100,10 +98,14 @@ def _events(parsed: DataFrame, agents: DataFrame | None) -> DataFrame:
             _event(S.COMPACTION, get(v, "$.isCompactSummary", "boolean")),
             _event(S.ROUND_END, (F.col("type") == "system") & (get(v, "$.subtype") == "turn_duration"), duration_ms=get(v, "$.durationMs", "long")),
             _event(S.USER, _user_turn() & ~F.col("wrong")),
-            _event(S.ASSISTANT, F.col("_counts"), name=F.coalesce(get(message, "$.model"), F.lit("")), token=_usage()),
+            _event(S.ASSISTANT, has_usage, name=F.coalesce(get(message, "$.model"), F.lit("")), token=_usage()),
         ),
         F.coalesce(results, none), F.coalesce(calls, none))
-    flat = lines.filter("object").select("path", "line_no", "ts", F.posexplode(F.array_compact(row)).alias("place", "e")).select("path", "line_no", "place", "ts", "e.*")
+    # Reduced before the shuffle, which all that follows within a file shares: text does not go through it.
+    flat = parsed.filter("object").select("path", "line_no", "ts", said_id.alias("_said"), F.posexplode(F.array_compact(row)).alias("place", "e")).select("path", "line_no", "place", "ts", "_said", "e.*").repartition("path")
+    said = (F.col("kind") == S.ASSISTANT) & F.col("_said").isNotNull() & (F.col("_said") != "")
+    again = F.row_number().over(Window.partitionBy("path", "_said", "kind").orderBy("line_no", "place")) > 1  # lines of one answer
+    flat = flat.withColumn("_again", said & again).filter("NOT _again").drop("_again", "_said")
     flat = flat.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("line_no", "place")).cast("long"))
     # A result belongs to the last call of its id before it; a call's duration ends with the first result after it.
     own = Window.partitionBy("path", F.coalesce("ref", F.lit("")), F.col("kind").isin(S.TOOL, S.TOOL_RESULT)).orderBy("seq")
@@ -152,38 +154,51 @@ def _state(parsed: DataFrame, events: DataFrame) -> DataFrame:
     return span.join(counts, "path", "left").join(last, "path", "left")
 
 
-def read_subagents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``agent-*.meta.json``, and the lines of ``agent-*.jsonl``. A broken or missing meta is an empty one."""
-    meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "agent-*.meta.json").text(path, wholetext=True)
+def _subagents(meta: DataFrame) -> DataFrame:
+    """Rows of ``agent-*.meta.json`` by (path, value). A broken or missing meta is an empty one."""
     m = F.try_parse_json("value")
-    file = F.col("_metadata.file_path")
-    rows = meta.select(
+    file = F.col("path")
+    return meta.select(
         F.regexp_replace(file, r"\.meta\.json$", ".jsonl").alias("path"), F.regexp_replace(file, r"/subagents/[^/]*$", "").alias("parent"),
         F.regexp_extract(file, r"agent-([^/]*)\.meta\.json$", 1).alias("agent_id"),
         safe_identifier(F.coalesce(get(m, "$.agentType"), F.lit(""))).alias("type"), F.coalesce(get(m, "$.model"), F.lit("")).alias("short_model"),
         label(F.trim(F.coalesce(get(m, "$.description"), F.lit("")))).alias("task"), F.coalesce(get(m, "$.spawnDepth", "int"), F.lit(1)).alias("depth"),
         F.coalesce(get(m, "$.toolUseId"), F.lit("")).alias("tool_use_id"))
-    return rows, read_lines(spark, path, "agent-*.jsonl")
 
 
 def read_transcripts(spark: SparkSession, path: str, host: str = "", glob: str = "*.jsonl", **options) -> Frames:
     """All transcripts below ``path``. Nothing in a file can make the others fail: broken lines and drift are counted."""
-    meta, sub_lines = read_subagents(spark, path)
+    meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "agent-*.meta.json").text(path, wholetext=True)
     lines = read_lines(spark, path, glob, **options).filter(~F.col("path").contains("/subagents/"))
+    return reduce(lines, read_lines(spark, path, "agent-*.jsonl"), meta.select(F.col("_metadata.file_path").alias("path"), "value"), host)
+
+
+def read_packed_transcripts(spark: SparkSession, packed: str, host: str = "", **options) -> Frames:
+    """``read_transcripts`` for transcripts and their sub-agents' files that ``pack_lines`` put together."""
+    lines, path = read_packed(spark, packed, **options), F.col("path")
+    one = F.sort_array(F.collect_list(F.struct("line_no", "line")))  # a meta file is small
+    meta = lines.filter(path.rlike(r"/agent-[^/]*\.meta\.json$")).groupBy("path").agg(F.array_join(F.transform(one, lambda x: x["line"]), "\n").alias("value"))
+    transcripts = lines.filter(path.endswith(".jsonl") & ~path.contains("/subagents/"))
+    return reduce(transcripts, lines.filter(path.rlike(r"/agent-[^/]*\.jsonl$")), meta, host)
+
+
+def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str = "") -> Frames:
+    """Transcripts' and sub-agents' lines, and meta files as (path, value), reduced to tables."""
+    meta = _subagents(meta)
     parsed, sub_parsed = _parsed(lines), _parsed(sub_lines)
     events, sub_events = _events(parsed, meta), _events(sub_parsed, None)
     state, sub_state = _state(parsed, events), _state(sub_parsed, sub_events)
     v = F.col("v")
     first = lambda p: F.min_by(get(v, p), F.when(F.coalesce(get(v, p), F.lit("")) != "", F.col("line_no")))
-    head = parsed.filter("object").groupBy("path").agg(
+    named = parsed.filter("object").groupBy("path").agg(
         F.max_by(get(v, "$.sessionId"), F.when(F.coalesce(get(v, "$.sessionId"), F.lit("")) != "", F.col("line_no"))).alias("session_id"),
         first("$.cwd").alias("cwd"), first("$.version").alias("version"), first("$.gitBranch").alias("git_branch"))
-    head = head.join(state, "path").withColumn("session_id", F.coalesce("session_id", file_stem(F.col("path"))))
+    head = named.join(state, "path").withColumn("session_id", F.coalesce("session_id", file_stem(F.col("path"))))
     empty = lambda c: F.coalesce(c, F.lit(""))
     headers = head.select(
         "path", "session_id", F.lit("claude").alias("source"), F.lit(host).alias("host"), F.when(empty("cwd") != "", hash_prefix(F.col("cwd"), 12)).otherwise("").alias("project_hash"),
         safe_identifier(empty(project_name(F.col("cwd")))).alias("project"), empty("start").alias("start"), empty("end").alias("end"), empty("version").alias("version"), safe_identifier(empty("git_branch")).alias("git_branch"), "models")
-    ids = headers.select("path", "session_id")
+    ids = named.select("path", F.coalesce("session_id", file_stem(F.col("path"))).alias("session_id"))  # the headers' paths and ids, without what headers need besides
     markers = parsed.select("path", F.explode(F.concat(
         F.array_compact(F.array(
             F.when(~F.col("object"), F.concat(F.lit("struktur:"), marker_type(v))),
