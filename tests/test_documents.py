@@ -56,3 +56,13 @@ def test_first_substring(spark):
     assert got == {t: h for t, h in want.items() if h} and got
     none = spark.createDataFrame([], "ord int, needle string, hit string")
     assert catalogue.first_substring(spark.createDataFrame([("a",)], "t string"), none, "t").count() == 0
+
+
+def test_equal_asks_are_looked_for_once(spark):
+    """2,500 equal asks meet a set as one (before: as so many rows of the join), and each is told of it."""
+    have = spark.createDataFrame([(k, [1, 2, None] if k % 2 else [2, 3]) for k in range(40)], "set_id long, elements array<int>")
+    want = spark.range(2_500).selectExpr("id AS ask_id", "IF(id % 2 = 0, array(2, 1), array(1, NULL, 2, 1)) AS elements")
+    got = sets.containing(have, want)
+    assert got.count() == got.distinct().count() == 2_500 * 20
+    packs = sets._packs(want.selectExpr("ask_id", "array(1, 2) AS want")).selectExpr("size(asks) AS n").collect()
+    assert sum(r.n for r in packs) == 2_500 and len(packs) == 3 and max(r.n for r in packs) < 1_100
