@@ -78,11 +78,15 @@ def _usage() -> Column:
     return F.struct(n("input_tokens").alias("input"), n("output_tokens").alias("output"), n("cache_creation_input_tokens").alias("cache_write"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens_details.thinking_tokens").alias("thinking"))
 
 
+def _has_usage() -> Column:
+    usage = get(F.col("message"), "$.usage", "variant")
+    return (F.col("type") == "assistant") & ~F.col("wrong") & F.coalesce(type_of(usage) == "OBJECT", F.lit(False)) & (F.coalesce(F.to_json(usage), F.lit("{}")) != "{}")
+
+
 def _events(parsed: DataFrame, agents: DataFrame | None) -> DataFrame:
     v, message = F.col("v"), F.col("message")
     said_id = get(message, "$.id")
-    usage = get(message, "$.usage", "variant")
-    has_usage = (F.col("type") == "assistant") & ~F.col("wrong") & F.coalesce(type_of(usage) == "OBJECT", F.lit(False)) & (F.coalesce(F.to_json(usage), F.lit("{}")) != "{}")
+    has_usage = _has_usage()
     kind = lambda b: get(b, "$.type")
     results = F.transform(F.filter("blocks", lambda b: (F.col("type") == "user") & (kind(b) == "tool_result")), lambda b: _event(
         S.TOOL_RESULT, F.lit(True), failed=F.coalesce(get(b, "$.is_error", "boolean"), F.lit(False)), ref=F.coalesce(get(b, "$.tool_use_id"), F.lit("")),
@@ -145,12 +149,11 @@ def _state(parsed: DataFrame, events: DataFrame) -> DataFrame:
     span = parsed.filter("object").groupBy("path").agg(
         F.min(own("ts", content))["ts"].alias("start"), F.max(own("ts", content))["ts"].alias("end"),
         F.min_by(model, F.when((F.col("type") == "assistant") & (model != ""), F.col("line_no"))).alias("first_model"),
-        F.sort_array(F.collect_set(F.when((F.col("type") == "assistant") & (model != ""), model))).alias("models"),
-        F.max(get(F.col("v"), "$.subtype") == "turn_duration").alias("timed"))
+        F.sort_array(F.collect_set(F.when((F.col("type") == "assistant") & (model != ""), model))).alias("models"))
     t = lambda n: F.coalesce(F.sum(f"token.{n}"), F.lit(0)).alias(n)
     counts = events.groupBy("path").agg(
         F.count_if(F.col("kind") == S.USER).alias("rounds"), F.count_if(F.col("kind") == S.TOOL).alias("tools"),
-        F.count_if((F.col("kind") == S.TOOL_RESULT) & F.col("failed")).alias("tool_errors"), F.count_if(F.col("kind") == S.ASSISTANT).alias("counted"), F.struct(*map(t, S.TOKEN.names)).alias("token"))
+        F.count_if((F.col("kind") == S.TOOL_RESULT) & F.col("failed")).alias("tool_errors"), F.struct(*map(t, S.TOKEN.names)).alias("token"))
     return span.join(counts, "path", "left").join(last, "path", "left")
 
 
@@ -190,8 +193,9 @@ def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str =
     state, sub_state = _state(parsed, events), _state(sub_parsed, sub_events)
     v = F.col("v")
     first = lambda p: F.min_by(get(v, p), F.when(F.coalesce(get(v, p), F.lit("")) != "", F.col("line_no")))
+    last_id = F.max_by(get(v, "$.sessionId"), F.when(F.coalesce(get(v, "$.sessionId"), F.lit("")) != "", F.col("line_no")))
     named = parsed.filter("object").groupBy("path").agg(
-        F.max_by(get(v, "$.sessionId"), F.when(F.coalesce(get(v, "$.sessionId"), F.lit("")) != "", F.col("line_no"))).alias("session_id"),
+        last_id.alias("session_id"),
         first("$.cwd").alias("cwd"), first("$.version").alias("version"), first("$.gitBranch").alias("git_branch"))
     head = named.join(state, "path").withColumn("session_id", F.coalesce("session_id", file_stem(F.col("path"))))
     empty = lambda c: F.coalesce(c, F.lit(""))
@@ -199,17 +203,20 @@ def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str =
         "path", "session_id", F.lit("claude").alias("source"), F.lit(host).alias("host"), F.when(empty("cwd") != "", hash_prefix(F.col("cwd"), 12)).otherwise("").alias("project_hash"),
         safe_identifier(empty(project_name(F.col("cwd")))).alias("project"), empty("start").alias("start"), empty("end").alias("end"), empty("version").alias("version"), safe_identifier(empty("git_branch")).alias("git_branch"), "models")
     ids = named.select("path", F.coalesce("session_id", file_stem(F.col("path"))).alias("session_id"))  # the headers' paths and ids, without what headers need besides
-    markers = parsed.select("path", F.explode(F.concat(
+    markers = F.concat(
         F.array_compact(F.array(
             F.when(~F.col("object"), F.concat(F.lit("struktur:"), marker_type(v))),
             F.when(F.col("object") & ~F.coalesce(F.col("type").isin(*LINE_TYPES), F.lit(False)), F.coalesce("type", F.lit("None"))),
             F.when(F.col("wrong"), F.concat(F.lit("struktur:"), marker_type(F.col("message")))))),
-        F.when(F.col("object"), unknown_fields(F.col("line"), F.col("type"), FIELDS, "feld:")).otherwise(F.array().cast("array<string>")))).alias("marker"))
-    drift = markers.groupBy("path").agg(F.sort_array(F.collect_set("marker")).alias("unknown"))
+        F.when(F.col("object"), unknown_fields(F.col("line"), F.col("type"), FIELDS, "feld:")).otherwise(F.array().cast("array<string>")))
+    # In one pass, without the events: a file has a counted answer if a line of it has usage, and few different lists of markers.
+    seen_of = parsed.groupBy("path").agg(
+        F.count_if("object").alias("objects"), F.coalesce(last_id, file_stem(F.col("path"))).alias("session_id"), F.max(F.col("object") & (get(v, "$.subtype") == "turn_duration")).alias("timed"),
+        F.max(F.col("object") & _has_usage()).alias("counted"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(markers)))).alias("unknown")).filter("objects > 0")
     folders = meta.select(F.concat("parent", F.lit(".jsonl")).alias("path")).distinct().withColumn("has_agents", F.lit(True))
     seen = lambda c: F.when(c, "observed").otherwise("not_observed")
-    capture = head.select("path", "session_id", "timed", "counted").join(drift, "path", "left").join(folders, "path", "left").select(
-        "session_id", seen(F.coalesce(F.col("counted") > 0, F.lit(False))).alias("token"), seen(F.coalesce("timed", F.lit(False))).alias("duration"), F.lit("not_observed").alias("cost"), F.lit("redacted").alias("contents"),
+    capture = seen_of.join(folders, "path", "left").select(
+        "session_id", seen(F.coalesce("counted", F.lit(False))).alias("token"), seen(F.coalesce("timed", F.lit(False))).alias("duration"), F.lit("not_observed").alias("cost"), F.lit("redacted").alias("contents"),
         seen(F.coalesce("has_agents", F.lit(False))).alias("subagents"), F.lit("observed").alias("compaction"), F.lit("partial").alias("reasoning"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"))
     shown = events.filter((F.col("kind") != S.TOOL_RESULT) | F.col("failed")).join(ids, "path")
     shown = shown.withColumn("seq", F.row_number().over(Window.partitionBy("session_id", "path").orderBy("seq")).cast("long") - 1)
