@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandbook import schema as S
 from strandbook.functions.text import has_evidence, hash_prefix, label, project_name, safe_identifier
 from strandbook.sources.lines import at, file_stem, get, marker_type, read_lines, read_packed, type_of, unknown_fields
+from strandbook.sources.scratch import counted_small
 
 # Fixed values of the format: line types, their fields, what blocked results begin with.
 LINE_TYPES = "user assistant system attachment mode permission-mode atis-latch file-history-snapshot file-history-delta ai-title last-prompt queue-operation bridge-session frame-link agent-name".split()
@@ -37,17 +38,15 @@ class Frames:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
+    """Lines with what is asked of them; ``object`` is null for broken ones. They are not filtered here: a filter would parse each line once more."""
     v = F.col("v")
     message = get(v, "$.message", "variant")
-    lines = lines.filter(v.isNotNull()).withColumns({"object": type_of(v) == "OBJECT", "type": get(v, "$.type"), "ts": F.coalesce(get(v, "$.timestamp"), F.lit("")), "message": message})
+    lines = lines.withColumns({"object": F.when(v.isNotNull(), F.col("line").startswith("{")), "type": get(v, "$.type"), "ts": F.coalesce(get(v, "$.timestamp"), F.lit("")), "sid": get(v, "$.sessionId"), "message": message})
     wrong = F.col("type").isin("user", "assistant") & F.col("message").isNotNull() & ~F.is_variant_null("message") & (type_of(F.col("message")) != "OBJECT")
     content = get(F.col("message"), "$.content", "variant")
-    lines = lines.withColumns({"wrong": F.coalesce(wrong, F.lit(False)), "content": content})
-    listed = F.when(type_of(F.col("content")) == "ARRAY", get(F.col("content"), "$", "array<variant>"))
-    return lines.withColumns({
-        "blocks": F.when(~F.col("wrong"), listed),
-        "plain": F.when(~F.col("wrong") & (type_of(F.col("content")) == "STRING"), get(F.col("content"), "$")),
-    })
+    # A message of a wrong type has no content. What is no array gives no blocks; only then its type is told, which goes through all that it holds.
+    lines = lines.withColumns({"wrong": F.coalesce(wrong, F.lit(False)), "content": content}).withColumn("blocks", get(F.col("content"), "$", "array<variant>"))
+    return lines.withColumn("plain", F.when(F.col("blocks").isNull() & (type_of(F.col("content")) == "STRING"), get(F.col("content"), "$")))
 
 
 def _user_turn() -> Column:
@@ -67,63 +66,64 @@ def _result_text(block: Column) -> Column:
     return F.coalesce(F.when(type_of(inside) == "STRING", get(inside, "$")), get(first, "$.text"), F.lit(""))
 
 
-def _event(kind: str, when: Column, **fields: Column) -> Column:
-    f = lambda n, t: fields.get(n, F.lit(None)).cast(t).alias(n)
-    row = F.struct(F.lit(kind).alias("kind"), f("name", "string"), f("tool", "string"), f("failed", "boolean"), f("duration_ms", "long"), f("token", S.TOKEN), f("ref", "string"), f("error_class", "string"), f("signature", "string"))
-    return F.when(F.coalesce(when, F.lit(False)), row)
-
-
-def _usage() -> Column:
-    n = lambda p: F.coalesce(get(F.col("message"), f"$.usage.{p}", "long"), F.lit(0))
+def _usage(message: Column) -> Column:
+    n = lambda p: F.coalesce(get(message, f"$.usage.{p}", "long"), F.lit(0))
     return F.struct(n("input_tokens").alias("input"), n("output_tokens").alias("output"), n("cache_creation_input_tokens").alias("cache_write"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens_details.thinking_tokens").alias("thinking"))
 
 
 def _has_usage() -> Column:
-    usage = get(F.col("message"), "$.usage", "variant")
-    return (F.col("type") == "assistant") & ~F.col("wrong") & F.coalesce(type_of(usage) == "OBJECT", F.lit(False)) & (F.coalesce(F.to_json(usage), F.lit("{}")) != "{}")
+    """Whether an answer's usage is an object that is not empty."""
+    shape = F.schema_of_variant(get(F.col("message"), "$.usage", "variant"))
+    return (F.col("type") == "assistant") & F.coalesce(shape.startswith("OBJECT<") & (shape != "OBJECT<>"), F.lit(False))
 
 
 def _events(parsed: DataFrame, agents: DataFrame | None) -> DataFrame:
-    v, message = F.col("v"), F.col("message")
-    said_id = get(message, "$.id")
-    has_usage = _has_usage()
+    """Events by (path, line_no, place), with their file's last session id. Each line is parsed once, and its events are shuffled once."""
+    v, message, b = F.col("v"), F.col("message"), F.col("b")
     kind = lambda b: get(b, "$.type")
-    results = F.transform(F.filter("blocks", lambda b: (F.col("type") == "user") & (kind(b) == "tool_result")), lambda b: _event(
-        S.TOOL_RESULT, F.lit(True), failed=F.coalesce(get(b, "$.is_error", "boolean"), F.lit(False)), ref=F.coalesce(get(b, "$.tool_use_id"), F.lit("")),
-        error_class=F.when(_result_text(b).rlike(BLOCKED), "blocked").otherwise("tool_error")))
-    name = lambda b: safe_identifier(F.coalesce(get(b, "$.name"), F.lit("")))
-    file = lambda b: F.coalesce(get(b, "$.input.file_path"), F.lit(""))
-    calls = F.transform(F.filter("blocks", lambda b: (F.col("type") == "assistant") & (kind(b) == "tool_use")), lambda b: _event(
-        S.TOOL, F.lit(True), name=name(b), tool=name(b), ref=F.coalesce(get(b, "$.id"), F.lit("")),
-        signature=F.when(name(b).isin(*FILE_TOOLS) & (file(b) != ""), hash_prefix(file(b), 12)).otherwise("")))
-    none = F.array().cast(f"array<struct<kind:string,name:string,tool:string,failed:boolean,duration_ms:bigint,token:{S.TOKEN.simpleString()},ref:string,error_class:string,signature:string>>")
+    part = lambda kind, b: F.struct(F.lit(kind).alias("kind"), b.alias("b"))
+    event = lambda kind, when, b: F.when(F.coalesce(when, F.lit(False)), part(kind, b))
+    parts = lambda name, line, block: F.when(F.col("type") == line, F.transform(F.filter("blocks", lambda b: kind(b) == block), lambda b: part(name, b)))
+    none, nothing = F.array().cast("array<struct<kind:string,b:variant>>"), F.lit(None).cast("variant")
     row = F.concat(
-        F.array(
-            _event(S.COMPACTION, get(v, "$.isCompactSummary", "boolean")),
-            _event(S.ROUND_END, (F.col("type") == "system") & (get(v, "$.subtype") == "turn_duration"), duration_ms=get(v, "$.durationMs", "long")),
-            _event(S.USER, _user_turn() & ~F.col("wrong")),
-            _event(S.ASSISTANT, has_usage, name=F.coalesce(get(message, "$.model"), F.lit("")), token=_usage()),
-        ),
-        F.coalesce(results, none), F.coalesce(calls, none))
+        F.array_compact(F.array(
+            event(S.COMPACTION, get(v, "$.isCompactSummary", "boolean"), nothing),
+            event(S.ROUND_END, (F.col("type") == "system") & (get(v, "$.subtype") == "turn_duration"), v),
+            event(S.USER, _user_turn(), nothing),
+            event(S.ASSISTANT, _has_usage(), message),
+        )),
+        F.coalesce(parts(S.TOOL_RESULT, "user", "tool_result"), none), F.coalesce(parts(S.TOOL, "assistant", "tool_use"), none))
+    # A line without events goes on if it names the session.
+    cut = parsed.select("path", "line_no", "ts", F.when(F.col("sid") != "", F.col("sid")).alias("_sid"), F.posexplode_outer(row).alias("place", "e")).select("path", "line_no", "place", "ts", "_sid", "e.kind", "e.b")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    text = lambda p: F.coalesce(get(b, p), F.lit(""))
+    cut = cut.filter("kind IS NOT NULL OR _sid IS NOT NULL").withColumns({"_name": F.when(is_(S.ASSISTANT), text("$.model")).when(is_(S.TOOL), text("$.name")), "_file": F.when(is_(S.TOOL), text("$.input.file_path"))})
     # Reduced before the shuffle, which all that follows within a file shares: text does not go through it.
-    flat = parsed.filter("object").select("path", "line_no", "ts", said_id.alias("_said"), F.posexplode(F.array_compact(row)).alias("place", "e")).select("path", "line_no", "place", "ts", "_said", "e.*").repartition("path")
-    said = (F.col("kind") == S.ASSISTANT) & F.col("_said").isNotNull() & (F.col("_said") != "")
-    again = F.row_number().over(Window.partitionBy("path", "_said", "kind").orderBy("line_no", "place")) > 1  # lines of one answer
-    flat = flat.withColumn("_again", said & again).filter("NOT _again").drop("_again", "_said")
-    flat = flat.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("line_no", "place")).cast("long"))
+    flat = cut.select(
+        "path", "line_no", "place", "ts", "_sid", "kind", F.when(is_(S.ASSISTANT), get(b, "$.id")).alias("_said"),
+        F.when(is_(S.TOOL), safe_identifier(F.col("_name"))).otherwise(F.col("_name")).alias("name"),
+        F.when(is_(S.TOOL_RESULT), F.coalesce(get(b, "$.is_error", "boolean"), F.lit(False))).alias("failed"),
+        F.when(is_(S.ROUND_END), get(b, "$.durationMs", "long")).alias("duration_ms"), F.when(is_(S.ASSISTANT), _usage(b)).cast(S.TOKEN).alias("token"),
+        F.when(is_(S.TOOL_RESULT), text("$.tool_use_id")).when(is_(S.TOOL), text("$.id")).alias("ref"),
+        F.when(is_(S.TOOL_RESULT), F.when(_result_text(b).rlike(BLOCKED), "blocked").otherwise("tool_error")).alias("error_class"),
+        F.when(is_(S.TOOL), F.when(F.col("_name").isin(*FILE_TOOLS) & (F.col("_file") != ""), hash_prefix(F.col("_file"), 12)).otherwise("")).alias("signature")).repartition("path")
+    # Of lines of one answer, the first counts. One order serves answers by their id, and calls and results by theirs.
+    group = F.when(is_(S.ASSISTANT), 1).when(is_(S.TOOL, S.TOOL_RESULT), 2).otherwise(0)
+    own = Window.partitionBy("path", group, F.when(is_(S.ASSISTANT), F.col("_said")).otherwise(F.coalesce("ref", F.lit("")))).orderBy("line_no", "place")
+    again = is_(S.ASSISTANT) & F.col("_said").isNotNull() & (F.col("_said") != "") & (F.row_number().over(own) > 1)
     # A result belongs to the last call of its id before it; a call's duration ends with the first result after it.
-    own = Window.partitionBy("path", F.coalesce("ref", F.lit("")), F.col("kind").isin(S.TOOL, S.TOOL_RESULT)).orderBy("seq")
-    called = F.coalesce(F.last("tool", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))
+    called = F.coalesce(F.last(F.when(is_(S.TOOL), F.col("name")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))
     after = F.lead(F.struct("kind", "ts")).over(own)
     took = F.when(after["kind"] == S.TOOL_RESULT, F.expr("timestampdiff(MILLISECOND, try_cast(ts AS timestamp), try_cast(_after.ts AS timestamp))"))
-    paired = flat.withColumn("_after", after).withColumn("_called", called)
-    is_result, is_agent = F.col("kind") == S.TOOL_RESULT, (F.col("kind") == S.TOOL) & (F.col("tool") == "Agent")
+    last_id = F.max(F.when(F.col("_sid").isNotNull(), F.struct("line_no", "_sid"))).over(Window.partitionBy("path"))["_sid"]
+    paired = flat.withColumns({"_again": again, "_after": after, "_called": called}).withColumn("session_id", F.coalesce(last_id, file_stem(F.col("path")))).filter("kind IS NOT NULL AND NOT _again")
+    is_result, is_agent = is_(S.TOOL_RESULT), is_(S.TOOL) & (F.col("name") == "Agent")
     paired = paired.withColumns({
         "duration_ms": F.when((F.col("kind") == S.TOOL) & ~is_agent, took).otherwise(F.col("duration_ms")),
         "name": F.when(is_result, F.col("_called")).otherwise(F.col("name")),
         "signature": F.when(is_result, hash_prefix(F.concat("_called", "error_class"), 12)).otherwise(F.col("signature")),
         "kind": F.when(is_agent, S.SUBAGENT).otherwise(F.col("kind")),
-    }).drop("_after", "_called", "tool")
+    }).drop("_after", "_called", "_again", "_said", "_sid")
     if agents is not None:
         known = agents.filter("tool_use_id != ''").select(F.col("parent").alias("_parent"), F.col("tool_use_id").alias("ref"), F.struct("agent_id", "type").alias("_agent")).dropDuplicates(["_parent", "ref"])
         paired = paired.withColumn("_parent", F.regexp_replace("path", r"\.jsonl$", "")).join(known, ["_parent", "ref"], "left").drop("_parent")
@@ -178,16 +178,15 @@ def read_transcripts(spark: SparkSession, path: str, host: str = "", glob: str =
 
 def read_packed_transcripts(spark: SparkSession, packed: str, host: str = "", **options) -> Frames:
     """``read_transcripts`` for transcripts and their sub-agents' files that ``pack_lines`` put together."""
-    lines, path = read_packed(spark, packed, **options), F.col("path")
+    lines = lambda *kinds: read_packed(spark, packed, kinds=kinds, **options)
     one = F.sort_array(F.collect_list(F.struct("line_no", "line")))  # a meta file is small
-    meta = lines.filter(path.rlike(r"/agent-[^/]*\.meta\.json$")).groupBy("path").agg(F.array_join(F.transform(one, lambda x: x["line"]), "\n").alias("value"))
-    transcripts = lines.filter(path.endswith(".jsonl") & ~path.contains("/subagents/"))
-    return reduce(transcripts, lines.filter(path.rlike(r"/agent-[^/]*\.jsonl$")), meta, host)
+    meta = lines("meta").groupBy("path").agg(F.array_join(F.transform(one, lambda x: x["line"]), "\n").alias("value"))
+    return reduce(lines("session", "both"), lines("agent", "both"), meta, host)
 
 
 def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str = "") -> Frames:
     """Transcripts' and sub-agents' lines, and meta files as (path, value), reduced to tables."""
-    meta = _subagents(meta)
+    meta = counted_small(_subagents(meta))
     parsed, sub_parsed = _parsed(lines), _parsed(sub_lines)
     events, sub_events = _events(parsed, meta), _events(sub_parsed, None)
     state, sub_state = _state(parsed, events), _state(sub_parsed, sub_events)
@@ -210,7 +209,7 @@ def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str =
             F.when(F.col("wrong"), F.concat(F.lit("struktur:"), marker_type(F.col("message")))))),
         F.when(F.col("object"), unknown_fields(F.col("line"), F.col("type"), FIELDS, "feld:")).otherwise(F.array().cast("array<string>")))
     # In one pass, without the events: a file has a counted answer if a line of it has usage, and few different lists of markers.
-    seen_of = parsed.groupBy("path").agg(
+    seen_of = parsed.filter(v.isNotNull()).groupBy("path").agg(
         F.count_if("object").alias("objects"), F.coalesce(last_id, file_stem(F.col("path"))).alias("session_id"), F.max(F.col("object") & (get(v, "$.subtype") == "turn_duration")).alias("timed"),
         F.max(F.col("object") & _has_usage()).alias("counted"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(markers)))).alias("unknown")).filter("objects > 0")
     folders = meta.select(F.concat("parent", F.lit(".jsonl")).alias("path")).distinct().withColumn("has_agents", F.lit(True))
@@ -218,14 +217,17 @@ def reduce(lines: DataFrame, sub_lines: DataFrame, meta: DataFrame, host: str =
     capture = seen_of.join(folders, "path", "left").select(
         "session_id", seen(F.coalesce("counted", F.lit(False))).alias("token"), seen(F.coalesce("timed", F.lit(False))).alias("duration"), F.lit("not_observed").alias("cost"), F.lit("redacted").alias("contents"),
         seen(F.coalesce("has_agents", F.lit(False))).alias("subagents"), F.lit("observed").alias("compaction"), F.lit("partial").alias("reasoning"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"))
-    shown = events.filter((F.col("kind") != S.TOOL_RESULT) | F.col("failed")).join(ids, "path")
-    shown = shown.withColumn("seq", F.row_number().over(Window.partitionBy("session_id", "path").orderBy("seq")).cast("long") - 1)
+    shown = events.filter((F.col("kind") != S.TOOL_RESULT) | F.col("failed"))
+    shown = shown.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("line_no", "place")).cast("long") - 1)
     typed = shown.select("session_id", "seq", at(F.col("ts")).alias("ts"), *S.EVENT.names[3:])
     after_text = F.coalesce(F.struct("last_text.line_no", "last_text.i") > F.col("last_result"), F.lit(True))
     outcome = F.when(F.col("last_text").isNull(), "empty").when(F.coalesce("last_failed", F.lit(False)) & ~after_text, "error").otherwise("ok")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     token = F.coalesce(F.col("token"), F.struct(*(F.lit(0).cast("long").alias(n) for n in S.TOKEN.names)))
-    parents = ids.withColumn("parent", F.regexp_replace("path", r"\.jsonl$", "")).select("parent", "session_id")
+    # Only transcripts that have sub-agents are read for their ids.
+    parent = F.regexp_replace("path", r"\.jsonl$", "")
+    parents = parsed.filter("object").withColumn("parent", parent).join(meta.select("parent").distinct(), "parent", "left_semi").groupBy("path").agg(last_id.alias("session_id"))
+    parents = parents.select(parent.alias("parent"), F.coalesce("session_id", file_stem(F.col("path"))).alias("session_id"))
     agents = meta.join(sub_state, "path", "left").join(parents, "parent").select(
         "session_id", "agent_id", "type", F.coalesce(F.when(F.col("first_model") != "", F.col("first_model")), "short_model").alias("model"), "task", "depth",
         at(F.col("start")).alias("start"), at(F.col("end")).alias("end"), F.expr("timestampdiff(MILLISECOND, try_cast(start AS timestamp), try_cast(end AS timestamp))").alias("duration_ms"),

@@ -56,3 +56,18 @@ def test_transcripts_of_many_sessions_share_files(spark):
     sessions = read_packed(spark, path).select("path").distinct().count()
     files = spark.read.text(path).select(F.col("_metadata.file_path")).distinct().count()
     assert sessions == 150 and files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _sessions_scans(plan):
+    return sum("FileScan text" in line and "session" in line.split("PartitionFilters")[1] for line in plan.splitlines())
+
+
+def test_rework_reads_and_shuffles_transcripts_once(spark):
+    """Sub-agents' files lie apart, and ids come with the events (before: transcripts were scanned three times, and events shuffled and sorted for two joins)."""
+    plan = _plan(reader_queries.transcript_rework(spark, "/root/testdata/sf0.001"))
+    assert _sessions_scans(plan) == 1 and plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("Sort [path") == 1
