@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from strandbook.operators import metrics
 from strandbook.plans import reader_queries
 from strandbook.sources import transcript
 from strandbook.sources.lines import pack_lines, read_lines, read_packed
@@ -71,3 +72,14 @@ def test_rework_reads_and_shuffles_transcripts_once(spark):
     plan = _plan(reader_queries.transcript_rework(spark, "/root/testdata/sf0.001"))
     assert _sessions_scans(plan) == 1 and plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
     assert plan.count("Sort [path") == 1
+
+
+def test_models_take_ids_from_the_pass_over_the_events(spark, tmp_path):
+    """The last id counts, also on a line without events; no second scan of transcripts tells it (before: two, and a join by path)."""
+    to, lines = str(tmp_path / "packed"), [_line("user", 0, sessionId="s-1", message={"content": "do"}), _said(1, "m1"), _said(2, "m1"), _line("mode", 3, sessionId="s-2"), "[1]", "{broken"]
+    rows = [("file:/t/a.jsonl", n, line) for n, line in enumerate(lines)] + [("file:/t/b.jsonl", 0, _said(1, "m1"))]
+    pack_lines(spark.createDataFrame(rows, "path string, line_no long, line string"), to)
+    used = metrics.model_usage(transcript.read_packed_transcripts(spark, to).events)
+    assert sorted(map(tuple, used.collect())) == [("b", "m", 1), ("s-2", "m", 1)]
+    plan = _plan(reader_queries.transcript_models(spark, "/root/testdata/sf0.001"))
+    assert _sessions_scans(plan) == 1 and "SortMergeJoin" not in plan
