@@ -82,20 +82,30 @@ def priced(usage: DataFrame, name: str, prices: DataFrame) -> DataFrame:
     return found.withColumn("cost", F.when(F.col("token").isNotNull(), sum(terms[1:], terms[0]))).drop(*(f"_{t}" for t in TOKENS), "tier")
 
 
-def costs(events: DataFrame, subagents: DataFrame, prices: DataFrame) -> DataFrame:
-    """``cost`` (main session), ``cost_subagents`` and ``cost_total``, which is null only if both are."""
-    own = priced(events.filter(_is(S.ASSISTANT)), "name", prices).groupBy("session_id").agg(F.sum("cost").alias("cost"))
+def _context_share() -> Column:
+    return (F.coalesce(F.col("token.input"), F.lit(0)) + F.coalesce(F.col("token.cache_read"), F.lit(0))) / F.col("context_window")
+
+
+def costs_and_context(events: DataFrame, subagents: DataFrame, prices: DataFrame) -> DataFrame:
+    """``costs``, and ``context_use_max`` as ``context_use`` has it (null where that has no row), from one pass over the events."""
+    windows = prices.filter("context_window > 0").groupBy(F.col("key").alias("_windowed")).agg(F.min("context_window").alias("context_window"))
+    said = priced(events.filter(_is(S.ASSISTANT)), "name", prices).join(windows, F.col("name") == F.col("_windowed"), "left")
+    own = said.groupBy("session_id").agg(F.sum("cost").alias("cost"), F.max(F.when(F.col("token").isNotNull(), _context_share())).alias("context_use_max"))
     sub = priced(subagents, "model", prices).groupBy("session_id").agg(F.sum("cost").alias("cost_subagents"))
     both = own.join(sub, "session_id", "full")
     total = F.when(F.col("cost").isNotNull() | F.col("cost_subagents").isNotNull(), F.coalesce("cost", F.lit(0.0)) + F.coalesce("cost_subagents", F.lit(0.0)))
     return both.withColumn("cost_total", total)
 
 
+def costs(events: DataFrame, subagents: DataFrame, prices: DataFrame) -> DataFrame:
+    """``cost`` (main session), ``cost_subagents`` and ``cost_total``, which is null only if both are."""
+    return costs_and_context(events, subagents, prices).drop("context_use_max")
+
+
 def context_use(events: DataFrame, prices: DataFrame) -> DataFrame:
     """The fullest context of a session; models are matched by their exact name, and those without a window skipped."""
     windows = prices.filter("context_window > 0").select(F.col("key").alias("name"), "context_window")
-    used = (F.coalesce(F.col("token.input"), F.lit(0)) + F.coalesce(F.col("token.cache_read"), F.lit(0))) / F.col("context_window")
-    return events.filter(_is(S.ASSISTANT) & F.col("token").isNotNull()).join(windows, "name").groupBy("session_id").agg(F.max(used).alias("context_use_max"))
+    return events.filter(_is(S.ASSISTANT) & F.col("token").isNotNull()).join(windows, "name").groupBy("session_id").agg(F.max(_context_share()).alias("context_use_max"))
 
 
 def rework(events: DataFrame, at_least: int = 2) -> DataFrame:
@@ -146,6 +156,6 @@ def session_metrics(events: DataFrame, subagents: DataFrame, prices: DataFrame)
     agents = subagents.groupBy("session_id").agg(F.count("*").alias("subagents"), F.max("depth").alias("depth_max"))
     positions = compaction_positions(events).groupBy("session_id").agg(F.sort_array(F.collect_list("position")).alias("compaction_positions"))
     out = event_counts(events).join(latencies(events), "session_id").join(token_sums(events), "session_id")
-    for more in (as_map(tool_counts(events), "tools_by_name"), as_map(tool_error_counts(events), "tool_errors_by_name"), agents, positions, costs(events, subagents, prices), context_use(events, prices)):
+    for more in (as_map(tool_counts(events), "tools_by_name"), as_map(tool_error_counts(events), "tool_errors_by_name"), agents, positions, costs_and_context(events, subagents, prices)):
         out = out.join(more, "session_id", "left")
     return out.fillna(0, ["subagents", "depth_max"])

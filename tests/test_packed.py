@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from strandbook import schema as S
 from strandbook.operators import metrics
 from strandbook.plans import reader_queries
 from strandbook.sources import transcript
@@ -83,3 +84,18 @@ def test_models_take_ids_from_the_pass_over_the_events(spark, tmp_path):
     assert sorted(map(tuple, used.collect())) == [("b", "m", 1), ("s-2", "m", 1)]
     plan = _plan(reader_queries.transcript_models(spark, "/root/testdata/sf0.001"))
     assert _sessions_scans(plan) == 1 and "SortMergeJoin" not in plan
+
+
+def test_costs_and_context_take_one_pass(spark):
+    """The events are read once for both, and not shuffled by the names of models (before: a pass for each, and joins by few names)."""
+    token = lambda n: (n, 2 * n, 1, 10 * n, 0)
+    rows = [("s", "assistant", "model-0", token(7)), ("s", "assistant", "other", token(9)), ("s", "tool", "model-0", None), ("t", "assistant", "model-2", token(5)), ("u", "assistant", "model-0", None)]
+    events = spark.createDataFrame(rows, f"session_id string, kind string, name string, token {S.TOKEN.simpleString()}")
+    agents = spark.createDataFrame([("s", "model-1", token(3)), ("v", "model-1", token(4))], f"session_id string, model string, token {S.TOKEN.simpleString()}")
+    prices = reader_queries.price_table(spark)
+    apart = metrics.costs(events, agents, prices).join(metrics.context_use(events, prices), "session_id", "left")
+    both = metrics.costs_and_context(events, agents, prices).select(apart.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect())) and both.count() == 4
+    assert both.filter("session_id = 's'").first().context_use_max == 0.077
+    plan = _plan(reader_queries.transcript_costs(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Window [row_number") == 1 and "hashpartitioning(name" not in plan and "hashpartitioning(_q_" not in plan
